@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import quality_rules
+from lexloom.llm import packing, quality_rules
 from lexloom.llm.shared import load
 
 
@@ -16,8 +16,12 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(docs).drop("text")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_compression_bands,)}
+    return {f.__name__: f for f in (op4_compression_bands, op6_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
