@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, packing, quality_rules
+from lexloom.llm import chat, packing, quality_rules, token_counts
 from lexloom.llm.shared import load
 
 
+def op1_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    header = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"))
+    return token_counts.counted(docs, token_counts.cleaning_edits(F.coalesce("text", F.lit("")), header))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.measured(docs).drop("text")
@@ -53,7 +59,7 @@ FROM chats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_compression_bands, op6_best_fit_packing, op9_chat_round_trip)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op4_compression_bands, op6_best_fit_packing, op9_chat_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
