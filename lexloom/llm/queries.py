@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, packing, quality_classifier, quality_rules, token_counts
+from lexloom.llm import chat, near_duplicates, packing, quality_classifier, quality_rules, token_counts
 from lexloom.llm.shared import load
 
 
@@ -17,6 +17,10 @@ def op1_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(docs, token_counts.cleaning_edits(F.coalesce("text", F.lit("")), header))
 
 
+def op3_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(load(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.measured(docs).drop("text")
@@ -66,7 +70,7 @@ FROM chats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_token_counts, op4_compression_bands, op6_best_fit_packing, op8_positive_unlabelled_quality, op9_chat_round_trip)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op6_best_fit_packing, op8_positive_unlabelled_quality, op9_chat_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
