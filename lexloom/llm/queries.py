@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, near_duplicates, packing, quality_classifier, quality_rules, token_counts
+from lexloom.llm import chat, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_counts
 from lexloom.llm.shared import load
 
 
@@ -26,6 +26,12 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(docs).drop("text")
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.coalesce("text", F.lit(""))
+    return line_dedup.without_repeats(docs).select("doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(load(spark, sf_dir, "documents"))
 
@@ -70,7 +76,7 @@ FROM chats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op6_best_fit_packing, op8_positive_unlabelled_quality, op9_chat_round_trip)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op8_positive_unlabelled_quality, op9_chat_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
