@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_counts
+from lexloom.llm import chat, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from lexloom.llm.shared import load
 
 
@@ -36,6 +36,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(load(spark, sf_dir, "documents"))
 
 
+def _removed(kept: DataFrame, size: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select("doc_id", size, removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(suffix_dedup.deduplicated(load(spark, sf_dir, "documents")), "n_bytes")
+
+
 def op8_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     out = quality_classifier.held_out(F.col("doc_id"))
@@ -43,6 +52,10 @@ def op8_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     return quality_classifier.scored(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op10_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(substring_dedup.deduplicated(load(spark, sf_dir, "documents")), "n_words")
+
+
 #: A conversation that tries to speak for the other side.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
@@ -76,7 +89,7 @@ FROM chats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op8_positive_unlabelled_quality, op9_chat_round_trip)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_positive_unlabelled_quality, op9_chat_round_trip, op10_fm_index_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
