@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from lexloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from lexloom.llm.shared import load
 
 
@@ -17,6 +17,10 @@ def op1_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(docs, token_counts.cleaning_edits(F.coalesce("text", F.lit("")), header))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(load(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -89,7 +93,7 @@ FROM chats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_token_counts, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_positive_unlabelled_quality, op9_chat_round_trip, op10_fm_index_substring_dedup)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op2_template_decontamination, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_positive_unlabelled_quality, op9_chat_round_trip, op10_fm_index_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
