@@ -64,6 +64,14 @@ def forget(df: DataFrame) -> None:
         _files(df.sparkSession, where).delete(_path(df.sparkSession, where), True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete the shuffle files of jobs that are over.
+
+    It learns of them when the driver collects its garbage, which an idle driver does rarely.
+    """
+    spark._jvm.System.gc()
+
+
 def _forget_quietly(spark: SparkSession, where: str) -> None:
     try:
         _files(spark, where).delete(_path(spark, where), True)
