@@ -35,9 +35,9 @@ _PLACE = np.uint64(0xFFFF)
 #: Windows that are hashed at a time; a place within has to fit in 16 bits.
 CHUNK = 1 << 15
 #: Bytes of input per bucket of hashes, and entries a task holds before it sends them.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 5 << 20
 HELD = 4_000_000
-HELD_BYTES = 128 << 20
+HELD_BYTES = 96 << 20
 
 
 @dataclass(frozen=True)
@@ -253,11 +253,15 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
                 have = least.get(content)
                 if have is None:
                     least[content] = [d, [s], n, int(to[i])]
-                    held += len(content) + 200
+                    held += len(content) + 400
                 elif have[0] == d:
                     have[1].append(s)
                 elif have[0] < d:
-                    told.append((int(to[i]), d, s, n, None))
+                    last = told[-1] if told else None
+                    if last and last[1] == d and last[2] + last[3] == s:  # goes on where the last one ends
+                        told[-1] = (last[0], d, last[2], last[3] + n, None)
+                    else:
+                        told.append((int(to[i]), d, s, n, None))
                 else:
                     told += [(have[3], have[0], x, n, None) for x in have[1]]
                     have[0], have[1] = d, [s]

@@ -36,7 +36,7 @@ def _bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
 
 
-BYTES = Unit(WINDOW, 16, lambda: _bytes_of, lambda units: _TABLE[units])
+BYTES = Unit(WINDOW, 24, lambda: _bytes_of, lambda units: _TABLE[units])
 
 
 class SuffixQueues:
@@ -89,49 +89,50 @@ class SuffixQueues:
 
 def _is_smaller_than_next(text: np.ndarray) -> np.ndarray:
     """S-type flags: the suffix is smaller than the one after it. The last is not, as the end is smallest."""
-    step = np.sign(np.diff(text.astype(np.int16)))
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    nearest = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
-    return np.concatenate([np.append(step, -1)[nearest] > 0, [False]])
+    step = np.diff(text)
+    nearest = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]  # the next place where neighbours differ
+    return np.append(np.append(step > 0, False)[nearest], False)
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight characters from each place as one number; the text is bytes, padded."""
-    return np.lib.stride_tricks.sliding_window_view(text, 8)[at].copy().view(">u8").ravel().astype(np.uint64)
+def words_at(raw: np.ndarray, room: int) -> np.ndarray:
+    """The eight bytes from each place as one number, also from `room` places after the end."""
+    one = np.concatenate([raw, np.zeros(room + 8, np.uint8)]).astype(np.uint16)
+    two = (one[:-1] << 8 | one[1:]).astype(np.uint32)
+    four = (two[:-2] << 16 | two[2:]).astype(np.uint64)
+    return four[:-4] << np.uint64(32) | four[4:]
 
 
-def _sorted_minima(raw: np.ndarray, minima: np.ndarray, depth: int) -> np.ndarray:
+def _sorted_minima(words: np.ndarray, minima: np.ndarray, depth: int) -> np.ndarray:
     """minima (places) by their first `depth` bytes: by the first eight, then ties by the next, and so on."""
-    order = minima[np.argsort(_words(raw, minima), kind="stable")]
-    group = np.concatenate([[0], np.cumsum(np.diff(_words(raw, order)) != 0)])
+    order = minima[np.argsort(words[minima])]
+    first = words[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
     for at in range(8, depth, 8):
-        size = np.bincount(group)
-        tied = np.nonzero(size[group] > 1)[0]
+        alone = new & np.append(new[1:], True)
+        tied = np.nonzero(~alone)[0]
         if not len(tied):
             break
-        words = _words(raw, order[tied] + at)
-        again = np.lexsort((words, group[tied]))
+        group = np.cumsum(new[tied])
+        key = words[order[tied] + at]
+        again = np.lexsort((key, group))
         order[tied] = order[tied][again]
-        words, g = words[again], group[tied]
-        new = np.zeros(len(order), bool)
-        new[1:] = group[1:] != group[:-1]
-        new[tied[1:]] |= (words[1:] != words[:-1]) | (g[1:] != g[:-1])
-        group = np.cumsum(new)
+        key = key[again]
+        new[tied[1:]] |= key[1:] != key[:-1]
     return order
 
 
-def suffix_array(raw: np.ndarray, separators: np.ndarray, depth: int, queues: type = SuffixQueues) -> np.ndarray:
+def suffix_array(raw: np.ndarray, separators: np.ndarray, words: np.ndarray, depth: int, queues: type = SuffixQueues) -> np.ndarray:
     """The places of raw in the order of their suffixes, right to `depth` characters.
 
-    separators: places that sort before all bytes, the last place among them.
+    separators: places that sort before all bytes, the last place among them. words: words_at(raw, depth).
     """
     text = raw.astype(np.int16) + 1
     text[separators] = 0
     n = len(text)
     smaller = _is_smaller_than_next(text)
     minima = np.nonzero(smaller[1:] & ~smaller[:-1])[0] + 1
-    padded = np.concatenate([raw, np.zeros(depth + 16, np.uint8)])
-    minima = _sorted_minima(padded, minima, depth).astype(np.int32)
+    minima = _sorted_minima(words, minima.astype(np.int32), depth)
     seeds, waiting = queues(), queues()
     seeds.push(text[minima], minima)
     top = int(text.max()) + 1
@@ -166,33 +167,27 @@ def suffix_array(raw: np.ndarray, separators: np.ndarray, depth: int, queues: ty
     return np.concatenate(up)[::-1] if up else np.empty(0, np.int32)
 
 
-def common_prefixes(raw: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
     """Whether each place in order has its first `window` bytes in common with the one before it."""
-    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
     same = np.ones(len(order), bool)
-    if len(order):
-        same[0] = False
+    same[:1] = False
     for at in [*range(0, window - 7, 8), window - 8]:
         check = np.nonzero(same)[0]  # only what was the same so far
-        if not len(check):
-            break
-        same[check] = _words(padded, order[check] + at) == _words(padded, order[check - 1] + at)
+        same[check] = words[order[check] + at] == words[order[check - 1] + at]
     return same
 
 
 def resolve(contents: list[bytes], counts: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
     """Flags of the windows of each segment that a smaller document has, by the shard's suffix array."""
-    sizes = np.array([len(c) + 1 for c in contents], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(c + b"\0" for c in contents), np.uint8)
-    order = suffix_array(raw, begin + sizes - 1, WINDOW + 6)
-    starts = np.zeros(len(raw), bool)
-    owner = np.repeat(np.arange(len(contents)), sizes)
-    place = np.arange(len(raw)) - begin[owner]
-    starts[place < counts[owner]] = True
+    sizes = np.array([len(c) + 1 for c in contents], np.int32)
+    begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+    raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
+    words = words_at(raw, WINDOW + 6)
+    order = suffix_array(raw, begin + sizes - 1, words, WINDOW + 6)
+    owner = np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
+    starts = np.arange(len(raw), dtype=np.int32) - begin[owner] < counts[owner]
     order = order[starts[order]]
-    same = common_prefixes(raw, order, WINDOW)
-    group = np.nonzero(~same)[0]
+    group = np.nonzero(~common_prefixes(words, order, WINDOW))[0]
     doc = docs[owner[order]]
     least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.append(group, len(order)))) if len(order) else doc
     gone = np.zeros(len(raw), bool)
