@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lexloom.llm.anchors import Unit, covered, runs_of, searched, with_removed
 
 WINDOW = 13
-QUERIES = 200_000
+QUERIES = 100_000
 CACHED = 400_000
 
 
@@ -59,12 +59,12 @@ WORDS = Unit(WINDOW, 4, _cutter, lambda units: units)
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Places by their first `depth` symbols at least, by doubling the compared length."""
     rank, length, n = symbols.astype(np.int64), 1, len(symbols)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while length < depth:
         later = np.zeros(n, np.int64)
         later[: n - length] = rank[length:] + 1
         key = rank * (n + 2) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.diff(key[order]) != 0
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(new)])
@@ -94,23 +94,27 @@ class WaveletTree:
     """Ranks in a sequence over a large alphabet, as one bit vector per binary digit of the symbols."""
 
     def __init__(self, symbols: np.ndarray):
-        self.digits = max(1, int(symbols.max()).bit_length()) if len(symbols) else 1
+        top = int(symbols.max()) if len(symbols) else 0
+        self.digits = max(1, top.bit_length())
         self._levels, self._zeros, rest = [], [], symbols
         for d in range(self.digits - 1, -1, -1):
             flags = (rest >> d & 1).astype(bool)
             self._levels.append(Bits(flags))
             self._zeros.append(int(len(flags) - flags.sum()))
             rest = np.concatenate([rest[~flags], rest[flags]])
+        every = np.arange(top + 1)
+        self._start = self._descend(every, np.zeros_like(every))
+
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a place ends up among the leaves on the way of its symbol."""
+        for d, bits, zeros in zip(range(self.digits - 1, -1, -1), self._levels, self._zeros, strict=True):
+            ones = bits.ones(at)
+            at = np.where(symbol >> d & 1, zeros + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
-        low, high = np.zeros_like(at), at
-        for d, bits, zeros in zip(range(self.digits - 1, -1, -1), self._levels, self._zeros, strict=True):
-            one = (symbol >> d & 1).astype(bool)
-            a, b = bits.ones(low), bits.ones(high)
-            low = np.where(one, zeros + a, low - a)
-            high = np.where(one, zeros + b, high - b)
-        return high - low
+        return self._descend(symbol, at) - self._start[symbol]
 
 
 class FMIndex:
