@@ -1,4 +1,4 @@
-"""All queries of the library outside lexloom.llm, with their SQL."""
+"""All queries of the library outside its corpus-building subpackage, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.plans import corpus, models
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return corpus.QUERIES | models.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return corpus.SQL | models.SQL
