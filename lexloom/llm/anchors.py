@@ -122,27 +122,26 @@ def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin, [*begin[1:], len(keys)], strict=True)) if begin else []
 
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    for a, b in _spans(docs):
-        yield int(docs[a]), np.unique(hashes[a:b]).tobytes()
-
-
 _ENTRY = [("hash", "<u8"), ("doc", "<i8")]
-_SEEN = "bucket int, doc_id long, data binary"
 #: A document of an entry that needs no answer, as its task knows already.
 _ANSWERED = -(2**63)
+#: Rows of a batch that goes back to Spark.
+ROWS = 100_000
+
 
+def _batches(**columns) -> Iterator[pa.RecordBatch]:
+    """Columns (numpy or Arrow arrays) as batches of at most ROWS rows."""
+    made = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    for at in range(0, made.num_rows, ROWS):
+        yield made.slice(at, ROWS)
 
-def _rows(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def _shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """doc_id and hashes (bytes) of the anchors that other documents have too; a document may have several rows."""
-    kinds, names = [pa.int32(), pa.int64(), pa.binary()], ["bucket", "doc_id", "data"]
+    """doc_id and hash of the anchors that other documents have too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = unit.cutter()
@@ -153,21 +152,25 @@ def _shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             held.clear()
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            h, d = h[new], d[new]
             begin = _grouped(h)
-            several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
             size = np.diff(np.append(begin, len(h)))
-            known = np.repeat(several, size)
-            yield _rows([(int(i) % buckets, i, x) for i, x in _by_doc(d[known], h[known])], kinds, names)
+            told = np.repeat(size > 1, size)
+            n = int(told.sum())
+            yield from _batches(bucket=(d[told] % buckets).astype(np.int32), doc_id=d[told], hash=h[told].view(np.int64), data=pa.nulls(n, pa.binary()))
             entries = np.empty(len(begin), _ENTRY)
-            entries["hash"], entries["doc"] = h[begin], np.where(several, _ANSWERED, d[begin])
+            entries["hash"], entries["doc"] = h[begin], np.where(size > 1, _ANSWERED, d[begin])
             to = _bucket(entries["hash"], buckets)
             order = np.argsort(to, kind="stable")
             entries, to = entries[order], to[order]
-            yield _rows([(int(to[a]), None, entries[a:b].tobytes()) for a, b in _spans(to)], kinds, names)
+            spans = _spans(to)
+            data, n = pa.array([entries[a:b].tobytes() for a, b in spans], pa.binary()), len(spans)
+            yield from _batches(bucket=to[[a for a, _ in spans]].astype(np.int32), doc_id=pa.nulls(n, pa.int64()), hash=pa.nulls(n, pa.int64()), data=data)
 
         n = 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = _numbers(batch, "doc_id")
             which, _, _, hashes = segments_of([cut(t) for t in batch.column("text").to_pylist()], unit)
             if len(hashes):
                 held.append((hashes, ids[which].astype(np.int64)))
@@ -179,36 +182,76 @@ def _shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             yield from flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(blobs: list[bytes]) -> pa.RecordBatch:
+        def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             entries = np.frombuffer(b"".join(blobs), _ENTRY)
-            entries = entries[np.argsort(entries["hash"], kind="stable")]
+            entries = entries[np.argsort(entries["hash"])]
             begin = _grouped(entries["hash"])
-            shared = np.repeat(np.diff(np.append(begin, len(entries))) > 1, np.diff(np.append(begin, len(entries))))
-            found = entries[shared & (entries["doc"] != _ANSWERED)]
-            return _rows(list(_by_doc(found["doc"], found["hash"])), kinds[1:], names[1:])
+            size = np.diff(np.append(begin, len(entries)))
+            found = entries[np.repeat(size > 1, size) & (entries["doc"] != _ANSWERED)]
+            yield from _batches(doc_id=found["doc"].astype(np.int64), hash=found["hash"].astype(np.uint64).view(np.int64))
 
         bucket, blobs = None, []
         for batch in batches:
-            told = []
-            for b, d, x in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if d is not None:
-                    told.append((d, x))
-                    continue
+            yield batch.filter(batch.column("doc_id").is_valid()).select(["doc_id", "hash"])
+            asked = batch.filter(batch.column("doc_id").is_null())
+            for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True):
                 if b != bucket:
                     if blobs:
-                        yield settle(blobs)
+                        yield from settle(blobs)
                     bucket, blobs = b, []
                 blobs.append(x)
-            yield _rows(told, kinds[1:], names[1:])
         if blobs:
-            yield settle(blobs)
+            yield from settle(blobs)
+
+    sent = docs.mapInArrow(send, "bucket int, doc_id long, hash long, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(answer, "doc_id long, hash long")
+
+
+#: From a resolver: units of segments one after the other, their sizes in units, their documents (the least that has each);
+#: back comes a flag for each unit, set where a window starts that a smaller document has.
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+class Contents:
+    """Hashes of runs of units: prefix sums of a polynomial, whose powers are kept."""
+
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self._powers = self._inverses = np.ones(1, np.uint64)
 
-    sent = docs.mapInArrow(send, _SEEN).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(answer, "doc_id long, data binary")
+    def of(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = len(hashes) + 1
+        if n > len(self._powers):
+            for name, base in (("_powers", self._BASE), ("_inverses", pow(self._BASE, -1, 2**64))):
+                factors = np.full(2 * n, base, np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self._powers[: n - 1])])
+        h = (sums[start + size] - sums[start]) * self._inverses[start] + size.astype(np.uint64) * _MIX
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
 
 
-#: From a resolver: for each segment (its bytes of units, count of windows, document), the flags of windows to remove.
-Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
+def _gathered(units: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The units of runs, one after the other."""
+    at = np.cumsum(size) - size
+    return units[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+
+
+def _binary(units: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(size * units.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(units.tobytes())])
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows; those that go on where another ends are put together."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order]
+    if not len(doc):
+        return doc, start, n
+    begin = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])]))[0]
+    return doc[begin], start[begin], np.add.reduceat(n, begin)
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -220,90 +263,104 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     """doc_id, start, n: each window start to start + n - 1 of doc_id also starts in a document with a smaller id."""
     buckets = max(4, min(1_000_000, input_bytes(docs) // BUCKET_BYTES))
-    shared = written(_shared_anchors(docs, unit, buckets), "anchors")
-    asked = shared.groupBy("doc_id").agg(F.collect_list("data").alias("data"))
-    kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["bucket", "doc_id", "start", "n", "data"]
+    shared = written(_shared_anchors(docs, unit, max(4, buckets // 4)), "anchors")
+    asked = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("data"))
+    window = unit.window
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = unit.cutter()
-        least: dict[bytes, list] = {}
-        held = 0
+        cut, contents = unit.cutter(), Contents()
+        held: list[tuple] = []  # key, doc, start, n, place in the held units, anchor
+        texts: list[np.ndarray] = []
+        n_held = weight = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            held = 0
-            rows = [(to, d, s, n, content) for content, (d, starts, n, to) in least.items() for s in starts]
-            least.clear()
-            return _rows(rows, kinds, names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, doc, start, n, place, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
+            units = np.concatenate(texts)
+            held.clear()
+            texts.clear()
+            order = np.lexsort((start, doc, key))
+            key, doc, start, n, place, anchor = (x[order] for x in (key, doc, start, n, place, anchor))
+            begin = _grouped(key)
+            first = np.zeros(len(key), bool)
+            first[begin] = True
+            least = doc == np.repeat(doc[begin], np.diff(np.append(begin, len(key))))
+            to = _bucket(anchor, buckets).astype(np.int32)
+            # The least document's segments go to the bucket, the first of equal ones with its units; the others are settled.
+            length = (n + window - 1)[first]
+            yield from _batches(bucket=to[first], doc_id=doc[first], start=start[first], n=n[first], key=key[first].view(np.int64), data=_binary(_gathered(units, place[first], length), length))
+            again = least & ~first
+            yield from _batches(bucket=to[again], doc_id=doc[again], start=start[again], n=n[again], key=key[again].view(np.int64), data=pa.nulls(int(again.sum()), pa.binary()))
+            d, s, m = _merged(doc[~least], start[~least], n[~least])
+            yield from _batches(bucket=(d % buckets).astype(np.int32), doc_id=d, start=s, n=m, key=pa.nulls(len(d), pa.int64()), data=pa.nulls(len(d), pa.binary()))
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = [cut(t) for t in batch.column("text").to_pylist()]
-            which, start, count, hashes = segments_of(texts, unit)
-            wanted = np.zeros(len(which), bool)
-            begin = np.searchsorted(which, np.arange(len(ids) + 1))
-            for k, data in enumerate(batch.column("data").to_pylist()):
-                own = hashes[begin[k] : begin[k + 1]]
-                wanted[begin[k] : begin[k + 1]] = np.isin(own, np.frombuffer(b"".join(data), np.uint64))
-            told = []
-            to = _bucket(hashes, buckets)
-            for i in np.nonzero(wanted)[0].tolist():
-                d, s, n = ids[which[i]], int(start[i]), int(count[i])
-                content = texts[which[i]][s : s + n + unit.window - 1].tobytes()
-                have = least.get(content)
-                if have is None:
-                    least[content] = [d, [s], n, int(to[i])]
-                    held += len(content) + 400
-                elif have[0] == d:
-                    have[1].append(s)
-                elif have[0] < d:
-                    last = told[-1] if told else None
-                    if last and last[1] == d and last[2] + last[3] == s:  # goes on where the last one ends
-                        told[-1] = (last[0], d, last[2], last[3] + n, None)
-                    else:
-                        told.append((int(to[i]), d, s, n, None))
-                else:
-                    told += [(have[3], have[0], x, n, None) for x in have[1]]
-                    have[0], have[1] = d, [s]
-            yield _rows(told, kinds, names)
-            if held >= HELD_BYTES:
-                yield flush()
-        if least:
-            yield flush()
+            ids = _numbers(batch, "doc_id").astype(np.int64)
+            cuts = [cut(t) for t in batch.column("text").to_pylist()]
+            which, start, count, hashes = segments_of(cuts, unit)
+            data = batch.column("data")
+            asked_by = np.repeat(np.arange(len(ids)), data.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
+            asked_for = data.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            wanted = np.isin(hashes ^ (which.astype(np.uint64) * _MIX), asked_for ^ (asked_by * _MIX))
+            which, start, count, hashes = which[wanted], start[wanted], count[wanted], hashes[wanted]
+            if not len(which):
+                continue
+            lengths = np.array([len(c) for c in cuts], np.int64)
+            units = np.concatenate(cuts)
+            place = (np.cumsum(lengths) - lengths)[which] + start
+            key = contents.of(unit.hashed(units), place, count + window - 1)
+            held.append((key, ids[which], start, count, place + n_held, hashes))
+            texts.append(units)
+            n_held += len(units)
+            weight += units.nbytes + 48 * len(key)
+            if weight >= HELD_BYTES:
+                yield from flush()
+                n_held = weight = 0
+        if held:
+            yield from flush()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple]) -> pa.RecordBatch:
-            # Of equal segments the resolver gets one, with the least document; the others lose all.
-            first: dict[bytes, int] = {}
-            for d, _, _, content in rows:
-                first[content] = min(d, first.get(content, d))
-            contents = list(first)
-            counts = np.array([len(c) for c in contents], np.int64) // unit_bytes - unit.window + 1
-            flags = dict(zip(contents, resolver(contents, counts, np.array([first[c] for c in contents], np.int64)), strict=True))
-            out = []
-            for d, s, n, content in rows:
-                found = [(0, n)] if d > first[content] else runs_of(flags[content])
-                out += [(d, s + a, b - a) for a, b in found]
-            return _rows(out, kinds[1:4], names[1:4])
-
-        unit_bytes = unit.cutter()("x").itemsize
-        bucket, rows = None, []
+        kind = unit.cutter()("x").dtype
+
+        def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            key, doc, start, n = (_numbers(rows, c) for c in ("key", "doc_id", "start", "n"))
+            empty = rows.column("data").is_null().to_numpy(zero_copy_only=False)
+            order = np.lexsort((empty, doc, key))  # of the least document, the row with the units first
+            key, doc, start, n = key[order], doc[order], start[order], n[order]
+            begin = _grouped(key)
+            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+            units = np.frombuffer(b"".join(rows.column("data").take(pa.array(order[begin])).to_pylist()), kind)
+            sizes = n[begin] + window - 1
+            flags = resolver(units, sizes, doc[begin])
+            least = doc == doc[begin][group]
+            out = [(doc[~least], start[~least], n[~least])]
+            runs = runs_of(flags)
+            if runs:  # of each content, for each of the least document's segments with it
+                a, b = np.array(runs, np.int64).T
+                base = np.cumsum(sizes) - sizes
+                g = np.searchsorted(base, a, side="right") - 1
+                repeat = np.bincount(group[least], minlength=len(begin))[g]
+                row = np.repeat(begin[g] - (np.cumsum(repeat) - repeat), repeat) + np.arange(int(repeat.sum()))
+                out.append((doc[row], start[row] + np.repeat(a - base[g], repeat), np.repeat(b - a, repeat)))
+            d, s, m = _merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            yield from _batches(doc_id=d, start=s, n=m)
+
+        bucket, parts = None, []
         for batch in batches:
-            told = []
-            for b, d, s, n, content in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if content is None:
-                    told.append((d, s, n))
-                    continue
-                if b != bucket:
-                    if rows:
-                        yield settle(rows)
-                    bucket, rows = b, []
-                rows.append((d, s, n, content))
-            yield _rows(told, kinds[1:4], names[1:4])
-        if rows:
-            yield settle(rows)
-
-    sent = docs.join(asked, "doc_id").select("doc_id", "text", "data").mapInArrow(send, "bucket int, doc_id long, start long, n long, data binary")
+            told = batch.column("key").is_null()
+            yield batch.filter(told).select(["doc_id", "start", "n"])
+            rest = batch.filter(batch.column("key").is_valid())
+            for a, b in _spans(_numbers(rest, "bucket")):
+                this = rest.column("bucket")[a].as_py()
+                if this != bucket:
+                    if parts:
+                        yield from settle(parts)
+                    bucket, parts = this, []
+                parts.append(rest.slice(a, b - a))
+        if parts:
+            yield from settle(parts)
+
+    sent = docs.join(asked, "doc_id").select("doc_id", "text", "data").mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
 
 
@@ -319,10 +376,15 @@ def with_removed(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     return docs.join(gathered, "doc_id", "left")
 
 
-def covered(n_units: int, removed: list[dict] | None, window: int) -> np.ndarray:
-    """Flags of the units that the removed windows cover."""
-    change = np.zeros(n_units + 1, np.int64)
-    for r in removed or ():
-        change[min(r["start"], n_units)] += 1
-        change[min(r["start"] + r["n"] + window - 1, n_units)] -= 1
-    return np.cumsum(change[:-1]) > 0
+def covered(removed: pa.Array, sizes: np.ndarray, window: int) -> list[np.ndarray | None]:
+    """For each row, flags of the units that its removed windows cover; None if it has none. sizes: units per row."""
+    count = removed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = removed.flatten()
+    start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+    row = np.repeat(np.arange(len(count)), count)
+    base = np.cumsum(sizes + 1) - (sizes + 1)
+    change = np.zeros(int((sizes + 1).sum()), np.int64)
+    np.add.at(change, base[row] + np.minimum(start, sizes[row]), 1)
+    np.add.at(change, base[row] + np.minimum(start + n + window - 1, sizes[row]), -1)
+    gone = np.cumsum(change) > 0
+    return [gone[b : b + k] if c else None for b, k, c in zip(base.tolist(), sizes.tolist(), count.tolist(), strict=True)]

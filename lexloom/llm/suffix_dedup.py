@@ -177,22 +177,24 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, window: int) -> np.nda
     return same
 
 
-def resolve(contents: list[bytes], counts: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """Flags of the windows of each segment that a smaller document has, by the shard's suffix array."""
-    sizes = np.array([len(c) + 1 for c in contents], np.int32)
-    begin = (np.cumsum(sizes) - sizes).astype(np.int32)
-    raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
+def resolve(units: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Flags of the windows that a smaller document has, by the suffix array of the shard's segments."""
+    n = len(sizes)
+    at = np.arange(len(units), dtype=np.int32) + np.repeat(np.arange(n, dtype=np.int32), sizes)
+    raw = np.zeros(len(units) + n, np.uint8)  # with a separator after each segment
+    raw[at] = units
+    ends = (np.cumsum(sizes) + np.arange(n)).astype(np.int32)
     words = words_at(raw, WINDOW + 6)
-    order = suffix_array(raw, begin + sizes - 1, words, WINDOW + 6)
-    owner = np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
-    starts = np.arange(len(raw), dtype=np.int32) - begin[owner] < counts[owner]
+    order = suffix_array(raw, ends, words, WINDOW + 6)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+    starts = np.arange(len(raw), dtype=np.int32) <= ends[owner] - WINDOW
     order = order[starts[order]]
     group = np.nonzero(~common_prefixes(words, order, WINDOW))[0]
     doc = docs[owner[order]]
     least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.append(group, len(order)))) if len(order) else doc
     gone = np.zeros(len(raw), bool)
     gone[order[doc > least]] = True
-    return [gone[b : b + n] for b, n in zip(begin.tolist(), counts.tolist(), strict=True)]
+    return gone[at]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -203,9 +205,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             kept, found, sizes = [], [], []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                raw = _bytes_of(text)
-                gone = covered(len(raw), removed, WINDOW) if removed else None
+            texts = [_bytes_of(t) for t in batch.column("text").to_pylist()]
+            for raw, gone in zip(texts, covered(batch.column("removed"), np.array([len(t) for t in texts], np.int64), WINDOW), strict=True):
                 kept.append(raw.tobytes() if gone is None else raw[~gone].tobytes())
                 found.append([] if gone is None else [{"start": a, "end": b} for a, b in runs_of(gone)])
                 sizes.append(len(raw))
