@@ -136,24 +136,21 @@ class FMIndex:
         return low, high
 
 
-def resolve(contents: list[bytes], counts: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """Flags of the windows of each segment that a smaller document has, by the shard's FM-index."""
-    words = [np.frombuffer(c, np.uint64) for c in contents]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    flat = np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint64))])
-    separator = np.zeros(len(flat), bool)
-    separator[begin + sizes - 1] = True
-    symbols = np.zeros(len(flat), np.int64)
-    symbols[~separator] = np.unique(flat[~separator], return_inverse=True)[1] + 1
+def resolve(units: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Flags of the windows that a smaller document has, by the FM-index of the shard's segments."""
+    n = len(sizes)
+    at = np.arange(len(units)) + np.repeat(np.arange(n), sizes)
+    symbols = np.zeros(len(units) + n, np.int64)  # with a separator after each segment
+    symbols[at] = np.unique(units, return_inverse=True)[1] + 1
+    ends = np.cumsum(sizes) + np.arange(n)
     index = FMIndex(symbols, WINDOW + 1)
-    owner = np.repeat(np.arange(len(contents)), sizes)
-    starts = np.nonzero(np.arange(len(flat)) - begin[owner] < counts[owner])[0]
-    gone = np.zeros(len(flat), bool)
+    owner = np.repeat(np.arange(n), sizes + 1)
+    starts = np.nonzero(np.arange(len(symbols)) <= ends[owner] - WINDOW)[0]
+    gone = np.zeros(len(symbols), bool)
     doc_in_order = docs[owner[index.order]]
     windows = np.lib.stride_tricks.sliding_window_view(symbols, WINDOW)
-    for at in range(0, len(starts), QUERIES):
-        some = starts[at : at + QUERIES]
+    for k in range(0, len(starts), QUERIES):
+        some = starts[k : k + QUERIES]
         low, high = index.search(windows[some])
         first, where = np.unique(low, return_index=True)
         ends = high[where]
@@ -161,7 +158,7 @@ def resolve(contents: list[bytes], counts: np.ndarray, docs: np.ndarray) -> list
         cuts = np.stack([first, ends], 1).ravel()
         least = np.minimum.reduceat(np.append(doc_in_order, np.iinfo(np.int64).max), cuts)[::2]
         gone[some] = docs[owner[some]] > least[np.searchsorted(first, low)]
-    return [gone[b : b + n] for b, n in zip(begin.tolist(), counts.tolist(), strict=True)]
+    return gone[at]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -172,15 +169,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             kept, found, sizes = [], [], []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                words = _words_of(text)
-                gone = covered(len(words), removed, WINDOW) if removed else np.zeros(len(words), bool)
-                runs = runs_of(gone) if removed else []
+            texts = [_words_of(t) for t in batch.column("text").to_pylist()]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            for words, gone, n in zip(texts, covered(batch.column("removed"), lengths, WINDOW), lengths.tolist(), strict=True):
+                runs = [] if gone is None else runs_of(gone)
                 for a, b in reversed(runs):
                     del words[a:b]
                 kept.append(b" ".join(words))
                 found.append([{"start": a, "end": b} for a, b in runs])
-                sizes.append(len(gone))
+                sizes.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(found, spans), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "spans", "n_words"])
 
     return ready.select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_words long")
