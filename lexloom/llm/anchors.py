@@ -37,7 +37,9 @@ CHUNK = 1 << 15
 #: Bytes of input per bucket of hashes, and entries a task holds before it sends them.
 BUCKET_BYTES = 5 << 20
 HELD = 4_000_000
-HELD_BYTES = 96 << 20
+HELD_BYTES = 48 << 20
+#: Segments whose units are copied out at a time.
+SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -286,8 +288,10 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
             least = doc == np.repeat(doc[begin], np.diff(np.append(begin, len(key))))
             to = _bucket(anchor, buckets).astype(np.int32)
             # The least document's segments go to the bucket, the first of equal ones with its units; the others are settled.
-            length = (n + window - 1)[first]
-            yield from _batches(bucket=to[first], doc_id=doc[first], start=start[first], n=n[first], key=key[first].view(np.int64), data=_binary(_gathered(units, place[first], length), length))
+            for k in range(0, len(begin), SENT):
+                row = begin[k : k + SENT]
+                length = n[row] + window - 1
+                yield from _batches(bucket=to[row], doc_id=doc[row], start=start[row], n=n[row], key=key[row].view(np.int64), data=_binary(_gathered(units, place[row], length), length))
             again = least & ~first
             yield from _batches(bucket=to[again], doc_id=doc[again], start=start[again], n=n[again], key=key[again].view(np.int64), data=pa.nulls(int(again.sum()), pa.binary()))
             d, s, m = _merged(doc[~least], start[~least], n[~least])
