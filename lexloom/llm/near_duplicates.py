@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_byt
         joined = components(found, "linked")
     first = joined.select(F.col("node").alias("first_id"), F.col("component").alias("component_id"))
     out = classed.join(first, "first_id", "left")
-    component = F.coalesce("component_id", "first_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).otherwise(1).alias("n_copies"))
 
 
 def _travelled(sets: DataFrame, joined: DataFrame, block, percent: int) -> DataFrame:

@@ -79,9 +79,12 @@ def _forget_quietly(spark: SparkSession, where: str) -> None:
         return
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size, for choosing partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """The size of a table of texts, for choosing partition counts: Catalyst's estimate, or the texts' length where it has none."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 60:
+        return estimate
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
 
 
 def text_or_empty(name: str = "text") -> Column:
