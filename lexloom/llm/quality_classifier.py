@@ -83,10 +83,11 @@ def features(text: str) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> Model:
-    """Full-batch Adam on the non-negative risk."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05) -> Model:
+    """Full-batch Adam on the non-negative risk; the penalty on weights is that of a unit prior, one part in the number of positives."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, prior)
+    l2 = 1 / len(positive)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
