@@ -188,6 +188,19 @@ def test_line_dedup_of_odd_tables(spark):
     assert out == {1: "Some line here\n\nother text", 2: "fresh words", 3: None, None: "some line here"}
 
 
+def test_line_dedup_finds_lines_of_any_script(spark):
+    rng = random.Random(4)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(90)) + "\U0001f600" * 3
+    url = "https://example.org/" + "".join(rng.choice("abcdefghij0123456789/") for _ in range(90))
+    short = " ".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+    tabbed = "\t".join(str(rng.randrange(100)) for _ in range(60)) + "\r"
+    pairs = [("-" * 40, "-" * 41), (chinese, chinese[:-1]), (thai, thai[:40] + thai[41:]), (url, url + "#x"), (short, short[:-1] + "!"), (tabbed, "9" + tabbed)]
+    corpus = [(10 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    rows = {(r.doc_id, r.line_no) for r in line_dedup.removals(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert rows == lines_by_force(corpus) == {(10 * i + 1, 0) for i in range(len(pairs))}
+
+
 def test_token_ids_and_counts():
     json = tokens.tokenizer_json()
     whole, own = Tokenizer.from_str(json), tokens.Encoder(json)
