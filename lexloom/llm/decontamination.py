@@ -11,9 +11,13 @@ its slots are consistent: each value of the item always became the same value in
 different values stayed different. So an exact copy counts, and a copy with other numbers and names
 put in consistently does; a text that only has the same phrases doesn't.
 
+A window of fewer than MIN_LITERAL words other than slots is hashed with the values in its slots, so
+it only matches the same words. It counts where all of an item's windows are taken together; windows
+with more literals are also judged by themselves.
+
 Results for odd inputs: null texts count as empty and match nothing; an item of fewer than WINDOW
-words is one window, and one of fewer than MIN_LITERAL words other than slots is ignored, as it says
-too little; repeated rows are judged by themselves, but rows with one doc_id share the verdict; a
+words is one window, in either form, and documents are searched for windows of its length too; one
+of fewer than MIN_LITERAL words is ignored, as it says too little; repeated rows are judged by themselves, but rows with one doc_id share the verdict; a
 null doc_id or item_id is not judged; empty tables give no matches. Further columns aren't carried.
 """
 
@@ -74,6 +78,7 @@ class Tokens:
         self._known: dict[str, int] = {}
         self._hashes: list[tuple[int, int]] = []
         self._kinds: list[tuple[int, int]] = []
+        self._plain: list[int] = []
         self._ends: list[bool] = []
         self._arrays = None
 
@@ -81,11 +86,12 @@ class Tokens:
         found = [token(word, begins) for begins in (False, True)]
         self._hashes.append(tuple(_PLACEHOLDERS[k] or _hash(w) for k, w in found))
         self._kinds.append(tuple(k for k, _ in found))
+        self._plain.append(_hash(found[0][1]))
         self._ends.append(word.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":"))
         return len(self._ends) - 1
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, hashes, kinds) of the template tokens of a text."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, hashes, kinds) of the template tokens of a text, and hashes of its bare words."""
         words = text.split()
         if len(self._known) > CACHED:
             self._clear()
@@ -98,47 +104,50 @@ class Tokens:
             codes[k] = c
         if self._arrays is None or len(self._ends) != size:
             self._extend()
-        hashes, kinds, ends = self._arrays
+        hashes, kinds, plain, ends = self._arrays
         begins = np.concatenate([[True], ends[codes[:-1]]]) if len(codes) else np.empty(0, bool)
         at = begins.astype(np.int64)
-        return words, hashes[codes, at], kinds[codes, at]
+        return words, hashes[codes, at], kinds[codes, at], plain[codes]
 
     def _extend(self) -> None:
         old = 0 if self._arrays is None else self._filled
         n = len(self._ends)
-        if self._arrays is None or n > len(self._arrays[2]):
+        if self._arrays is None or n > len(self._arrays[-1]):
             room = max(1024, 2 * n)
-            fresh = (np.zeros((room, 2), np.uint64), np.zeros((room, 2), np.int8), np.zeros(room, bool))
+            fresh = (np.zeros((room, 2), np.uint64), np.zeros((room, 2), np.int8), np.zeros(room, np.uint64), np.zeros(room, bool))
             if self._arrays is not None:
                 for new, have in zip(fresh, self._arrays, strict=True):
                     new[:old] = have[:old]
             self._arrays = fresh
-        for have, values in zip(self._arrays, (self._hashes, self._kinds, self._ends), strict=True):
-            have[old:n] = np.array(values[old:n], have.dtype)
+        if n > old:  # an empty list has no second dimension
+            for have, values in zip(self._arrays, (self._hashes, self._kinds, self._plain, self._ends), strict=True):
+                have[old:n] = np.array(values[old:n], have.dtype)
         self._filled = n
 
 
-def window_hashes(hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the windows with enough literal tokens; a short text is one window."""
+def window_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the windows of `size` tokens."""
     n = len(hashes)
-    size = min(WINDOW, n)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n - size + 1, size, np.uint64)
+    if n < size:
+        return np.empty(0, np.uint64)
+    h = np.full(n - size + 1, seed, np.uint64)
     for k in range(size):
         h = (h ^ (h >> np.uint64(29))) * _MIX + hashes[k : n - size + 1 + k]
-    h ^= h >> np.uint64(32)
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    places = np.nonzero(literal[size:] - literal[:-size] >= MIN_LITERAL)[0]
-    return places, h[places]
+    return h ^ (h >> np.uint64(32))
+
+
+def literals(kinds: np.ndarray, size: int) -> np.ndarray:
+    """Literal tokens of each window."""
+    sums = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+    return sums[size:] - sums[:-size]
 
 
-_WINDOWS = "doc_id long, at int, hash long, slots array<struct<kind:int,value:string>>"
+_WINDOWS = "doc_id long, at int, size int, exact boolean, hash long, slots array<struct<kind:int,value:string>>"
 _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
 
 
-def template_windows(texts: DataFrame, bitmap=None) -> DataFrame:
-    """doc_id, at, hash, slots of the template windows of texts (doc_id, text); with a broadcast bitmap, of those it holds."""
+def template_windows(texts: DataFrame, bitmap=None, forms: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """Windows of texts (doc_id, text): those of benchmark items; or, with a broadcast bitmap, those of the given forms (size, exact) that it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -146,18 +155,28 @@ def template_windows(texts: DataFrame, bitmap=None) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, hashes, kinds = tokens.of(text)
-                places, found = window_hashes(hashes, kinds)
-                if bits is not None and len(found):
-                    bit = (found % np.uint64(BITMAP_BITS)).astype(np.int64)
-                    hit = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-                    places, found = places[hit], found[hit]
-                size = min(WINDOW, len(words))
-                for at, h in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
-                    slots = [{"kind": int(kinds[i]), "value": words[i].strip(_EDGE).lower()} for i in range(at, at + size) if kinds[i]]
-                    rows.append((key, at, h, slots))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), _SLOTS), strict=True)], names=["doc_id", "at", "hash", "slots"])
+                words, hashes, kinds, plain = tokens.of(text)
+                own = min(WINDOW, len(words))
+                for size, exact in ([(own, False), (own, True)] if own >= MIN_LITERAL else []) if bits is None else forms:
+                    if len(words) < size:
+                        continue
+                    found = window_hashes(plain if exact else hashes, size, size + WINDOW + 1 if exact else size)
+                    if not exact:
+                        wanted = literals(kinds, size) >= MIN_LITERAL
+                    elif bits is None and size == WINDOW:
+                        wanted = literals(kinds, size) < MIN_LITERAL
+                    else:
+                        wanted = np.ones(len(found), bool)
+                    if bits is not None:
+                        bit = (found % np.uint64(BITMAP_BITS)).astype(np.int64)
+                        wanted &= bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+                    places = np.nonzero(wanted)[0]
+                    for at, h in zip(places.tolist(), found[places].view(np.int64).tolist(), strict=True):
+                        slots = [{"kind": int(kinds[i]), "value": words[i].strip(_EDGE).lower()} for i in range(at, at + size) if kinds[i]]
+                        rows.append((key, at, size, exact, h, slots))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kept = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), _SLOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kept, strict=True)], names=["doc_id", "at", "size", "exact", "hash", "slots"])
 
     return texts.mapInArrow(run, _WINDOWS)
 
@@ -179,24 +198,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    asked = template_windows(items).select(F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
+    asked = template_windows(items).select(F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), "size", "exact", "hash", F.col("slots").alias("item_slots"))
     asked = written(asked, "benchmark")
     sent = spark.sparkContext.broadcast(_bitmap(asked))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    hits = template_windows(texts, sent).join(asked, "hash")
+    forms = [(r.size, r.exact) for r in asked.select("size", "exact").distinct().collect()]  # at most two a length
+    hits = template_windows(texts, sent, forms).join(asked, ["hash", "size", "exact"])
+    same = F.transform("item_slots", lambda a: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), a["value"].alias("given")))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), b["value"].alias("given")))
-    aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", pairs.alias("pairs"))
+    aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "exact", F.when(F.col("exact"), same).otherwise(pairs).alias("pairs"))
     aligned = written(aligned, "hits")
-    matched = aligned.groupBy("doc_id", "item_id", "distance").agg(F.countDistinct("item_at").alias("n_matched"))
+    template = F.when(~F.col("exact"), F.col("item_at"))
+    matched = aligned.groupBy("doc_id", "item_id", "distance").agg(F.countDistinct("item_at").alias("n_matched"), F.countDistinct(template).alias("n_alike"))
     slots = aligned.select("doc_id", "item_id", "distance", F.explode("pairs").alias("p")).select("doc_id", "item_id", "distance", "p.*").distinct()
     per = ["doc_id", "item_id", "distance"]
     consistent = slots.groupBy(*per).agg(
         F.countDistinct("kind", "asked").alias("n_asked"), F.countDistinct("kind", "given").alias("n_given"), F.count("*").alias("n_slots"), F.count_if(F.col("asked") != F.col("given")).alias("n_changed")
     )
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(template).alias("n_templates"))
     judged = matched.join(consistent, per, "left").join(sizes, "item_id")
     fine = F.coalesce((F.col("n_asked") == F.col("n_slots")) & (F.col("n_given") == F.col("n_slots")), F.lit(True))
-    leaks = judged.where(fine & (100 * F.col("n_matched") >= COVER * F.col("n_windows")))
+    alike = (F.col("n_alike") > 0) & (100 * F.col("n_alike") >= COVER * F.col("n_templates"))
+    leaks = judged.where(fine & (alike | (100 * F.col("n_matched") >= COVER * F.col("n_windows"))))
     best = F.max(F.struct("n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))).alias("best")
     return leaks.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), best).select("doc_id", "item_id", "n_windows", "best.*")
 

@@ -315,6 +315,21 @@ def test_decontamination(spark):
     assert decontamination.verdicts(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_short_and_number_heavy_copies(spark):
+    items = [(1, "which river flows through the old town"), (2, "How tall is Mount Everest today?"), (3, "12 34 56 78 90 11 22 33 44 55 66 77"), (4, "add Anna 5 Bob 7 Carla 9 Dora 11 Emil 13 Frida 15"), (5, "name Rome Paris Oslo")]
+    docs = [(k, f"some words stand before this. {t} and many other words come after it here") for k, t in items]
+    docs += [(20, "they asked How tall is Mount Everest today? and went on to other things"), (21, "12 34 56 78 91 11 22 34 44 55 67 77 and many other words come after it here"), (22, ""), (23, "which river flows through the new town and many other words")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, b).collect()}
+    assert got == {(k, k) for k, _ in items} | {(20, 2)}
+
+
+def test_decontamination_of_a_first_row_without_words(spark):
+    d = spark.createDataFrame([(1, ""), (2, "a b c")], "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(1, "one line of words that is long enough here")], "item_id long, text string")
+    assert decontamination.verdicts(d, b).where("kept").count() == 2
+
+
 def test_bitmap_holds_all_hashes(spark):
     rng = random.Random(3)
     hashes = [rng.randrange(-(2**63), 2**63) for _ in range(500)] + [0, -1, decontamination.BITMAP_BITS - 1]
