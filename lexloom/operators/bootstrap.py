@@ -1,7 +1,7 @@
 """Hierarchical paired bootstrap: seeds are drawn, then rows within each, and metric deltas averaged.
 
-The components of all rows are small integers, gathered per seed into arrays; replicates are dealt to tasks,
-each with a random stream of its own (replicate number and seed), so results don't depend on the
+A seed's rows are told apart by their two hits only, so a seed is four counts at most, and rows drawn from it
+are a multinomial draw from these. A hit that is null counts as 0. Replicates are dealt to tasks, each with a random stream of its own (replicate number and seed), so results don't depend on the
 number of tasks.
 """
 
@@ -14,18 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of all seeds together that are sent to the tasks; more is an error, as each replicate draws from all.
-MAX_ROWS = 2_000_000
 COLUMNS = ["seed", "base_hit", "new_hit"]
 
 
 def deltas(pairs: DataFrame, replicates: int, random_seed: int = 20260729) -> DataFrame:
     """(replicate, delta) of accuracy; pairs: seed, base_hit, new_hit (0 or 1) per row."""
     spark = pairs.sparkSession
-    frame = pairs.select(*COLUMNS).limit(MAX_ROWS + 1).toPandas()
-    if len(frame) > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} rows to draw from")
-    groups = [g[["base_hit", "new_hit"]].sort_values(["base_hit", "new_hit"]).to_numpy(np.int8) for _, g in frame.groupby("seed", sort=True)]
+    hits = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in COLUMNS[1:]]
+    counts = pairs.where("seed IS NOT NULL").select("seed", *hits).groupBy(*COLUMNS).count()
+    frame = counts.toPandas().sort_values(COLUMNS)  # four rows a seed at most
+    groups = [((g["new_hit"] - g["base_hit"]).to_numpy(), g["count"].to_numpy()) for _, g in frame.groupby("seed", sort=True)]
     sent = spark.sparkContext.broadcast(groups)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +33,7 @@ def deltas(pairs: DataFrame, replicates: int, random_seed: int = 20260729) -> Da
             for k in part["id"]:
                 rng = np.random.default_rng([random_seed, int(k)])
                 drawn = [data[i] for i in rng.integers(0, len(data), len(data))]
-                out.append(np.mean([np.diff(g[rng.integers(0, len(g), len(g))].mean(0))[0] for g in drawn]))
+                out.append(np.mean([rng.multinomial(n.sum(), n / n.sum()) @ change / n.sum() for change, n in drawn]))
             yield pd.DataFrame({"replicate": part["id"], "delta": out})
 
     return spark.range(replicates).mapInPandas(run, "replicate long, delta double")

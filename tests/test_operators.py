@@ -178,6 +178,12 @@ def test_augmented_examples_keep_slots(spark):
     assert len(made) == 6 and all(len({r.utt for r in g}) == 3 for _, g in itertools.groupby(sorted(made, key=lambda r: r.source_test_id), lambda r: r.source_test_id))
 
 
+def test_bootstrap_draws_from_any_number_of_rows(spark):
+    rows = spark.range(2_400_000).selectExpr("id % 2 AS seed", "cast(id % 8 < 4 AS int) AS base_hit", "cast(id % 8 < 6 AS int) AS new_hit")
+    out = bootstrap.interval(bootstrap.deltas(rows, 100)).first()
+    assert abs(out.mean_delta - 0.25) < 0.001 and 0.247 < out.low < out.high < 0.253
+
+
 def test_bootstrap_is_the_same_on_any_partitioning(spark):
     rows = spark.createDataFrame([(s, i % 2, int(i % 3 > 0)) for s in range(3) for i in range(30)], "seed int, base_hit int, new_hit int")
     a = one(bootstrap.interval(bootstrap.deltas(rows, 200)))
