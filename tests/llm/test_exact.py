@@ -150,7 +150,7 @@ def lines_by_force(corpus):
     first, occurrences = {}, []
     for i, t in corpus:
         for k, line in enumerate((t or "").split("\n")):
-            if line := line.strip(" ").lower():
+            if line := line.strip(line_dedup.BLANK).lower():
                 first.setdefault(line, (i, k))
                 occurrences.append((i, k, line))
     lines = list(first)
@@ -188,6 +188,33 @@ def test_line_dedup_of_odd_tables(spark):
     assert out == {1: "Some line here\n\nother text", 2: "fresh words", 3: None, None: "some line here"}
 
 
+def test_line_dedup_of_blanks_clashing_columns_and_repeated_ids(spark):
+    schema = "doc_id long, text string, n_lines string, n_removed string, removed_from string, line string"
+    more = ("a", "b", "c", "d")
+    rows = [(1, "\t \nx marks\ny marks", *more), (1, "z marks\nx marks", *more), (6, "\t \n\u000b\n", *more), (7, "x marks\n" + "long words " * 60_000, *more), (8, "long words " * 50_000, *more)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, schema)).collect()
+    assert all(tuple(r)[2:] == more for r in out)
+    texts = sorted((r.doc_id, r.text[:30]) for r in out)
+    kept_once = [t for i, t in texts if i == 1]
+    assert sum("x marks" in t for t in kept_once) == 1 and sum("y marks" in t for t in kept_once) == 1 and sum("z marks" in t for t in kept_once) == 1
+    assert texts[2:] == [(6, "\t \n\u000b\n"), (7, ("long words " * 3)[:30]), (8, "")]
+
+
+def test_line_dedup_minima_have_high_recall():
+    rng = random.Random(8)
+    for n in (8, 14, 30, 60, 90, 200, 700):
+        pairs = []
+        for _ in range(150):
+            a = "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(n))
+            b = a
+            while len(line_dedup.shingle_set(a) & (s := line_dedup.shingle_set(c := b[: (i := rng.randrange(len(b)))] + "x" + b[i + 1 :]))) >= 0.8 * len(line_dedup.shingle_set(a) | s):
+                b = c
+            pairs.append((a, b))
+        one, two = (line_dedup.minima(list(x)) for x in zip(*pairs, strict=True))
+        (k, has), (m, also) = line_dedup.band_keys(*one), line_dedup.band_keys(*two)
+        assert ((k == m) & has & also).any(1).mean() > 0.97
+
+
 def test_line_dedup_finds_lines_of_any_script(spark):
     rng = random.Random(4)
     chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
