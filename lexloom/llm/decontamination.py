@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units and names become typed placeholders, other words lose
-case and outer punctuation. Windows of WINDOW tokens of the benchmark items are hashed; the windows
+case and outer punctuation. Words that make up one number or name are one token, and a capital at a
+sentence's start is a name's if the word is a name elsewhere in the text. Windows of WINDOW tokens of the benchmark items are hashed; the windows
 of the documents first pass a bitmap of fixed size (BITMAP_BITS) of the benchmark's hashes, so only
 windows that may match are shuffled, and are then joined with the benchmark's windows by hash.
 
 A match keeps the values in its slots. Matches of one item in one document, at one distance, are
-one alignment. An alignment counts if it covers at least COVER percent of the item's windows and
+one alignment; so are those at a chain of distances at most SHIFT apart, as a word may be put in or
+left out, or a name have more words. An alignment counts if it covers at least COVER percent of the item's windows and
 its slots are consistent: each value of the item always became the same value in the document, and
 different values stayed different. So an exact copy counts, and a copy with other numbers and names
 put in consistently does; a text that only has the same phrases doesn't.
@@ -23,43 +25,45 @@ null doc_id or item_id is not judged; empty tables give no matches. Further colu
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import small_batches, text_or_empty, written
+from lexloom.llm.shared import BLANKS, small_batches, text_or_empty, written
 
 WINDOW = 8
 #: Literal tokens a window needs.
 MIN_LITERAL = 4
 COVER = 50
+#: Words by which the distances of neighbours in an alignment may differ, as words come in or go.
+SHIFT = 4
 BITMAP_BITS = 1 << 25
 CACHED = 300_000
 #: Units of measure, fixed values.
 UNITS = frozenset("km m cm mm mi mile miles ft feet inch inches yd kg g mg lb lbs oz ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh % percent $ usd eur gbp dollar dollars cent cents euro euros pound pounds °c °f degrees w kw kwh j kj cal kcal v a hz khz mhz ghz b kb mb gb tb".split())
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?(?:[a-z%°]{0,3})?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|hundred|thousand|million")
+#: Words for numbers, fixed values.
+NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
+_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?(?:[a-z%°]{0,3})?")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%") + "“”‘’«»¿¡…–—"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 LITERAL, NUMBER, UNIT, NAME = range(4)
-
-
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
-_PLACEHOLDERS = [0, *(_hash(f"<{kind}>") for kind in ("number", "unit", "name"))]
+_SOLID = ~np.isin(np.arange(256), list(BLANKS))
+_EDGE_BYTES = np.isin(np.arange(256), list(_EDGE.encode("ascii", "ignore"))) | ~_SOLID
+_QUOTE_BYTES = np.isin(np.arange(256), list(b"\"')")) | ~_SOLID
+_STOP_BYTES = np.isin(np.arange(256), list(b".!?:"))
+_SLOW_BYTES = np.isin(np.arange(256), list(b"0123456789$%ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def token(word: str, begins: bool) -> tuple[int, str]:
     """(kind, bare word) of a word; begins: it begins a sentence, where a capital tells nothing."""
     bare = word.strip(_EDGE)
     low = bare.lower()
-    if _NUMBER.fullmatch(low):
+    if low in NUMBER_WORDS or _NUMBER.fullmatch(low):
         return NUMBER, low
     if low in UNITS and len(low) > 1 or low in ("$", "%"):
         return UNIT, low
@@ -68,61 +72,122 @@ def token(word: str, begins: bool) -> tuple[int, str]:
     return LITERAL, low
 
 
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes."""
+    h = (end - start).astype(np.uint64) * _MIX
+    room = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(room, (len(raw) + 1, 8), (1, 1))
+    live = np.nonzero(end > start)[0]
+    at = start[live]
+    while len(live):  # eight bytes of each run that has some left
+        left = end[live] - at
+        part = np.ascontiguousarray(eight[at]).view("<u8")[:, 0] & _LOW_BYTES[np.minimum(left, 8)]
+        g = (h[live] ^ part) * _MIX
+        h[live] = g ^ (g >> np.uint64(29))
+        more = left > 8
+        live, at = live[more], at[more] + 8
+    return h
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    data = [w.encode("utf-8", "replace") for w in words]
+    ends = np.cumsum([0, *map(len, data)])
+    return run_hashes(np.frombuffer(b"".join(data), np.uint8), ends[:-1], ends[1:])
+
+
+def _within(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a run has a flagged place."""
+    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+    return sums[end] > sums[start]
+
+
+def _trimmed(keep: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs from their first to after their last flagged place; empty if they have none."""
+    places = np.append(np.nonzero(keep)[0], len(keep))
+    first, last = np.searchsorted(places, start), np.searchsorted(places, end) - 1
+    some = first <= last
+    return np.where(some, places[first], start), np.where(some, places[np.maximum(last, 0)] + 1, start)
+
+
+_PLACEHOLDERS = np.append(np.uint64(0), hashes_of(["<number>", "<unit>", "<name>"]))
+_WORDS_OF = {w: k for k, words in ((NUMBER, NUMBER_WORDS), (UNIT, UNITS)) for w in words if len(w) > 1}
+_CODES = hashes_of(list(_WORDS_OF))
+_CODE_KINDS = np.array(list(_WORDS_OF.values()), np.int8)[np.argsort(_CODES)]
+_CODES.sort()
+
+
 class Tokens:
-    """Template tokens of words, by a bounded cache of words."""
+    """Template tokens of words. Words in small letters are judged as bytes, all at a time; those with capitals, digits or
+    rarer characters one by one, with a bounded table of known ones."""
 
     def __init__(self):
-        self._clear()
-
-    def _clear(self) -> None:
-        self._known: dict[str, int] = {}
-        self._hashes: list[tuple[int, int]] = []
-        self._kinds: list[tuple[int, int]] = []
-        self._plain: list[int] = []
-        self._ends: list[bool] = []
-        self._arrays = None
-
-    def _add(self, word: str) -> int:
-        found = [token(word, begins) for begins in (False, True)]
-        self._hashes.append(tuple(_PLACEHOLDERS[k] or _hash(w) for k, w in found))
-        self._kinds.append(tuple(k for k, _ in found))
-        self._plain.append(_hash(found[0][1]))
-        self._ends.append(word.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":"))
-        return len(self._ends) - 1
-
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, hashes, kinds) of the template tokens of a text, and hashes of its bare words."""
-        words = text.split()
+        self._known: dict[int, tuple] = {}
+
+    def of(self, text: str) -> tuple:
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> list[tuple]:
+        """(words, hashes, kinds, plain, tokens) of each text: its words, template hashes, kinds and hashes of the bare words;
+        tokens: the first word of each template token, as words of one name or number are one token."""
+        raws = [t.encode("utf-8", "replace") for t in texts]
+        raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+        edge = np.diff(np.concatenate([[0], _SOLID[raw].view(np.int8), [0]]))
+        start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        n, row = len(start), np.arange(len(start))
+        plain = run_hashes(raw, *_trimmed(~_EDGE_BYTES[raw], start, end))
+        at = np.minimum(np.searchsorted(_CODES, plain), len(_CODES) - 1)
+        kinds = np.repeat(np.where(_CODES[at] == plain, _CODE_KINDS[at], LITERAL).astype(np.int8)[:, None], 2, 1)
+        _, after = _trimmed(~_QUOTE_BYTES[raw], start, end)
+        ends = (after > start) & _STOP_BYTES[raw[np.maximum(after - 1, 0)]]
+        rare = raw >= 128
+        rare[:-1] &= ~((raw[:-1] == 0xC3) & (raw[1:] >= 0x9F))
+        rare[1:] &= ~((raw[:-1] == 0xC3) & (raw[1:] >= 0x9F))
+        slow = np.nonzero(_within(rare | _SLOW_BYTES[raw], start, end))[0]
+        if len(slow):
+            codes, where, inverse = np.unique(run_hashes(raw, start[slow], end[slow]), return_index=True, return_inverse=True)
+            found = self._judged(codes.tolist(), raw, start[slow[where]].tolist(), end[slow[where]].tolist())
+            for have, values in zip((kinds, plain, ends), zip(*found, strict=True), strict=True):
+                have[slow] = np.array(values, have.dtype)[inverse]
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+        begins = np.append(True, ends[:-1])[:n]
+        begins[bounds[:-1][bounds[:-1] < n]] = True
+        kind = kinds[row, begins.astype(np.int64)]
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = kind[a:b].copy()
+            names = plain[a:b][own == NAME]
+            if len(names):  # at the start of a sentence a capital is a name's if the word is a name elsewhere
+                own[(kinds[a:b, 0] == NAME) & np.isin(plain[a:b], names)] = NAME
+            hashes = np.where(own == LITERAL, plain[a:b], _PLACEHOLDERS[own])
+            again = np.append(False, (own[1:] == own[:-1]) & ((own[1:] == NAME) | (own[1:] == NUMBER)) & ~ends[a : max(a, b - 1)])[: b - a]
+            out.append((_Words(raw, start[a:b], end[a:b]), hashes, own, plain[a:b], np.nonzero(~again)[0]))
+        return out
+
+    def _judged(self, codes: list[int], raw: np.ndarray, start: list[int], end: list[int]) -> list[tuple]:
+        """(kinds, plain, ends) of words, from the table or looked at now."""
         if len(self._known) > CACHED:
-            self._clear()
-        known, size = self._known, len(self._ends)
-        codes = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            c = known.get(w)
-            if c is None:
-                c = known[w] = self._add(w)
-            codes[k] = c
-        if self._arrays is None or len(self._ends) != size:
-            self._extend()
-        hashes, kinds, plain, ends = self._arrays
-        begins = np.concatenate([[True], ends[codes[:-1]]]) if len(codes) else np.empty(0, bool)
-        at = begins.astype(np.int64)
-        return words, hashes[codes, at], kinds[codes, at], plain[codes]
-
-    def _extend(self) -> None:
-        old = 0 if self._arrays is None else self._filled
-        n = len(self._ends)
-        if self._arrays is None or n > len(self._arrays[-1]):
-            room = max(1024, 2 * n)
-            fresh = (np.zeros((room, 2), np.uint64), np.zeros((room, 2), np.int8), np.zeros(room, np.uint64), np.zeros(room, bool))
-            if self._arrays is not None:
-                for new, have in zip(fresh, self._arrays, strict=True):
-                    new[:old] = have[:old]
-            self._arrays = fresh
-        if n > old:  # an empty list has no second dimension
-            for have, values in zip(self._arrays, (self._hashes, self._kinds, self._plain, self._ends), strict=True):
-                have[old:n] = np.array(values[old:n], have.dtype)
-        self._filled = n
+            self._known.clear()
+        fresh = [k for k, c in enumerate(codes) if c not in self._known]
+        words = [raw[start[k] : end[k]].tobytes().decode("utf-8", "replace") for k in fresh]
+        judged = [(token(w, False), token(w, True)) for w in words]
+        for k, w, (within, first), h in zip(fresh, words, judged, hashes_of([j[0][1] for j in judged]), strict=True):
+            self._known[codes[k]] = ((within[0], first[0]), h, w.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":"))
+        return [self._known[c] for c in codes]
+
+
+class _Words:
+    """The words of a text by number, decoded when they are asked for."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self._raw, self._start, self._end = raw, start, end
+
+    def __len__(self) -> int:
+        return len(self._start)
+
+    def value(self, a: int, b: int) -> str:
+        """Words a to b - 1 without case and outer punctuation."""
+        words = (self._raw[self._start[k] : self._end[k]].tobytes().decode("utf-8", "replace") for k in range(a, b))
+        return " ".join(w.strip(_EDGE).lower() for w in words)
 
 
 def window_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -154,15 +219,17 @@ def template_windows(texts: DataFrame, bitmap=None, forms: list[tuple[int, bool]
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             rows = []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, hashes, kinds, plain = tokens.of(text)
-                own = min(WINDOW, len(words))
-                for size, exact in ([(own, False), (own, True)] if own >= MIN_LITERAL else []) if bits is None else forms:
-                    if len(words) < size:
+            found_in = tokens.of_all(batch.column(1).to_pylist())
+            for key, (words, hashes, kinds, plain, firsts) in zip(batch.column(0).to_pylist(), found_in, strict=True):
+                short, few = min(WINDOW, len(words)), min(WINDOW, len(firsts))
+                own = [(few, False)] * (few >= MIN_LITERAL) + [(short, True)] * (short >= MIN_LITERAL)
+                for size, exact in own if bits is None else forms:
+                    units = np.arange(len(words)) if exact else firsts
+                    if len(units) < size:
                         continue
-                    found = window_hashes(plain if exact else hashes, size, size + WINDOW + 1 if exact else size)
+                    found = window_hashes((plain if exact else hashes)[units], size, size + WINDOW + 1 if exact else size)
                     if not exact:
-                        wanted = literals(kinds, size) >= MIN_LITERAL
+                        wanted = literals(kinds[units], size) >= MIN_LITERAL
                     elif bits is None and size == WINDOW:
                         wanted = literals(kinds, size) < MIN_LITERAL
                     else:
@@ -171,9 +238,10 @@ def template_windows(texts: DataFrame, bitmap=None, forms: list[tuple[int, bool]
                         bit = (found % np.uint64(BITMAP_BITS)).astype(np.int64)
                         wanted &= bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
                     places = np.nonzero(wanted)[0]
+                    until = np.append(units, len(words))
                     for at, h in zip(places.tolist(), found[places].view(np.int64).tolist(), strict=True):
-                        slots = [{"kind": int(kinds[i]), "value": words[i].strip(_EDGE).lower()} for i in range(at, at + size) if kinds[i]]
-                        rows.append((key, at, size, exact, h, slots))
+                        slots = [{"kind": int(kinds[units[i]]), "value": words.value(until[i], until[i + 1])} for i in range(at, at + size) if kinds[units[i]]]
+                        rows.append((key, int(units[at]), size, exact, h, slots))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kept = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), _SLOTS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kept, strict=True)], names=["doc_id", "at", "size", "exact", "hash", "slots"])
@@ -193,6 +261,18 @@ def _bitmap(windows: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _alignments(hits: DataFrame) -> DataFrame:
+    """hits with `alignment`: each once with the matches at its own distance, and once with those at distances near it, where there are any."""
+    order = Window.partitionBy("doc_id", "item_id").orderBy("distance")
+    distances = hits.select("doc_id", "item_id", "distance").distinct()
+    starts = distances.withColumn("new", F.coalesce((F.col("distance") - F.lag("distance").over(order) > SHIFT).cast("int"), F.lit(0)))
+    chained = starts.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = chained.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "item_id", "chain"))).where("n > 1")
+    own = hits.withColumn("alignment", F.concat_ws(":", F.lit("at"), "distance"))
+    wide = hits.join(near.select("doc_id", "item_id", "distance", "chain"), ["doc_id", "item_id", "distance"])
+    return own.unionByName(wide.withColumn("alignment", F.concat_ws(":", F.lit("chain"), "chain")).drop("chain"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, n_slots and n_changed (of the best alignment) for each leak found."""
     spark = docs.sparkSession
@@ -207,11 +287,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.transform("item_slots", lambda a: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), a["value"].alias("given")))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), b["value"].alias("given")))
     aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "exact", F.when(F.col("exact"), same).otherwise(pairs).alias("pairs"))
-    aligned = written(aligned, "hits")
+    aligned = _alignments(written(aligned, "hits"))
+    per = ["doc_id", "item_id", "alignment"]
     template = F.when(~F.col("exact"), F.col("item_at"))
-    matched = aligned.groupBy("doc_id", "item_id", "distance").agg(F.countDistinct("item_at").alias("n_matched"), F.countDistinct(template).alias("n_alike"))
-    slots = aligned.select("doc_id", "item_id", "distance", F.explode("pairs").alias("p")).select("doc_id", "item_id", "distance", "p.*").distinct()
-    per = ["doc_id", "item_id", "distance"]
+    matched = aligned.groupBy(*per).agg(F.countDistinct("item_at").alias("n_matched"), F.countDistinct(template).alias("n_alike"))
+    slots = aligned.select(*per, F.explode("pairs").alias("p")).select(*per, "p.*").distinct()
     consistent = slots.groupBy(*per).agg(
         F.countDistinct("kind", "asked").alias("n_asked"), F.countDistinct("kind", "given").alias("n_given"), F.count("*").alias("n_slots"), F.count_if(F.col("asked") != F.col("given")).alias("n_changed")
     )
@@ -233,5 +313,5 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a leak, with the columns they came with."""
-    leaked = contaminated(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti")
+    leaked = contaminated(docs, benchmark).select(F.col("doc_id").alias("_lexloom_leaked")).distinct()
+    return docs.join(leaked, docs["doc_id"].cast("long") == F.col("_lexloom_leaked"), "left_anti")

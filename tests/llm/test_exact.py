@@ -363,3 +363,16 @@ def test_bitmap_holds_all_hashes(spark):
     bits = decontamination._bitmap(spark.createDataFrame([(h,) for h in hashes], "hash long"))
     at = [h % decontamination.BITMAP_BITS for h in hashes]
     assert all(bits[a >> 3] >> (a & 7) & 1 for a in at) and sum(map(int.bit_count, bits)) == len(set(at))
+
+
+def test_decontamination_allows_for_words_put_in_and_longer_names(spark):
+    item = "The farmer Anna sold 12 baskets of ripe apples at the market while her brother Tom carried 7 boxes of pears to the old mill before the rain began to fall on the hills"
+    told = item.replace("Anna", "Anna Maria").replace("12", "twenty five").replace("Tom", "Peter")
+    longer = item.replace("while her", "while also her")
+    other = "Nobody sold baskets of anything today because the whole market was closed and the boxes of pears had gone to another mill far beyond the hills"
+    rows = [(1, ""), (2, f"Well then {told} and more was said"), (3, f"{longer} indeed"), (4, other), (5, None), (6, "word " * 200_000 + item), (7, f"so {item}"), (7, f"so {item}")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, leaked string").coalesce(1)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [1, 4, 5]
+    assert {r.doc_id: r.n_items for r in decontamination.verdicts(docs, bench).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1}
+    assert decontamination.clean(docs.limit(0), bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == 8
