@@ -8,6 +8,8 @@ with one anchor form a segment: the units from the first of them to the end of t
    document that has it. Anchors that several documents of one task have are known there already,
    so their documents aren't sent: a passage of a third of all documents costs each task one entry.
    A bucket returns to (document, hash) what it saw twice.
+   Anchors that more than HOT documents have are hot: their windows get a second, longer anchor, so
+   the many surroundings of one passage don't end in one bucket.
 2. `segments`: of the documents with shared anchors, the segments of these, again once per task and
    content: of equal segments in a task all but the least document's lose all their windows at
    once, as a smaller document has the same.
@@ -21,23 +23,26 @@ of copies, and only step 1 sees all units.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import input_bytes, small_batches, text_or_empty, written
+from lexloom.llm.shared import input_bytes, release, small_batches, text_or_empty, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xFFFF)
 #: Windows that are hashed at a time; a place within has to fit in 16 bits.
 CHUNK = 1 << 15
-#: Bytes of input per bucket of hashes, and entries a task holds before it sends them.
-BUCKET_BYTES = 5 << 20
-HELD = 4_000_000
-HELD_BYTES = 48 << 20
+#: Bytes of (compressed) input per partition, and buckets of segments in one; a task holds one bucket at a time.
+PARTITION_BYTES, BUCKETS = 5 << 20, 8
+#: Entries, and bytes of segments, that a task holds before it sends them.
+HELD = 1_500_000
+HELD_BYTES = 24 << 20
+#: Documents from which an anchor is hot.
+HOT = 500
 #: Segments whose units are copied out at a time.
 SENT = 20_000
 
@@ -52,6 +57,8 @@ class Unit:
     cutter: Callable[[], Callable[[str], np.ndarray]]
     #: Unsigned 64-bit hashes of an array of units.
     hashed: Callable[[np.ndarray], np.ndarray]
+    #: The length of second anchors.
+    second: int = 0
 
 
 def _anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +222,7 @@ Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 class Contents:
-    """Hashes of runs of units: prefix sums of a polynomial, whose powers are kept."""
+    """Hashes of runs of units (two at least): prefix sums of a polynomial, whose powers are kept."""
 
     _BASE = 0x9E3779B97F4A7C15
 
@@ -223,6 +230,11 @@ class Contents:
         self._powers = self._inverses = np.ones(1, np.uint64)
 
     def of(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        # Pairs of neighbours are scrambled first: a polynomial of the units themselves has known collisions modulo 2^64.
+        last = hashes[start + size - 1] * np.uint64(0xD6E8FEB86659FD93)
+        hashes = hashes[:-1] * _MIX + hashes[1:]
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(27)
         n = len(hashes) + 1
         if n > len(self._powers):
             for name, base in (("_powers", self._BASE), ("_inverses", pow(self._BASE, -1, 2**64))):
@@ -230,7 +242,8 @@ class Contents:
                 factors[0] = 1
                 setattr(self, name, np.cumprod(factors))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self._powers[: n - 1])])
-        h = (sums[start + size] - sums[start]) * self._inverses[start] + size.astype(np.uint64) * _MIX
+        h = (sums[start + size - 1] - sums[start]) * self._inverses[start] + size.astype(np.uint64) * _MIX
+        h += last ^ (last >> np.uint64(29))
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
@@ -264,10 +277,13 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     """doc_id, start, n: each window start to start + n - 1 of doc_id also starts in a document with a smaller id."""
-    buckets = max(4, min(1_000_000, input_bytes(docs) // BUCKET_BYTES))
-    shared = written(_shared_anchors(docs, unit, max(4, buckets // 4)), "anchors")
-    asked = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("data"))
-    window = unit.window
+    parts = max(4, min(1_000_000, input_bytes(docs) // PARTITION_BYTES))
+    buckets = parts * BUCKETS
+    shared = written(_shared_anchors(docs, unit, parts), "anchors")
+    release(docs.sparkSession)
+    hot = shared.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("hot"))
+    asked = shared.join(hot, "hash", "left").groupBy("doc_id").agg(F.collect_list("hash").alias("data"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+    window, finer = unit.window, replace(unit, gram=unit.second)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, contents = unit.cutter(), Contents()
@@ -301,16 +317,28 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
             ids = _numbers(batch, "doc_id").astype(np.int64)
             cuts = [cut(t) for t in batch.column("text").to_pylist()]
             which, start, count, hashes = segments_of(cuts, unit)
-            data = batch.column("data")
-            asked_by = np.repeat(np.arange(len(ids)), data.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
-            asked_for = data.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            wanted = np.isin(hashes ^ (which.astype(np.uint64) * _MIX), asked_for ^ (asked_by * _MIX))
+
+            def listed(name: str) -> np.ndarray:
+                data = batch.column(name)
+                asked_by = np.repeat(np.arange(len(ids)), data.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
+                asked_for = data.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                return np.isin(hashes ^ (which.astype(np.uint64) * _MIX), asked_for ^ (asked_by * _MIX))
+
+            wanted = listed("data")
             which, start, count, hashes = which[wanted], start[wanted], count[wanted], hashes[wanted]
             if not len(which):
                 continue
             lengths = np.array([len(c) for c in cuts], np.int64)
             units = np.concatenate(cuts)
-            place = (np.cumsum(lengths) - lengths)[which] + start
+            base = np.cumsum(lengths) - lengths
+            if (many := listed("hot")).any():
+                at = np.nonzero(many)[0]
+                spans = zip((base[which[at]] + start[at]).tolist(), (count[at] + window - 1).tolist(), strict=True)
+                k, s, n, h = segments_of([units[a : a + m] for a, m in spans], finer)
+                which, start, count, hashes = (
+                    np.concatenate([x[~many], y]) for x, y in zip((which, start, count, hashes), (which[at][k], start[at][k] + s, n, (hashes[at][k] ^ h) * _MIX), strict=True)
+                )
+            place = base[which] + start
             key = contents.of(unit.hashed(units), place, count + window - 1)
             held.append((key, ids[which], start, count, place + n_held, hashes))
             texts.append(units)
@@ -326,14 +354,14 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
         kind = unit.cutter()("x").dtype
 
         def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            key, doc, start, n = (_numbers(rows, c) for c in ("key", "doc_id", "start", "n"))
-            empty = rows.column("data").is_null().to_numpy(zero_copy_only=False)
+            key, doc, start, n = (np.concatenate([_numbers(p, c) for p in parts]) for c in ("key", "doc_id", "start", "n"))
+            data = pa.chunked_array([p.column("data") for p in parts])
+            empty = data.is_null().to_numpy()
             order = np.lexsort((empty, doc, key))  # of the least document, the row with the units first
             key, doc, start, n = key[order], doc[order], start[order], n[order]
             begin = _grouped(key)
             group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
-            units = np.frombuffer(b"".join(rows.column("data").take(pa.array(order[begin])).to_pylist()), kind)
+            units = np.frombuffer(b"".join(x for c in data.take(pa.array(order[begin])).chunks for x in c.to_pylist()), kind)
             sizes = n[begin] + window - 1
             flags = resolver(units, sizes, doc[begin])
             least = doc == doc[begin][group]
@@ -364,8 +392,8 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
         if parts:
             yield from settle(parts)
 
-    sent = docs.join(asked, "doc_id").select("doc_id", "text", "data").mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
+    sent = docs.join(asked, "doc_id").select("doc_id", "text", "data", "hot").mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
 
 
 def searched(docs: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _cutter() -> Callable[[str], np.ndarray]:
     return cut
 
 
-WORDS = Unit(WINDOW, 4, _cutter, lambda units: units)
+WORDS = Unit(WINDOW, 4, _cutter, lambda units: units, second=10)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:

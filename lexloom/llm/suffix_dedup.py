@@ -4,8 +4,9 @@ anchors.py brings the text around each passage that several documents may share
 per content. A shard's text is sorted by induced sorting: only the suffixes at local minima are
 sorted by comparing (to the depth that windows need), all others are induced from them in one scan
 up and one scan down the alphabet. The scans work on queues, one per first character, that hold
-suffixes in order and go to disk beyond a bound, so a shard may be larger than memory. Scans pop
-and push whole runs of suffixes. Common prefixes between neighbours in the order, cut at the window
+suffixes in order and go to disk beyond a bound; the text itself and the flags of its suffixes stay
+in memory, some thirty bytes a byte, so anchors.py keeps shards small, whatever the size of the
+input. Scans pop and push whole runs of suffixes. Common prefixes between neighbours in the order, cut at the window
 length, tell which windows are equal; the least document of each group keeps its copy.
 
 Results for odd inputs: a null text counts as empty and has no bytes; texts shorter than the window
@@ -36,7 +37,7 @@ def _bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
 
 
-BYTES = Unit(WINDOW, 24, lambda: _bytes_of, lambda units: _TABLE[units])
+BYTES = Unit(WINDOW, 24, lambda: _bytes_of, lambda units: _TABLE[units], second=40)
 
 
 class SuffixQueues:

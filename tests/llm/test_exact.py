@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexloom.llm import anchors, chat, components, decontamination, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts, tokens
+from lexloom.llm import anchors, chat, components, decontamination, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, queries, substring_dedup, suffix_dedup, token_counts, tokens
 
 
 def removed_by_force(corpus, cut, n):
@@ -36,6 +36,28 @@ def test_fm_index_dedup(documents, corpus):
     assert got == {i: b" ".join(w) for i, w in want.items()}
 
 
+def digests_by_force(corpus, cut, n, joined):
+    """n_units, n_removed, spans and digest per document."""
+    seen, out = {}, {}
+    for i, t in corpus:
+        units, gone = cut(t or ""), set()
+        for s in range(len(units) - n + 1):
+            if seen.setdefault(tuple(units[s : s + n]), i) < i:
+                gone.update(range(s, s + n))
+        spans = sum(k - 1 not in gone for k in gone)
+        out[i] = (len(units), len(gone), spans, hashlib.sha256(joined([u for k, u in enumerate(units) if k not in gone])).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 500])
+def test_digest_columns_of_both_dedups(documents, corpus, hot, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    rows = queries._removed(suffix_dedup.deduplicated(documents), "n_bytes").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == digests_by_force(corpus, lambda t: list(t.encode()), 50, bytes)
+    rows = queries._removed(substring_dedup.deduplicated(documents), "n_words").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == digests_by_force(corpus, lambda t: t.encode().split(), 13, b" ".join)
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
 def test_dedup_of_odd_tables(spark, operator):
     schema = "doc_id long, text string, kept string, removed int"
