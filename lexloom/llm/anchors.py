@@ -277,7 +277,7 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     """doc_id, start, n: each window start to start + n - 1 of doc_id also starts in a document with a smaller id."""
-    parts = max(4, min(1_000_000, input_bytes(docs) // PARTITION_BYTES))
+    parts = max(16, min(1_000_000, input_bytes(docs) // PARTITION_BYTES))
     buckets = parts * BUCKETS
     shared = written(_shared_anchors(docs, unit, parts), "anchors")
     release(docs.sparkSession)
