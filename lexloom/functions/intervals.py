@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The two normal quantiles in use, and Student's t for two degrees of freedom.
 Z_SIZING, Z_AUDIT = 1.96, 1.959963984540054
@@ -29,14 +28,16 @@ def holm(p: Column, *partition: str) -> Column:
     return F.max(F.least(F.lit(1.0), (m - rank + 1) * p)).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-@F.udf(T.DoubleType())
-def mcnemar_p(losses: int, gains: int) -> float:
-    """Two-sided exact p-value from the discordant counts; one row per test, with integers beyond decimals."""
-    n = losses + gains
-    if n == 0:
-        return 1.0
-    tail = sum(math.comb(n, k) for k in range(min(losses, gains) + 1))
-    return min(1.0, 2 * tail / 2**n)
+def mcnemar_p(losses: Column, gains: Column) -> Column:
+    """Two-sided exact p-value from the discordant counts: twice the lesser tail of a fair binomial, its terms one from the other as logarithms."""
+    n, least = (losses + gains).cast("double"), F.least(losses, gains)
+    start = F.struct((-n * math.log(2)).alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, k: Column) -> Column:
+        return F.struct((state["term"] + F.log((n - k) / (k + 1))).alias("term"), (state["sum"] + F.exp(state["term"])).alias("sum"))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), start, step, lambda s: s["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def t_interval(mean: Column, deviation: Column) -> tuple[Column, Column]:

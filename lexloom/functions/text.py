@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,22 +22,45 @@ ANNOTATION = r"\[\s*([^\[\]:]+?)\s*:\s*(.*?)\s*\]"
 SIMPLIFIED = {"设": "設", "闹": "鬧", "钟": "鐘", "软": "軟", "讯": "訊", "电": "電", "话": "話", "开": "開", "关": "關", "灯": "燈", "车": "車", "们": "們", "这": "這", "个": "個", "请": "請", "会": "會", "时": "時", "间": "間", "点": "點", "号": "號"}
 
 
+@functools.lru_cache(maxsize=1)
+def simplified_only() -> str:
+    """Characters that only simplified writing has: the mainland's basic character set holds them, Taiwan's doesn't."""
+
+    def held(c: str, charset: str) -> bool:
+        try:
+            return bool(c.encode(charset))
+        except UnicodeEncodeError:
+            return False
+
+    return "".join(c for c in map(chr, range(0x4E00, 0xA000)) if held(c, "gb2312") and not held(c, "big5"))
+
+
+def compatible(text: str) -> str:
+    """Full-width and other compatibility forms folded."""
+    return unicodedata.normalize("NFKC", text)
+
+
+def compared(text: str, table: dict[str, str] | None = None) -> str:
+    """The exact comparison form of one text: widths, simplified characters and case folded, blanks left out."""
+    folds = str.maketrans(SIMPLIFIED if table is None else table)
+    return "".join(compatible(text).translate(folds).split()).casefold()
+
+
 @F.pandas_udf(T.StringType())
 def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC and full case folding, which Spark's functions lack."""
+    """compared() of texts: Spark's functions lack compatibility forms and full case folding."""
     for part in texts:
-        yield part.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+        yield part.map(lambda t: None if t is None else compared(t))
 
 
 def traditional(text: Column, table: dict[str, str] | None = None) -> Column:
-    """Simplified characters replaced one by one."""
+    """Simplified characters replaced one by one, by a table of pairs."""
     table = SIMPLIFIED if table is None else table
     return F.translate(text, "".join(table), "".join(table.values()))
 
 
-def simplified_count(text: Column, table: dict[str, str] | None = None) -> Column:
-    table = SIMPLIFIED if table is None else table
-    return F.length(text) - F.length(F.translate(text, "".join(table), ""))
+def simplified_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, simplified_only(), ""))
 
 
 def without_blanks(text: Column) -> Column:
@@ -46,7 +70,7 @@ def without_blanks(text: Column) -> Column:
 def comparison_form(text: Column, exact: bool = False) -> Column:
     """The form in which texts are compared: no blanks, no case. exact also folds widths and all case pairs, in Python."""
     if exact:
-        return without_blanks(traditional(folded(text)))
+        return folded(text)
     return without_blanks(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 

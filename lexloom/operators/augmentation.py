@@ -1,21 +1,17 @@
-"""Variants of labelled utterances that leave slot values alone.
+"""Variants of labelled utterances that leave slot values alone, by built-in functions.
 
-Each candidate is made by itself from (source, variant), so candidates are generated in parallel and
-then thinned: of those with one comparison form the earliest attempt stays, and the first N of all
-are taken. Python works on one utterance at a time, in Arrow batches.
+All edits are rows of one small table (method, kind, old, new, number). A slot's value is covered in a
+copy of the text, so the place of an edit is where its pattern first stands in the covered copy, and
+an edit can't reach a value. A source's edits are in the order of a hash; in turns over the sources
+the attempts get numbers, methods taking turns, and the first N different results are taken.
 """
 
 from __future__ import annotations
 
-import hashlib
-import random
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.hashing import content_id
+from lexloom.functions.hashing import content_id, rank_hash
 from lexloom.functions.text import comparison_form
 
 #: Word lists of the edits.
@@ -25,144 +21,116 @@ SUFFIXES = ["一下", "好嗎", "謝謝", "可以嗎"]
 DELETABLE = ["請", "麻煩", "幫我", "可以", "一下", "我想要"]
 HOMOPHONES = {"的": "得", "得": "的", "在": "再", "再": "在", "要": "藥", "時": "十", "是": "事", "事": "是", "到": "道", "道": "到", "開": "該", "關": "觀", "音": "因", "新": "心", "星": "新"}
 FILLERS = ["呃", "嗯", "那個", "就是"]
+#: Neighbouring characters that are swapped are looked for at so many places.
+SWAPS = 8
+_COVER = "\0"
+_TABLE = "array<struct<method:string,kind:string,old:string,new:string,number:int>>"
+
+
+def edits() -> list[tuple[str, str, str, str, int]]:
+    """All edits: (method, kind, old, new, number)."""
+    words = [("slot_aware_eda", "lexical", a, b) for a, b in SYNONYMS] + [("slot_aware_eda", "shorter", w, "") for w in DELETABLE]
+    around = [("slot_aware_eda", "front", "", f"{w}，") for w in INSERTIONS] + [("slot_aware_eda", "back", "", w) for w in SUFFIXES]
+    sounds = [("character_noise", "misheard", a, b) for a, b in HOMOPHONES.items()]
+    swaps = [("slot_aware_eda", "swap", "", "", k) for k in range(SWAPS)]
+    return [(*e, 0) for e in words + around + sounds] + swaps
+
+
+def _literal(rows: list[tuple]) -> Column:
+    return F.array(*[F.struct(*map(F.lit, r)) for r in rows]).cast(_TABLE)
+
+
+def covered(text: Column, values: Column) -> Column:
+    """text with the values replaced by a cover of their lengths; null if one isn't there or two would overlap."""
+
+    def cover(acc: Column, value: Column) -> Column:
+        at = F.position(value, acc)
+        return F.when((at > 0) & (value != ""), F.concat(F.substring(acc, F.lit(1), at - 1), F.repeat(F.lit(_COVER), F.length(value)), F.substring(acc, at + F.length(value), F.length(acc))))
+
+    return F.aggregate(values, text, cover)
+
+
+def _replaced(text: Column, cover: Column, old: Column, new: Column) -> Column:
+    at = F.position(old, cover)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))))
+
+
+def _swapped(text: Column, cover: Column, key: Column, number: Column, seed: int) -> Column:
+    """Two different neighbouring letters or digits outside of values, at a place by hash, in each other's place."""
+    drawn = F.conv(F.left(F.sha2(F.concat_ws(":", F.lit(str(seed)), key, F.lit("swap"), number.cast("string")), 256), F.lit(8)), 16, 10).cast("long")
+    at = (drawn % F.greatest(F.length(text) - 1, F.lit(1)) + 1).cast("int")
+    two = F.substring(cover, at, F.lit(2))
+    good = two.rlike(r"^[\p{L}\p{N}]{2}$") & (F.left(two, F.lit(1)) != F.right(two, F.lit(1)))
+    return F.when(good, F.concat(F.substring(text, F.lit(1), at - 1), F.right(two, F.lit(1)), F.left(two, F.lit(1)), F.substring(text, at + 2, F.length(text))))
+
+
+def candidates(examples: DataFrame, seed: int, rows: list[tuple] | None = None) -> DataFrame:
+    """examples with the edit (method, kind, old, new, number) and its result `made`, for each edit that does something."""
+    cover = covered(F.col("utt"), F.transform("slots", lambda s: s["value"]))
+    given = examples.withColumn("_cover", cover).where("_cover IS NOT NULL").select("*", F.explode(_literal(rows or edits())).alias("_edit"))
+    e = {c: F.col(f"_edit.{c}") for c in ("method", "kind", "old", "new", "number")}
+    made = (
+        F.when(e["kind"] == "front", F.concat(e["new"], "utt"))
+        .when(e["kind"] == "back", F.concat("utt", e["new"]))
+        .when(e["kind"] == "swap", _swapped(F.col("utt"), F.col("_cover"), F.col("id"), e["number"], seed))
+        .otherwise(_replaced(F.col("utt"), F.col("_cover"), e["old"], e["new"]))
+    )
+    out = given.select(*examples.columns, *[e[c].alias(f"_{c}") for c in e], F.trim(made).alias("made"))
+    return out.where((F.col("made") != "") & (F.col("made") != F.col("utt")))
 
 
-def generator(seed: int, *parts: object) -> random.Random:
-    """A source of random numbers that depends on its arguments only."""
-    digest = hashlib.sha256(":".join(map(str, (seed, *parts))).encode()).digest()
-    return random.Random(int.from_bytes(digest[:8], "big"))
-
-
-def protected(text: str, values: list[str]) -> list[tuple[int, int]] | None:
-    """Places of the slot values, in their order from left to right or else anywhere; None if one is missing or two overlap."""
-    spans, after = [], 0
-    for value in values:
-        at = text.find(value, after)
-        at = text.find(value) if at < 0 else at
-        if at < 0 or any(at < b and at + len(value) > a for a, b in spans):
-            return None
-        spans.append((at, at + len(value)))
-        after = at + len(value)
-    return sorted(spans)
-
-
-class Editor:
-    """Edits of one text outside its protected spans."""
-
-    def __init__(self, text: str, spans: list[tuple[int, int]]):
-        self.text, self.spans = text, spans
-
-    def free(self, a: int, b: int) -> bool:
-        return not any(a < y and b > x for x, y in self.spans)
-
-    def replaced(self, old: str, new: str) -> str | None:
-        at = self.text.find(old)
-        while at >= 0 and not self.free(at, at + len(old)):
-            at = self.text.find(old, at + len(old))
-        return None if at < 0 else self.text[:at] + new + self.text[at + len(old) :]
-
-    def synonym(self, rng: random.Random) -> str | None:
-        pairs = SYNONYMS[:]
-        rng.shuffle(pairs)
-        return next((t for t in (self.replaced(*p) for p in pairs) if t is not None), None)
-
-    def shortened(self, rng: random.Random) -> str | None:
-        words = DELETABLE[:]
-        rng.shuffle(words)
-        return next((t for t in (self.replaced(w, "") for w in words) if t is not None and t.strip("，。！？、 ")), None)
-
-    def longer(self, rng: random.Random) -> str:
-        return f"{rng.choice(INSERTIONS)}，{self.text}" if rng.random() < 0.5 else self.text + rng.choice(SUFFIXES)
-
-    def swapped(self, rng: random.Random) -> str:
-        t = self.text
-        places = [i for i in range(len(t) - 1) if self.free(i, i + 2) and t[i].isalnum() and t[i + 1].isalnum()]
-        if not places:
-            return t + rng.choice(SUFFIXES)
-        i = rng.choice(places)
-        return t[:i] + t[i + 1] + t[i] + t[i + 2 :]
-
-    def misheard(self, rng: random.Random) -> str | None:
-        places = [i for i, c in enumerate(self.text) if c in HOMOPHONES and self.free(i, i + 1)]
-        if not places:
-            return None
-        i = rng.choice(places)
-        return self.text[:i] + rng.choice([HOMOPHONES[self.text[i]]]) + self.text[i + 1 :]
-
-
-def edited(key: str, text: str, values: list[str], method: str, variant: int, seed: int) -> str | None:
-    """The variant of a text; None if the method has nothing to edit or the values have no places."""
-    spans = protected(text, values)
-    if spans is None:
-        return None
-    editor = Editor(text, spans)
-    if method == "character_noise":
-        return editor.misheard(generator(seed, key, "char", variant))
-    rng = generator(seed, key, "eda", variant)
-    first, instead = {0: (editor.synonym, editor.longer), 1: (editor.shortened, editor.swapped), 2: (editor.longer, None), 3: (editor.swapped, None)}[variant % 4]
-    out = first(rng)
-    return instead(rng) if out is None and instead else out
-
-
-def variants(seed: int):
-    @F.pandas_udf("string")
-    def column(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for keys, texts, values, methods, numbers in parts:
-            yield pd.Series([edited(k, t, list(v), m, int(n), seed) for k, t, v, m, n in zip(keys, texts, values, methods, numbers, strict=True)], dtype=object)
-
-    return column
+def _order(seed: int) -> Column:
+    return rank_hash(seed, F.concat_ws(":", "id", "_kind", "_old", "_new", F.col("_number").cast("string")), "edit")
 
 
 def augmented(seeds: DataFrame, target: int, seed: int = 42, attempts: int | None = None) -> DataFrame:
-    """Exactly `target` new examples (fewer in reach is an error when it runs): id, utt, intent, slots, method, source_id, variant.
+    """Exactly `target` new examples: id, utt, intent, slots, method, source_id, variant, attempt. Fewer in reach is an error when it runs.
 
-    seeds: pos (0 .. n - 1), id, utt, intent, slots. Attempt a takes seed a modulo n, and edits words on
-    even attempts and characters on odd ones, so the parity of n ties sources to methods.
+    seeds: pos (0 .. n - 1), id, utt, intent, slots. A source's variant v of a method is its v-th edit in the
+    order of a hash; attempts go over all sources, methods taking turns. A result counts once per
+    intent and comparison form, and not at all where a seed has that form.
     """
-    spark = seeds.sparkSession
-    n = seeds.count()
-    tries = spark.range(attempts or max(50 * target, 10_000)).withColumnRenamed("id", "attempt")
-    tries = tries.select("attempt", (F.col("attempt") % n).alias("pos"), F.floor(F.col("attempt") / n).cast("int").alias("variant"), F.when(F.col("attempt") % 2 == 0, "slot_aware_eda").otherwise("character_noise").alias("method"))
-    rows = tries.join(seeds.withColumn("pos", F.col("pos").cast("long")), "pos")
-    made = rows.withColumn("new", F.trim(variants(seed)("id", "utt", F.transform("slots", lambda s: s["value"]), "method", "variant")))
-    made = made.where((F.col("new") != "") & F.forall("slots", lambda s: F.contains("new", s["value"]))).withColumn("form", comparison_form(F.col("new")))
+    in_method = Window.partitionBy("id", "_method").orderBy(_order(seed), "_kind", "_old", "_new", "_number")
+    made = candidates(seeds, seed).withColumn("variant", F.row_number().over(in_method) - 1)
+    turn = 2 * F.col("variant") + F.when(F.col("_method") == "character_noise", 1).otherwise(0)
+    size = F.broadcast(seeds.agg(F.count("*").alias("_size")))
+    numbered = made.join(size).withColumn("attempt", turn.cast("long") * F.col("_size") + F.col("pos")).where(F.col("attempt") < (attempts or 2**62))
+    numbered = numbered.withColumn("form", comparison_form(F.col("made")))
     known = seeds.select("intent", comparison_form(F.col("utt")).alias("form")).distinct()
-    fresh = made.join(known, ["intent", "form"], "left_anti")
-    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("intent", "form").orderBy("attempt"))).where("_n = 1")
-    chosen = first.orderBy("attempt").limit(target)
-    key = content_id("aug_", F.lit(str(seed)), "method", "id", F.col("variant").cast("string"), "new")
-    return chosen.select(key.alias("id"), F.col("new").alias("utt"), "intent", "slots", "method", F.col("id").alias("source_id"), "variant", "attempt")
-
-
-PROBES = ("colloquial", "lexical", "asr_noise")
-
-
-def _probe(key: str, text: str, values: list[str], seed: int, tries: int = 50) -> list[tuple[str, str]]:
-    used, out = {text}, []
-    for kind in PROBES:
-        for k in range(tries):
-            if kind == "asr_noise":
-                new = edited(key, text, values, "character_noise", k, seed)
-                if not new:
-                    new = edited(key, text, values, "slot_aware_eda", 3 + 4 * k, seed)
-                    new = f"{FILLERS[k % 4]}，{text}" if new == text else new
-            else:
-                new = edited(key, text, values, "slot_aware_eda", 4 * k + (2 if kind == "colloquial" else 0), seed)
-            if new and new not in used and all(v in new for v in values):
-                used.add(new)
-                out.append((kind, new))
-                break
-    return out
-
-
-def probes(examples: DataFrame, seed: int = 42) -> DataFrame:
-    """Up to three robustness variants of each example, one of a kind, all different."""
-
-    @F.pandas_udf("array<struct<kind:string,utt:string>>")
-    def made(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for keys, texts, values in parts:
-            yield pd.Series([[{"kind": k, "utt": u} for k, u in _probe(a, b, list(c), seed)] for a, b, c in zip(keys, texts, values, strict=True)])
-
-    rows = examples.withColumn("made", made("id", "utt", F.transform("slots", lambda s: s["value"]))).withColumn("p", F.explode("made"))
-    key = content_id("probe_", F.lit(str(seed)), "p.kind", "id", "p.utt")
-    return rows.select(key.alias("id"), F.col("id").alias("source_test_id"), F.col("p.kind").alias("probe_kind"), F.col("p.utt").alias("utt"), "intent", "slots", F.lit(seed).alias("seed"), F.lit(True).alias("evaluation_only"))
+    firsts = numbered.join(known, ["intent", "form"], "left_anti").groupBy("intent", "form").agg(F.min(F.struct("attempt", "made", "slots", "_method", "id", "variant")).alias("m"))
+    chosen = firsts.select("intent", "m.*").orderBy("attempt").limit(target)
+    enough = chosen.agg(F.count("*").alias("_n")).select(F.assert_true(F.col("_n") >= target, F.lit(f"fewer than {target} examples in reach")).alias("_ok"))
+    chosen = chosen.join(F.broadcast(enough), how="left").where("_ok IS NULL")
+    key = content_id("aug_", F.lit(str(seed)), "_method", "id", F.col("variant").cast("string"), "made")
+    return chosen.select(key.alias("id"), F.col("made").alias("utt"), "intent", "slots", F.col("_method").alias("method"), F.col("id").alias("source_id"), "variant", "attempt")
+
+
+#: Kinds of probes, and the kinds of edits each takes, the first choice first.
+PROBES = {"colloquial": ("front", "back"), "lexical": ("lexical",), "asr_noise": ("misheard", "swap", "filler")}
+
+
+def probes(examples: DataFrame, seed: int = 42, strict: bool = False) -> DataFrame:
+    """One robustness variant of each kind per example, all different; strict: a kind without one is an error when it runs."""
+    fillers = [("probe", "filler", "", f"{w}，", 0) for w in FILLERS]
+    fronts = [("probe", "front", *e[2:]) for e in fillers]
+    plain = candidates(examples, seed).withColumn("_filler", F.lit(False))
+    filled = candidates(examples, seed, fronts).withColumn("_filler", F.lit(True))
+    made = plain.unionByName(filled).withColumn("_kind", F.when(F.col("_filler"), "filler").otherwise(F.col("_kind")))
+    kind, choice = F.lit(None).cast("string"), F.lit(0)
+    for name, kinds in PROBES.items():
+        for k, of in enumerate(kinds):
+            kind = F.when(F.col("_kind") == of, name).otherwise(kind)
+            choice = F.when(F.col("_kind") == of, k).otherwise(choice)
+    ranked = made.withColumns({"probe_kind": kind, "_choice": F.when(kind == "colloquial", 0).otherwise(choice)}).where("probe_kind IS NOT NULL")
+    # A result that several kinds make is the first kind's.
+    by_text = Window.partitionBy("id", "made").orderBy("probe_kind", "_choice", _order(seed))
+    single = ranked.withColumn("_k", F.row_number().over(by_text)).where("_k = 1")
+    by_kind = Window.partitionBy("id", "probe_kind").orderBy("_choice", _order(seed), "made")
+    first = single.withColumn("_k", F.row_number().over(by_kind)).where("_k = 1")
+    if strict:
+        kinds = examples.select("id").distinct().join(first.groupBy("id").agg(F.count("*").alias("_n")), "id", "left")
+        wrong = kinds.where(F.coalesce("_n", F.lit(0)) < len(PROBES)).agg(F.min("id").alias("_missing"))
+        check = wrong.select(F.when(F.col("_missing").isNotNull(), F.raise_error(F.concat(F.lit("no probe of some kind for "), F.col("_missing")))).alias("_ok"))
+        first = first.join(F.broadcast(check), how="left").where("_ok IS NULL")
+    key = content_id("probe_", F.lit(str(seed)), "probe_kind", "id", "made")
+    return first.select(key.alias("id"), F.col("id").alias("source_test_id"), "probe_kind", F.col("made").alias("utt"), "intent", "slots", F.lit(seed).alias("seed"), F.lit(True).alias("evaluation_only"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.functions.text import BANNED_TERMS, UNEXPECTED_SCRIPT, comparison_form, han_share, latin_share, simplified_count
+from lexloom.functions.text import BANNED_TERMS, UNEXPECTED_SCRIPT, compared, compatible, comparison_form, han_share, latin_share, simplified_count
 
 #: The share of Latin letters that a recipe may have.
 LATIN_LIMITS = {"noise_codeswitch": 0.55}
@@ -34,11 +34,12 @@ def _taken(utterance: str, values: list[str]) -> int:
     return len(taken)
 
 
-@F.pandas_udf(T.IntegerType())
-def span_count(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Places of slot values in a text, both in comparison form; -1 if they don't fit without overlap."""
+@F.pandas_udf(T.StructType().add("spans", T.IntegerType()).add("text", T.StringType()))
+def grounded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Places of slot values in a text, compared in their exact form (-1 if they don't fit without overlap), and the text in compatibility form."""
     for texts, values in parts:
-        yield pd.Series([_taken(t or "", [] if v is None else list(v)) for t, v in zip(texts, values, strict=True)], dtype="int32")
+        spans = [_taken(compared(t or ""), [] if v is None else [compared(x or "") for x in v]) for t, v in zip(texts, values, strict=True)]
+        yield pd.DataFrame({"spans": pd.Series(spans, dtype="int32"), "text": [None if t is None else compatible(t) for t in texts]})
 
 
 def schema_reason(sample: Column) -> Column:
@@ -60,6 +61,17 @@ def label_reason(sample: Column, expected: Column, intents: list[str], kinds: li
     )
 
 
+def generation_reason(sample: Column, expected: Column) -> Column:
+    """The contract of a request when its answer comes in: its intent, its slots in any order, and each value in the text; null if kept."""
+    pairs = lambda slots: F.array_sort(F.transform(slots, lambda s: F.struct(s["type"], s["value"])))
+    form = comparison_form(sample["utt"])
+    return (
+        F.when(~sample["intent"].eqNullSafe(expected["intent"]), "F2_INTENT_CONTRACT")
+        .when(~pairs(sample["slots"]).eqNullSafe(pairs(expected["slots"])), "F2_SLOT_CONTRACT")
+        .when(F.exists(sample["slots"], lambda s: ~F.contains(form, comparison_form(s["value"])) | (comparison_form(s["value"]) == "")), "F3_UNGROUNDED_SLOT")
+    )
+
+
 def locale_reason(text: Column, recipe: Column) -> Column:
     limit = F.lit(LATIN_LIMIT)
     for name, value in LATIN_LIMITS.items():
@@ -77,18 +89,19 @@ def validated(records: DataFrame, intents: list[str], kinds: list[str]) -> DataF
     """records with passed_stage (null if none), reject_reason (null if none) and scores."""
     sample, expected = F.col("sample"), F.col("expected")
     cheap = records.withColumn("_f1", schema_reason(sample)).withColumn("_f2", F.when(F.col("_f1").isNull(), label_reason(sample, expected, intents, kinds)))
-    values = F.transform(sample["slots"], lambda s: comparison_form(s["value"]))
-    asked = F.when(F.col("_f1").isNull() & F.col("_f2").isNull(), values)
-    spans = cheap.withColumn("_spans", F.when(asked.isNotNull(), span_count(comparison_form(sample["utt"]), asked)))
+    values = F.transform(sample["slots"], lambda s: s["value"])
+    asked = F.col("_f1").isNull() & F.col("_f2").isNull()
+    read = cheap.withColumn("_read", grounded(F.when(asked, sample["utt"]), F.when(asked, values)))
+    spans = read.withColumns({"_spans": F.when(asked, F.col("_read.spans")), "_text": F.col("_read.text")}).drop("_read")
     f3 = F.when(F.col("_spans") < 0, "F3_UNGROUNDED_OR_OVERLAPPING_SLOT")
-    staged = spans.withColumn("_f3", f3).withColumn("_f4", F.when(F.col("_spans") >= 0, locale_reason(sample["utt"], sample["recipe"])))
+    staged = spans.withColumn("_f3", f3).withColumn("_f4", F.when(F.col("_spans") >= 0, locale_reason(F.col("_text"), sample["recipe"])))
     reason = F.coalesce("_f1", "_f2", "_f3", "_f4")
     passed = F.when(reason.isNull(), "F4").when(F.col("_f4").isNotNull(), "F3").when(F.col("_f3").isNotNull(), "F2").when(F.col("_f2").startswith("F2"), "F1")
     scores = F.map_filter(
-        F.create_map(F.lit("slot_span_count"), F.col("_spans").cast("double"), F.lit("latin_ratio"), F.when(F.col("_spans") >= 0, latin_share(sample["utt"])), F.lit("han_ratio"), F.when(F.col("_spans") >= 0, han_share(sample["utt"]))),
+        F.create_map(F.lit("slot_span_count"), F.col("_spans").cast("double"), F.lit("latin_ratio"), F.when(F.col("_spans") >= 0, latin_share(F.col("_text"))), F.lit("han_ratio"), F.when(F.col("_spans") >= 0, han_share(F.col("_text")))),
         lambda _, v: v.isNotNull() & (v >= 0),
     )
-    return staged.withColumns({"passed_stage": passed, "reject_reason": reason, "scores": scores}).drop("_f1", "_f2", "_f3", "_f4", "_spans")
+    return staged.withColumns({"passed_stage": passed, "reject_reason": reason, "scores": scores}).drop("_f1", "_f2", "_f3", "_f4", "_spans", "_text")
 
 
 def counts(decided: DataFrame) -> DataFrame:

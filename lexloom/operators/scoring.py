@@ -17,7 +17,7 @@ OUTCOMES = ("valid", "json_decode_error", "unknown_intent", "unknown_slot_type",
 def _strict(raw: str, intents: frozenset[str], kinds: frozenset[str]) -> tuple[str, str | None, list | None]:
     try:
         value = json.loads((raw or "").strip())
-    except ValueError:
+    except (ValueError, RecursionError):  # also what is nested too deep
         return "json_decode_error", None, None
     if not isinstance(value, dict) or set(value) != {"intent", "slots"} or not isinstance(value["intent"], str) or not isinstance(value["slots"], list):
         return "schema_validation_error", None, None
@@ -48,6 +48,33 @@ def strict_parse(intents: list[str], kinds: list[str]):
     return parse
 
 
+def _structure(raw: str | None) -> list[bool]:
+    try:
+        value = json.loads(raw or "")
+    except (ValueError, RecursionError):
+        return [False] * 5
+    if not isinstance(value, dict):
+        return [True, *[False] * 4]
+    slots = value.get("slots")
+    listed = isinstance(slots, list)
+    return [True, True, isinstance(value.get("intent"), str), listed, listed and all(isinstance(s, dict) for s in slots)]
+
+
+STRUCTURE = ("json_syntax_valid", "json_object", "intent_is_string", "slots_is_list", "slot_object_list")
+
+
+def structure(rows: DataFrame, raw: str) -> DataFrame:
+    """One row: n_rows, and how many responses reach each step of STRUCTURE."""
+
+    @F.pandas_udf("array<boolean>")
+    def steps(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([_structure(r) for r in part])
+
+    read = rows.select(steps(raw).alias("s"))
+    return read.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("s")[k]).alias(n) for k, n in enumerate(STRUCTURE)])
+
+
 def outcome_counts(parsed: DataFrame, outcome: str = "outcome") -> DataFrame:
     """(outcome, n) for each possible outcome, zeros included."""
     spark = parsed.sparkSession

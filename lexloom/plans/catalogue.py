@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import corpus, models
+from lexloom.plans import corpus, models, reports
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus.QUERIES | models.QUERIES
+    return corpus.QUERIES | models.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | models.SQL
+    return corpus.SQL | models.SQL | reports.SQL

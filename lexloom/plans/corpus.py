@@ -262,6 +262,11 @@ SELECT * FROM (
     "strict_json_outcomes": """
 WITH e AS (SELECT CASE event_id % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'json_decode_error' WHEN 2 THEN 'json_decode_error' WHEN 3 THEN 'schema_validation_error' WHEN 4 THEN 'unknown_slot_type' ELSE 'unknown_intent' END AS outcome FROM events)
 SELECT o.outcome, count(e.outcome) AS n FROM (VALUES ('valid'), ('json_decode_error'), ('unknown_intent'), ('unknown_slot_type'), ('schema_validation_error')) AS o(outcome) LEFT JOIN e USING (outcome) GROUP BY o.outcome
+""",
+    "record_funnel": """
+WITH o(k, outcome, passed_stage) AS (VALUES (0, 'F1_SCHEMA_MISSING_SAMPLE', 'none'), (1, 'accepted', 'F4'), (2, 'F2_LABEL_UNKNOWN_INTENT', 'F1'), (3, 'F2_LABEL_UNKNOWN_SLOT', 'F1'),
+  (4, 'F3_UNGROUNDED_OR_OVERLAPPING_SLOT', 'F2'), (5, 'F4_LOCALE_MAINLAND_TERM', 'F3'), (6, 'F4_LOCALE_SIMPLIFIED', 'F3'), (7, 'F4_LOCALE_UNEXPECTED_SCRIPT', 'F3'))
+SELECT outcome, passed_stage, count(*) AS n FROM part JOIN o ON k = p_partkey % 8 GROUP BY ALL
 """,
     "prompt_rendering": """
 WITH p AS (SELECT p_partkey, 'find ' || p_name || ' of ' || p_brand AS prompt, p_brand, '{"intent":"find","slots":[{"type":"brand","value":"' || p_brand || '"}]}' AS target FROM part)

@@ -146,7 +146,7 @@ def mcnemar_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mcnemar_holm(spark: SparkSession, d: str) -> DataFrame:
-    tests = _discordant(spark, d).withColumn("p", mcnemar_p("base_only", "full_only"))
+    tests = _discordant(spark, d).withColumn("p", mcnemar_p(F.col("base_only"), F.col("full_only")))
     return tests.select("seed", F.round("p", 9).alias("p"), F.round(holm(F.col("p")), 9).alias("holm_p"))
 
 
@@ -190,7 +190,7 @@ def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return planning.allocation_table(spark, 11_263)
+    return planning.allocation(spark, 11_263)
 
 
 def slot_substitution_first_match(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ def resume_missing(spark: SparkSession, d: str) -> DataFrame:
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     text = F.concat(F.lit("請幫我查詢"), "p_brand", F.lit("的價格，今天要在開店時知道"))
-    return part.select((F.row_number().over(Window.orderBy("p_partkey")) - 1).alias("pos"), F.col("p_partkey").cast("string").alias("id"), text.alias("utt"), F.lit("find").alias("intent"), F.array(F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value"))).alias("slots"))
+    return part.select((F.col("p_partkey") - 1).alias("pos"), F.col("p_partkey").cast("string").alias("id"), text.alias("utt"), F.lit("find").alias("intent"), F.array(F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value"))).alias("slots"))
 
 
 def augmented_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -277,6 +277,7 @@ SELECT r.grp, r.seed, count(*) AS n, round(avg((predicted IS NOT NULL)::INT::DOU
     "replicate_t_interval": _PREDICTIONS + ", a AS (SELECT grp, seed, avg(coalesce(expected = predicted, false)::INT::DOUBLE) AS acc FROM r GROUP BY ALL) SELECT grp, count(*) AS seeds, round(avg(acc), 9) AS mean, round(stddev_samp(acc), 9) AS sd, round(avg(acc) - 4.302652729696142 * stddev_samp(acc) / sqrt(3), 9) AS low, round(avg(acc) + 4.302652729696142 * stddev_samp(acc) / sqrt(3), 9) AS high FROM a GROUP BY grp",
     "wilson_by_group": _W + f" SELECT lang, n, k, round({_WILSON.format(z='1.959963984540054::DOUBLE', s='-')}, 9) AS low, round({_WILSON.format(z='1.959963984540054::DOUBLE', s='+')}, 9) AS high, round({_WILSON.format(z='1.96::DOUBLE', s='-')}, 9) AS sizing_low FROM g",
     "generation_sizing": _W + f", w AS (SELECT lang, round({_WILSON.format(z='1.96::DOUBLE', s='-')}, 9) AS low FROM g) SELECT lang, ceil(8000 / low)::BIGINT AS required, floor(18000 / 1.287466431::DOUBLE)::BIGINT AS fits, ceil(8000 / low) <= floor(18000 / 1.287466431::DOUBLE) AS enough FROM w",
+    "mcnemar_holm": _PREDICTIONS + ", h AS (SELECT seed, id, bool_or(coalesce(expected = predicted, false)) FILTER (grp = 'base') AS b, bool_or(coalesce(expected = predicted, false)) FILTER (grp = 'full') AS f FROM r GROUP BY ALL) , c AS (SELECT seed, count(*) FILTER (b AND NOT f) AS base_only, count(*) FILTER (f AND NOT b) AS full_only FROM h GROUP BY seed), pv AS (SELECT seed, least(1.0, 2 * list_sum(list_transform(range(0, least(base_only, full_only) + 1), lambda k: exp(lgamma(base_only + full_only + 1) - lgamma(k + 1) - lgamma(base_only + full_only - k + 1) - (base_only + full_only) * ln(2))))) AS p FROM c), k AS (SELECT *, row_number() OVER (ORDER BY p) AS j, count(*) OVER () AS m FROM pv) SELECT seed, round(p, 9) AS p, round(max(least(1.0, (m - j + 1) * p)) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 9) AS holm_p FROM k",
     "mcnemar_counts": _PREDICTIONS + ", h AS (SELECT seed, id, bool_or(coalesce(expected = predicted, false)) FILTER (grp = 'base') AS b, bool_or(coalesce(expected = predicted, false)) FILTER (grp = 'full') AS f FROM r GROUP BY ALL) SELECT seed, count(*) FILTER (b AND NOT f) AS base_only, count(*) FILTER (f AND NOT b) AS full_only FROM h GROUP BY seed",
     "holm_adjusted": "WITH s AS (SELECT o_orderstatus, o_orderpriority, count(*) / 1e6 AS p FROM orders GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY p) AS j, count(*) OVER (PARTITION BY o_orderstatus) AS m FROM s) SELECT o_orderstatus, o_orderpriority, round(p, 9) AS p, round(max(least(1.0, (m - j + 1) * p)) OVER (PARTITION BY o_orderstatus ORDER BY p ROWS UNBOUNDED PRECEDING), 9) AS holm_p FROM k",
     "gap_closed_by_label": _PREDICTIONS + f", {_ACC} SELECT expected, round(CASE WHEN abs(1 - base) >= 0.01 THEN 100.0 * (full_ - base) / (1 - base) END, 6) AS gap_closed FROM w",

@@ -38,6 +38,8 @@ def record(utt="明天早上七點叫醒我", intent="alarm_set", slots=(("time"
         (record(expected={"intent": "other", "slots": []}), "F2_LABEL_CONTRACT_INTENT", "F1"),
         (record(slots=(("time", "晚上"),)), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT", "F2"),
         (record(utt="去台北", slots=(("place", "台北"), ("place", "北"))), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT", "F2"),
+        (record(utt="請在播放清單裡加入ＷＸＹ的歌給我聽", slots=(("place", "wxy"),)), None, "F4"),
+        (record(utt="把車燈關掉吧", slots=(("place", "车灯"),)), None, "F4"),
         (record(utt="设早上七點"), "F4_LOCALE_SIMPLIFIED", "F3"),
         (record(utt="早上七點打開視頻"), "F4_LOCALE_MAINLAND_TERM", "F3"),
         (record(utt="早上七點かな"), "F4_LOCALE_UNEXPECTED_SCRIPT", "F3"),
@@ -66,22 +68,22 @@ def test_funnel_on_a_stream_appends_each_key_once(spark, tmp_path):
 
 
 def test_annotated_text(spark):
-    df = spark.createDataFrame([("[date : 禮拜五] [time : 早上九點] 叫醒我",), ("a [b",)], "t string")
+    df = spark.createDataFrame([("order [dish : fried rice] for [count: 3 ] people",), ("a [b",)], "t string")
     good, bad = (r.a for r in df.select(text.annotated(F.col("t")).alias("a")).collect())
-    assert good.utterance == "禮拜五 早上九點 叫醒我" and [tuple(s) for s in good.slots] == [("date", "禮拜五"), ("time", "早上九點")] and good.error is None
+    assert good.utterance == "order fried rice for 3 people" and [tuple(s) for s in good.slots] == [("dish", "fried rice"), ("count", "3")] and good.error is None
     assert bad.error == "unread bracket"
 
 
 def test_exact_comparison_form_folds_widths_and_case(spark):
-    df = spark.createDataFrame([("ＡＢＣ　１２３",), ("Straße 软",), (None,)], "t string")
-    assert [r.f for r in df.select(text.comparison_form(F.col("t"), exact=True).alias("f")).collect()] == ["abc123", "strasse軟", None]
+    df = spark.createDataFrame([("ＸＹ　ｚ９",), ("Maße 软",), (None,)], "t string")
+    assert [r.f for r in df.select(text.comparison_form(F.col("t"), exact=True).alias("f")).collect()] == ["xyz9", "masse軟", None]
 
 
 def test_strict_parse_outcomes(spark):
     good = '{"intent": "a", "slots": [{"type": "k", "value": " v "}]}'
-    raw = [good, f"  {good}\n", f"```{good}```", "not json", good.replace('"a"', '"z"'), good.replace('"k"', '"z"'), good.replace('"slots"', '"x": 1, "slots"'), "[1]", '{"intent": 5, "slots": []}', None]
+    raw = [good, f"  {good}\n", f"```{good}```", "not json", good.replace('"a"', '"z"'), good.replace('"k"', '"z"'), good.replace('"slots"', '"x": 1, "slots"'), "[1]", '{"intent": 5, "slots": []}', None, "[" * 200_000]
     df = spark.createDataFrame([(r,) for r in raw], "raw string").select(scoring.strict_parse(["a"], ["k"])("raw").alias("p"))
-    assert [r.p.outcome for r in df.collect()] == ["valid", "valid", "json_decode_error", "json_decode_error", "unknown_intent", "unknown_slot_type", "schema_validation_error", "schema_validation_error", "schema_validation_error", "json_decode_error"]
+    assert [r.p.outcome for r in df.collect()] == ["valid", "valid", "json_decode_error", "json_decode_error", "unknown_intent", "unknown_slot_type", "schema_validation_error", "schema_validation_error", "schema_validation_error", "json_decode_error", "json_decode_error"]
     assert df.first().p.slots[0].value == "v"
 
 
@@ -162,10 +164,11 @@ def test_decisions_are_those_of_a_pass_in_order(spark):
         similarity.Thresholds(0.9, 0.1, 0.5, 0.9)
 
 
-def test_allocation_sums_and_breaks_ties_by_name():
-    assert planning.allocation(1) == {"paraphrase": 1, "slot_substitution": 0, "noise_codeswitch": 0, "hard_negative": 0}
-    assert all(sum(planning.allocation(n).values()) == n for n in range(1, 60))
-    assert planning.allocation(1, {"a": 0.5, "b": 0.5}) == {"a": 0, "b": 1}
+def test_allocation_sums_and_breaks_ties_by_name(spark):
+    found = lambda n, shares=None: {r.recipe: r.n for r in planning.allocation(spark, n, shares).collect()}
+    assert found(1) == {"paraphrase": 1, "slot_substitution": 0, "noise_codeswitch": 0, "hard_negative": 0}
+    assert all(sum(found(n).values()) == n for n in (2, 3, 7, 19, 58))
+    assert found(1, {"a": 0.5, "b": 0.5}) == {"a": 0, "b": 1}
 
 
 def test_augmented_examples_keep_slots(spark):
@@ -174,6 +177,8 @@ def test_augmented_examples_keep_slots(spark):
     a = [tuple(r) for r in augmentation.augmented(seeds, 12, attempts=400).collect()]
     assert len({r[0] for r in a}) == 12 and sorted(a) == sorted(tuple(r) for r in augmentation.augmented(seeds.repartition(3), 12, attempts=400).collect())
     assert all(s.value in r[1] for r in a for s in r[3])
+    with pytest.raises(Exception, match="fewer than 5000"):
+        augmentation.augmented(seeds, 5000).collect()
     made = augmentation.probes(seeds).collect()
     assert len(made) == 6 and all(len({r.utt for r in g}) == 3 for _, g in itertools.groupby(sorted(made, key=lambda r: r.source_test_id), lambda r: r.source_test_id))
 
