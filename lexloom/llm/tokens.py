@@ -4,7 +4,7 @@ A byte-level BPE never joins a blank to the word before it, so a text may be cut
 blanks and the words encoded apart. Words repeat, so most come from a bounded cache. Words not in
 the cache are merged by tiktoken with the ranks of the same tokenizer file, which is several times
 as fast on single words as the file's own library; a file of another form goes through its own
-library. tests/llm/test_tokens.py holds all of this against whole-text encoding by `tokenizers`.
+library. tests/llm/test_exact.py holds all of this against whole-text encoding by `tokenizers`.
 """
 
 from __future__ import annotations
