@@ -30,6 +30,8 @@ from lexloom.llm.shared import small_batches, text_or_empty
 
 #: At most so many documents of each kind are fitted on.
 MAX_FIT = 6000
+#: Penalties on squared weights to choose from, by cross-validation inside the rows that may be learnt from.
+PENALTIES, FOLDS, CHOSEN_ON = (1e-4, 1e-3, 1e-2, 1e-1), 3, 2000
 BUCKETS = 256
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _KINDS = {
@@ -83,11 +85,33 @@ def features(text: str) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05) -> Model:
-    """Full-batch Adam on the non-negative risk; the penalty on weights is that of a unit prior, one part in the number of positives."""
+def risk(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The non-negative unbiased risk of a model on other rows."""
+    sp, su = (np.clip(model.scores(x), 1e-12, 1 - 1e-12) for x in (positive, unlabelled))
+    return float(-model.prior * np.log(sp).mean() + max(0.0, -np.log(1 - su).mean() + model.prior * np.log(1 - sp).mean()))
+
+
+def chosen_penalty(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """Of PENALTIES, the one with the least risk over FOLDS folds of the rows to fit on: at most CHOSEN_ON of each kind, in their order."""
+    p, u = positive[:CHOSEN_ON], unlabelled[:CHOSEN_ON]
+    if min(len(p), len(u)) < 2 * FOLDS:
+        return PENALTIES[-1]
+
+    def over_folds(penalty: float) -> float:
+        out = 0.0
+        for k in range(FOLDS):
+            a, b = np.arange(len(p)) % FOLDS == k, np.arange(len(u)) % FOLDS == k
+            out += risk(fit(p[~a], u[~b], prior, penalty, steps=150), p[a], u[b])
+        return out
+
+    return min(PENALTIES, key=over_folds)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, penalty: float | None = None, steps: int = 400, rate: float = 0.05) -> Model:
+    """Full-batch Adam on the non-negative risk, with a penalty on squared weights."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, prior)
-    l2 = 1 / len(positive)
+    l2 = chosen_penalty(positive, unlabelled, prior) if penalty is None else penalty
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
@@ -114,7 +138,8 @@ def _features_of(docs: DataFrame) -> np.ndarray:
             rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["features"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "features binary").collect()  # at most MAX_FIT rows
+    one = docs.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")  # a doc_id counts once
+    rows = one.select(text_or_empty().alias("text")).mapInArrow(run, "features binary").collect()  # at most MAX_FIT rows
     return np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float64).reshape(-1, N_FEATURES)
 
 
@@ -129,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_fit: int =
         return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit("fit")), "doc_id").limit(max_fit)
 
     good = sample(known.where("quality = 1").select("doc_id"))
-    rest = sample(docs.select("doc_id").join(known, "doc_id", "left_anti"))
+    rest = sample(docs.select("doc_id").distinct().join(known, "doc_id", "left_anti"))
     return fit(_features_of(docs.join(F.broadcast(good), "doc_id", "left_semi")), _features_of(docs.join(F.broadcast(rest), "doc_id", "left_semi")), prior)
 
 
