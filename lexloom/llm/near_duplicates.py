@@ -11,8 +11,9 @@
    reach the similarity are verified on the full sets in falling order of the estimate, but only
    while their ends aren't connected yet. What leaves a task is a spanning forest of real links.
 4. Groups larger than a block are dealt into blocks twice, by different hashes, and then every
-   member outside the group's largest component travels to all blocks. So each pair is either
-   compared or already connected, and a large group of copies costs no quadratic work.
+   member outside the group's largest component travels to all blocks, in slices as small as blocks.
+   So each pair is either compared or already connected, a task holds two blocks at most, and a
+   large group of copies costs no quadratic work.
 5. The links' components are the result.
 
 Results for odd inputs: a null or empty text has no shingles, and is its own component; a text of
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_byt
         found = written(found.union(again), "links")
     joined = components(found, "linked")
     if wide:
-        found = written(found.union(_travelled(sets.where("blocks > 1"), joined, in_block(1), percent)), "links")
+        found = written(found.union(_travelled(sets.where("blocks > 1"), joined, in_block(1), percent, block_members)), "links")
         joined = components(found, "linked")
     first = joined.select(F.col("node").alias("first_id"), F.col("component").alias("component_id"))
     out = classed.join(first, "first_id", "left")
@@ -248,22 +249,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_byt
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).otherwise(1).alias("n_copies"))
 
 
-def _travelled(sets: DataFrame, joined: DataFrame, block, percent: int) -> DataFrame:
+def _travelled(sets: DataFrame, joined: DataFrame, block: Column, percent: int, block_members: int) -> DataFrame:
     """Links of members outside their group's largest component with all members of the group."""
     found = joined.select(F.col("node").alias("doc_id"), "component")
     placed = sets.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = placed.groupBy("grp", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     placed = placed.join(largest, "grp").withColumn("travels", F.col("component") != F.col("largest"))
-    own = block
-    stay = placed.where("NOT travels").withColumn("block", own)
-    go = placed.where("travels").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Travellers go in slices of bounded size: a task holds a block of the others and a slice, or two slices.
+    slices = placed.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count_if("travels") / block_members)).cast("int").alias("slices"))
+    placed = placed.join(slices, "grp").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")).cast("int"))
+    blocks, n, each = F.col("blocks"), F.col("slices"), lambda count: F.sequence(F.lit(0), count - 1)
+    stay = placed.where("NOT travels").withColumn("block", F.explode(F.transform(each(n), lambda j: block * n + j)))
+    met = F.transform(each(blocks), lambda i: i * n + F.col("slice"))
+    others = F.transform(F.filter(each(n), lambda j: j != F.col("slice")), lambda j: blocks * n + F.least(j, F.col("slice")) * n + F.greatest(j, F.col("slice")))
+    go = placed.where("travels").withColumn("block", F.explode(F.concat(met, others)))
     columns = ["doc_id", "grp", "block", "travels", "regs", "hashes"]
     return _linked(stay.select(*columns).union(go.select(*columns)), percent)
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component; of repeated rows, one."""
-    keep = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(keep.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
-    return one.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs that are the first of their component; of rows with the same doc_id and text, one, and of one doc_id each different text."""
+    keep = near_duplicates(docs, size, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_lexloom_id")).distinct()
+    one = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    return one.join(keep, one["doc_id"].cast("long") == F.col("_lexloom_id"), "left_semi").union(docs.where(F.col("doc_id").isNull()))
