@@ -10,8 +10,8 @@ A role is percent-encoded when it is escaped, and always decoded.
 All columns are built-in functions; the only shuffle is the grouping by conversation.
 
 Results for odd inputs: a null text or role counts as empty; turns are ordered by turn, then role,
-then text (nulls first), and repeated rows are repeated turns; a null conv_id is a conversation of
-its own; an empty table gives no rows. Further columns of the input are not carried.
+then text (nulls first), and repeated rows are repeated turns; rows with a null conv_id are one
+conversation, as they can't be told apart; an empty table gives no rows. Further columns of the input are not carried.
 """
 
 from __future__ import annotations

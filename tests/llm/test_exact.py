@@ -398,3 +398,48 @@ def test_decontamination_allows_for_words_put_in_and_longer_names(spark):
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [1, 4, 5]
     assert {r.doc_id: r.n_items for r in decontamination.verdicts(docs, bench).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1}
     assert decontamination.clean(docs.limit(0), bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == 8
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.choice((1, 2, 2, 3)))) + rng.choice(("", "", "", "", ",", ".")) for _ in range(n))
+
+
+def test_compression_bands_reject_what_the_base_rules_pass(spark):
+    rng = random.Random(2)
+    code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    coded = " ".join(code(60) for _ in range(120))
+    said_again = "\n".join(" ".join(w if k % 2 else f"{w}{i}" for k, w in enumerate(prose(random.Random(7), 40).split())) for i in range(60))
+    half = prose(rng, 3000) + " " + " ".join(code(76) for _ in range(90))
+    good = [prose(rng, n) for n in (60, 200, 1500, 12_000, 150_000)]
+    rows = [(i, t, "mine") for i, t in enumerate([coded, said_again, half, *good])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = {r.doc_id: r for r in quality_rules.measured(docs).collect()}
+    assert not any(got[i].base_failed for i in (0, 2, 3, 4, 5, 6, 7))
+    assert [got[i].kept for i in range(8)] == [False, False, False, True, True, True, True, True]
+    assert sorted((r.doc_id, r.kept) for r in quality_rules.keep_good(docs).collect()) == [(i, "mine") for i in range(3, 8)]
+
+
+def test_packing_carries_all_underfull_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 40)
+    rows = [(i, 0, 0, 60 if i < 300 else 40, i) for i in range(600)] + [(600 + i, 0, 0, 55, i) for i in range(100)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartitionByRange(12, "doc_id")
+    got = packing.pack(found, 100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    assert len({r.sequence_id for r in got}) <= 450  # 400 at best, in tasks of 40 items
+
+
+def test_penalty_is_chosen_from_rows_to_fit_on_only():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(0.5, 1, (200, quality_classifier.N_FEATURES)), rng.normal(0, 1, (300, quality_classifier.N_FEATURES))
+    penalty = quality_classifier.chosen_penalty(p, u, 0.4)
+    assert penalty in quality_classifier.PENALTIES
+    model = quality_classifier.fit(p, u, 0.4, penalty)
+    z = model.scores(p), model.scores(u)
+    by_hand = -0.4 * np.log(z[0]).mean() + max(0, -np.log(1 - z[1]).mean() + 0.4 * np.log(1 - z[0]).mean())
+    assert abs(quality_classifier.risk(model, p, u) - by_hand) < 1e-9 and z[0].mean() > z[1].mean()
+
+
+def test_near_duplicates_keep_all_texts_of_one_id(spark):
+    rows = [(1, "one two three four five six seven", "x"), (1, "quite another text with other words in it", "x"), (1, "quite another text with other words in it", "x"), (2, "one two three four five six seven", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    assert sorted(r.text[:3] for r in near_duplicates.deduplicated(docs).collect()) == ["one", "qui"]
