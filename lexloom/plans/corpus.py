@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.hashing import content_id, digest_of_rows, rank_hash
 from lexloom.functions.text import annotated, comparison_form, filled, han_share, latin_share, substituted
 from lexloom.operators import checks, funnel, sampling, scoring
-from lexloom.sources.tables import table
+from lexloom.sources.tables import kept, table
 
 #: The share of letters outside Latin script from which a document's script is unexpected, and languages that are in the catalogue.
 LANGUAGES = ["de", "en", "fr"]
@@ -24,20 +24,22 @@ def _leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = lambda c: F.array_remove(F.split(F.lower(c), r"\s+"), "")
     asked = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     asked = asked.select("item_id", F.least(F.size("iw"), F.lit(ANCHOR)).alias("k"), F.xxhash64(F.slice("iw", F.lit(1), F.least(F.size("iw"), F.lit(ANCHOR)))).alias("key"), F.array_join("iw", " ").alias("needle"))
-    sizes = [r.k for r in asked.select("k").distinct().collect()]  # at most ANCHOR values
+    sizes = sorted(r.k for r in asked.select("k").distinct().collect())  # at most ANCHOR values
     split = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
-    hits = None
-    for k in sizes:
-        runs = split.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(_runs(k))).alias("key"))
-        part = runs.join(asked.where(F.col("k") == k), "key").select("doc_id", "item_id", "needle")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
+    if not sizes:
         return docs.select("doc_id").where("false").withColumn("item_id", F.lit(None).cast("long"))
+    none = F.array().cast("array<struct<k:int,key:bigint>>")
+    runs = F.concat(*[F.when(F.size("w") >= k, F.transform(F.array_distinct(_runs(k)), _keyed(k))).otherwise(none) for k in sizes])
+    hits = split.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*").join(asked, ["k", "key"]).select("doc_id", "item_id", "needle")
     full = split.join(hits.distinct(), "doc_id")
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return full.where(F.contains(spaced(F.array_join("w", " ")), spaced(F.col("needle")))).select("doc_id", "item_id").distinct()
 
 
+def _keyed(k: int):
+    return lambda h: F.struct(F.lit(k).alias("k"), h.alias("key"))
+
+
 def _runs(k: int):
     """Hashes of the runs of k words."""
     return F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(k))))
@@ -69,6 +71,7 @@ def funnel_decisions(spark: SparkSession, d: str) -> DataFrame:
         .when(latin_share(F.col("text")) < 0.9, "F4_LOCALE_LANGUAGE_RATIO")
         .alias("early"),
     )
+    cheap = kept(cheap)  # read twice: for the first of each form, and for all rows
     firsts = cheap.where("early IS NULL").groupBy("form").agg(F.min("doc_id").alias("first_id"))
     joined = cheap.join(firsts, "form", "left").join(leaks, "doc_id", "left")
     reason = F.coalesce("early", F.when(F.col("doc_id") != F.col("first_id"), "F5_DUP_SYNTHETIC"), F.when(F.col("leaked"), "F6_CONTAM_EVAL"))

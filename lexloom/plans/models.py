@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.intervals import Z_SIZING, gap_closed, holm, mcnemar_p, t_interval, wilson
 from lexloom.operators import augmentation, bootstrap, planning, scoring, similarity
-from lexloom.sources.tables import table
+from lexloom.sources.tables import kept, table
 
 #: Stand-in limits for the embeddings at hand, off any ties.
 LIMITS = similarity.Thresholds(duplicate=0.35, too_close=0.45, outlier=0.25, contamination=0.45)
@@ -20,15 +20,6 @@ def _vectors(spark: SparkSession, d: str, residues: list[int] | None = None, dim
     return out if residues is None else out.where((F.col("id") % 10).isin(residues))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written where all executors read it again: reliable checkpoints, in the folder the session names."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or f"{sc._jvm.java.lang.System.getProperty('java.io.tmpdir')}/lexloom-checkpoints")
-    return df.checkpoint()
-
-
 def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     found = similarity.nearest(_vectors(spark, d, list(range(2, 10))), _vectors(spark, d, [0]))
     return found.select("id", F.round("similarity", 6).alias("similarity"), "nearest_id")
@@ -48,12 +39,12 @@ def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_decisions(spark: SparkSession, d: str) -> DataFrame:
-    out = similarity.decisions(_vectors(spark, d, list(range(2, 10))), _vectors(spark, d, [0]), _vectors(spark, d, [1]), LIMITS, _kept)
+    out = similarity.decisions(_vectors(spark, d, list(range(2, 10))), _vectors(spark, d, [0]), _vectors(spark, d, [1]), LIMITS, kept)
     return out.select("id", "reject_reason", *[F.round(c, 6).alias(c) for c in ("max_prior", "max_seed", "max_eval")], "nearest_eval_id")
 
 
 def exclusion_log(spark: SparkSession, d: str) -> DataFrame:
-    out = similarity.decisions(_vectors(spark, d, list(range(2, 10))), _vectors(spark, d, [0]), _vectors(spark, d, [1]), LIMITS, _kept)
+    out = similarity.decisions(_vectors(spark, d, list(range(2, 10))), _vectors(spark, d, [0]), _vectors(spark, d, [1]), LIMITS, kept)
     split = F.when(F.col("nearest_eval_id") % 4 == 1, "validation").otherwise("test")
     return similarity.exclusions(out, split).withColumn("similarity", F.round("similarity", 6))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def kept(df: DataFrame, name: str = "") -> DataFrame:
+    """Written where all executors read it again: a reliable checkpoint in the folder the session names; on one machine a folder is made where it names none."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
+    return df.checkpoint()
+
+
 def splits(spark: SparkSession, folder: str, names: list[str], schema: str) -> DataFrame:
     """<folder>/<split> of each name, with a column split; a filter on split reads only that folder."""
     parts = [spark.read.schema(schema).parquet(f"{folder}/{n}").withColumn("split", F.lit(n)) for n in names]
