@@ -443,3 +443,18 @@ def test_near_duplicates_keep_all_texts_of_one_id(spark):
     rows = [(1, "one two three four five six seven", "x"), (1, "quite another text with other words in it", "x"), (1, "quite another text with other words in it", "x"), (2, "one two three four five six seven", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     assert sorted(r.text[:3] for r in near_duplicates.deduplicated(docs).collect()) == ["one", "qui"]
+
+
+def test_line_dedup_of_wide_buckets(spark, monkeypatch):
+    """Lines made from one by many changes: most are near, few are similar enough; blocks are tiny."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 7)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    corpus = []
+    for i in range(160):
+        mine = list(words)
+        for k in rng.sample(range(60), rng.randrange(2, 9)):
+            mine[k] = "".join(rng.choice("qrstuvwxyz") for _ in range(6))
+        corpus.append((i, " ".join(mine)))
+    rows = {(r.doc_id, r.line_no) for r in line_dedup.removals(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert rows == lines_by_force(corpus)
