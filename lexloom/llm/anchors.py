@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import input_bytes, release, small_batches, text_or_empty, written
+from lexloom.llm.shared import forget, input_bytes, release, small_batches, text_or_empty, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xFFFF)
@@ -283,6 +283,9 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
     release(docs.sparkSession)
     hot = shared.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("hot"))
     asked = shared.join(hot, "hash", "left").groupBy("doc_id").agg(F.collect_list("hash").alias("data"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+    asked = written(asked, "asked")
+    forget(shared)
+    release(docs.sparkSession)
     window, finer = unit.window, replace(unit, gram=unit.second)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +396,11 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
             yield from settle(parts)
 
     sent = docs.join(asked, "doc_id").select("doc_id", "text", "data", "hot").mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
+    resolved = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
+    found = written(resolved, "removed")
+    forget(asked)
+    release(docs.sparkSession)
+    return found
 
 
 def searched(docs: DataFrame) -> DataFrame:
@@ -403,7 +410,7 @@ def searched(docs: DataFrame) -> DataFrame:
 
 def with_removed(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     """docs (doc_id, text) with `removed`: runs (start, n) of windows, null if there are none."""
-    found = written(removed_windows(docs.where("doc_id IS NOT NULL"), unit, resolver), "removed")
+    found = removed_windows(docs.where("doc_id IS NOT NULL"), unit, resolver)
     gathered = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("removed"))
     return docs.join(gathered, "doc_id", "left")
 
