@@ -283,7 +283,8 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
     release(docs.sparkSession)
     hot = shared.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("hot"))
     asked = shared.join(hot, "hash", "left").groupBy("doc_id").agg(F.collect_list("hash").alias("data"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
-    asked = written(asked, "asked")
+    # Written, so that all shuffles up to here can go before the segments are shuffled.
+    asked = written(docs.join(asked, "doc_id").select("doc_id", "text", "data", "hot"), "asked")
     forget(shared)
     release(docs.sparkSession)
     window, finer = unit.window, replace(unit, gram=unit.second)
@@ -395,7 +396,7 @@ def removed_windows(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFram
         if parts:
             yield from settle(parts)
 
-    sent = docs.join(asked, "doc_id").select("doc_id", "text", "data", "hot").mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
+    sent = asked.mapInArrow(send, "bucket int, doc_id long, start long, n long, key long, data binary")
     resolved = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, start long, n long")
     found = written(resolved, "removed")
     forget(asked)
