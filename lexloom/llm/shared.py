@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,9 +71,12 @@ def forget(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete the shuffle files of jobs that are over.
 
-    It learns of them when the driver collects its garbage, which an idle driver does rarely.
+    It learns of them when the driver collects its garbage, which an idle driver does rarely. What the
+    first collection finds dead still holds the shuffles' records; a second one, a moment later, frees those.
     """
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
 
 
 def _forget_quietly(spark: SparkSession, where: str) -> None:
