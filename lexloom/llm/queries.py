@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from lexloom.llm import chat, conversation_repair, decontamination, fill_in_middle, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts, warc
 from lexloom.llm.shared import load
 
 
@@ -70,6 +70,22 @@ def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(talks.unionByName(own)))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.with_lost(conversation_repair.repaired(conversation_repair.damaged(talks)), talks)
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, load(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP9_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -92,9 +108,114 @@ FROM chats
 """
 
 
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 AS plain,
+    CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 AS late
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN late THEN 'spm' ELSE 'psm' END AS form,
+  CAST(CASE WHEN NOT plain THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN NOT plain THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN late THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+#: The fold as a recursion over all conversations at once, one turn a step; each state has its cost, audit and repaired text.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS chars
+  FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(chars, lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind
+  FROM keyed, crc
+), broken AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) AS twice(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM broken
+), judged AS (
+  SELECT *, left(role, 1) AS i, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    regexp_matches(text, '[.!?][ 	-
+]*\z') AS ended,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM placed
+), rows AS (
+  SELECT *, blank OR again AS must, CASE WHEN ended THEN 0 ELSE 3 END AS fee FROM judged
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS s0, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''} AS s1,
+    {'c': CAST(3 AS BIGINT), 'a': 'I', 't': chr(10) || 'user:'} AS s2, {'c': CAST(6 AS BIGINT), 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, pos, s0, s1, o, least(s3, {'c': o.c + 3, 'a': o.a || 'I', 't': o.t || chr(10) || 'assistant:'})
+  FROM (
+    SELECT *, least(s2, {'c': s0.c + 3, 'a': s0.a || 'I', 't': s0.t || chr(10) || 'user:'}, {'c': s1.c + 3, 'a': s1.a || 'I', 't': s1.t || chr(10) || 'user:'}, {'c': s3.c + 3, 'a': s3.a || 'I', 't': s3.t || chr(10) || 'user:'}) AS o
+    FROM (
+      SELECT w.conv_id, r.pos,
+        {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} AS s0,
+        least({'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + fee + CASE WHEN must OR i <> 's' THEN 1000000000 ELSE 0 END, 'a': s0.a || 'K', 't': s0.t || kept}) AS s1,
+        least({'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t},
+          {'c': s0.c + fee + CASE WHEN must OR i <> 'u' THEN 1000000000 ELSE 0 END, 'a': s0.a || 'K', 't': s0.t || kept},
+          {'c': s1.c + fee + CASE WHEN must OR i <> 'u' THEN 1000000000 ELSE 0 END, 'a': s1.a || 'K', 't': s1.t || kept},
+          {'c': s3.c + fee + CASE WHEN must OR i <> 'u' THEN 1000000000 ELSE 0 END, 'a': s3.a || 'K', 't': s3.t || kept},
+          {'c': s0.c + fee + 3 + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': s0.a || 'R', 't': s0.t || chr(10) || 'user:' || text},
+          {'c': s1.c + fee + 3 + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': s1.a || 'R', 't': s1.t || chr(10) || 'user:' || text},
+          {'c': s3.c + fee + 3 + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': s3.a || 'R', 't': s3.t || chr(10) || 'user:' || text}) AS s2,
+        least({'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t},
+          {'c': s2.c + fee + CASE WHEN must OR i <> 'a' THEN 1000000000 ELSE 0 END, 'a': s2.a || 'K', 't': s2.t || kept},
+          {'c': s2.c + fee + 3 + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': s2.a || 'R', 't': s2.t || chr(10) || 'assistant:' || text}) AS s3
+      FROM walk AS w JOIN (SELECT *, chr(10) || role || ':' || text AS kept FROM rows) AS r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1
+    )
+  )
+), ended AS (
+  SELECT conv_id, pos, least(s0, s3) AS best, max(pos) OVER (PARTITION BY conv_id) AS last FROM walk
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    count(*) FILTER (WHERE NOT must AND NOT ended) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(best.t[2:]) AS repaired_sha256
+FROM ended AS e LEFT JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+WHERE e.pos = e.last
+"""
+
+OP13_SQL = r"""
+WITH written AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), grouped AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+    CASE WHEN octet_length(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS largest
+  FROM written
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM grouped
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_token_counts, op2_template_decontamination, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_positive_unlabelled_quality, op9_chat_round_trip, op10_fm_index_substring_dedup)}
+    return {f.__name__: f for f in (op1_edit_aware_token_counts, op2_template_decontamination, op3_hyperminhash_near_duplicates, op4_compression_bands, op5_fuzzy_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_positive_unlabelled_quality, op9_chat_round_trip, op10_fm_index_substring_dedup, op11_fill_in_middle, op12_conversation_repair, op13_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_round_trip": OP9_SQL}
+    return {"op9_chat_round_trip": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_warc_round_trip": OP13_SQL}

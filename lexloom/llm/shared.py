@@ -46,6 +46,13 @@ def _files(spark: SparkSession, where: str):
     return _path(spark, where).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    where = f"{shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget_quietly, spark, where)
+    return where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df in the shared folder once and read it back.
 
@@ -53,11 +60,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     or earlier with forget().
     """
     spark = df.sparkSession
-    where = f"{shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    where = scratch(spark, name)
     df.write.parquet(where)
     out = spark.read.schema(df.schema).parquet(where)
     out._lexloom_path = where
-    atexit.register(_forget_quietly, spark, where)
     return out
 
 
