@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import functools
-import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Phrases that mark a text as written for another region.
 BANNED_TERMS = ("視頻", "軟件", "硬件", "信息", "網絡", "出租車", "公交", "地鐵", "文件夾", "默認", "打印")
@@ -18,66 +14,72 @@ UNEXPECTED_SCRIPT = r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}]"
 HAN = r"[\x{3400}-\x{9fff}]"
 #: One annotation, "[type : value]", a fixed format.
 ANNOTATION = r"\[\s*([^\[\]:]+?)\s*:\s*(.*?)\s*\]"
-#: A small map of simplified to traditional characters; pass a larger one where a dictionary is at hand.
-SIMPLIFIED = {"设": "設", "闹": "鬧", "钟": "鐘", "软": "軟", "讯": "訊", "电": "電", "话": "話", "开": "開", "关": "關", "灯": "燈", "车": "車", "们": "們", "这": "這", "个": "個", "请": "請", "会": "會", "时": "時", "间": "間", "点": "點", "号": "號"}
+#: Blocks of Han characters that simplified forms are looked for in, as code points.
+HAN_BLOCKS = ((0x3400, 0x4DC0), (0x4E00, 0xA000))
+#: Stands in a text where something was found and taken.
+COVER = "\0"
 
 
 @functools.lru_cache(maxsize=1)
-def simplified_only() -> str:
-    """Characters that only simplified writing has: the mainland's basic character set holds them, Taiwan's doesn't."""
+def simplified() -> dict[str, str]:
+    """Every simplified character with its traditional form, one to one, as ICU has them; ICU is on Spark's class path."""
+    icu = SparkSession.active()._jvm.com.ibm.icu.text.Transliterator.getInstance("Simplified-Traditional")
+    characters = [chr(c) for first, end in HAN_BLOCKS for c in range(first, end)]
+    forms = icu.transliterate("\n".join(characters)).split("\n")
+    return {c: form for c, form in zip(characters, forms, strict=True) if c != form and len(form) == 1}
 
-    def held(c: str, charset: str) -> bool:
-        try:
-            return bool(c.encode(charset))
-        except UnicodeEncodeError:
-            return False
 
-    return "".join(c for c in map(chr, range(0x4E00, 0xA000)) if held(c, "gb2312") and not held(c, "big5"))
+def _icu(text: Column, kind: str, method: str) -> Column:
+    """A static method of ICU that takes a text and true, within the JVM; null for null."""
+    return F.when(text.isNotNull(), F.java_method(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True)))
 
 
-def compatible(text: str) -> str:
-    """Full-width and other compatibility forms folded."""
-    return unicodedata.normalize("NFKC", text)
+def compatible(text: Column) -> Column:
+    """Full-width and other compatibility forms folded (NFKC)."""
+    return _icu(text, "text.Normalizer", "compose")
 
 
-def compared(text: str, table: dict[str, str] | None = None) -> str:
-    """The exact comparison form of one text: widths, simplified characters and case folded, blanks left out."""
-    folds = str.maketrans(SIMPLIFIED if table is None else table)
-    return "".join(compatible(text).translate(folds).split()).casefold()
-
-
-@F.pandas_udf(T.StringType())
-def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """compared() of texts: Spark's functions lack compatibility forms and full case folding."""
-    for part in texts:
-        yield part.map(lambda t: None if t is None else compared(t))
+def case_folded(text: Column) -> Column:
+    """All case pairs folded, also those that change a text's length."""
+    return _icu(text, "lang.UCharacter", "foldCase")
 
 
 def traditional(text: Column, table: dict[str, str] | None = None) -> Column:
-    """Simplified characters replaced one by one, by a table of pairs."""
-    table = SIMPLIFIED if table is None else table
+    """Simplified characters replaced one by one, by a table of pairs: simplified() where none is given."""
+    table = simplified() if table is None else table
     return F.translate(text, "".join(table), "".join(table.values()))
 
 
-def simplified_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, simplified_only(), ""))
+def simplified_count(text: Column, table: dict[str, str] | None = None) -> Column:
+    """How many characters of a text have a traditional form that differs."""
+    return F.length(text) - F.length(F.translate(text, "".join(simplified() if table is None else table), ""))
 
 
 def without_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")
 
 
 def comparison_form(text: Column, exact: bool = False) -> Column:
-    """The form in which texts are compared: no blanks, no case. exact also folds widths and all case pairs, in Python."""
+    """The form in which texts are compared: no blanks, no case. exact also folds widths, simplified characters and all case pairs, by ICU."""
     if exact:
-        return folded(text)
+        return case_folded(without_blanks(traditional(compatible(text))))
     return without_blanks(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def holds(haystack: Column, needle: Column) -> Column:
-    """Whether the comparison form of a non-empty needle is in that of the haystack."""
-    n = comparison_form(needle)
-    return (n != "") & F.contains(comparison_form(haystack), n)
+    """Whether the exact comparison form of a needle is in that of the haystack; an empty one isn't."""
+    n = comparison_form(needle, exact=True)
+    return (F.length(n) > 0) & F.contains(comparison_form(haystack, exact=True), n)
+
+
+def covered(text: Column, values: Column) -> Column:
+    """text with the values, in their order, each covered where it first stands free; null if one doesn't."""
+
+    def cover(acc: Column, value: Column) -> Column:
+        at = F.position(value, acc)
+        return F.when((at > 0) & (value != ""), F.concat(F.substring(acc, F.lit(1), at - 1), F.repeat(F.lit(COVER), F.length(value)), F.substring(acc, at + F.length(value), F.length(acc))))
+
+    return F.aggregate(values, text, cover)
 
 
 def share(text: Column, script: str) -> Column:
@@ -119,5 +121,5 @@ def filled(template: str, values: dict[str, Column]) -> Column:
 
 def substituted(text: Column, old: Column, new: Column) -> Column:
     """text with the first occurrence of old replaced; null if there is none."""
-    at = F.locate_column(old, text) if hasattr(F, "locate_column") else F.position(old, text)
+    at = F.position(old, text)
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))))

@@ -1,20 +1,16 @@
 """The validation funnel over records: the first failing check gives a row its reason; cheap checks come first.
 
 A record has sample (utt, intent, slots, recipe), expected (intent, slots) and raw text columns; see
-lexloom/sources/schemas.py. All checks but span assignment are built-in expressions, so Spark prunes
+lexloom/sources/schemas.py. All checks are built-in expressions and run inside the JVM, so Spark prunes
 columns and short-circuits them; the funnel works the same on a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexloom.functions.text import BANNED_TERMS, UNEXPECTED_SCRIPT, compared, compatible, comparison_form, han_share, latin_share, simplified_count
+from lexloom.functions.text import BANNED_TERMS, UNEXPECTED_SCRIPT, compatible, comparison_form, covered, han_share, holds, latin_share, simplified_count
 
 #: The share of Latin letters that a recipe may have.
 LATIN_LIMITS = {"noise_codeswitch": 0.55}
@@ -22,24 +18,11 @@ LATIN_LIMIT = 0.30
 STAGES = ("F1", "F2", "F3", "F4")
 
 
-def _taken(utterance: str, values: list[str]) -> int:
-    """How many values get a place of their own, longest first and each at its leftmost free place; -1 if one gets none."""
-    free = list(range(len(utterance) + 1))
-    taken: list[tuple[int, int]] = []
-    for value in sorted(values, key=len, reverse=True):
-        at = next((i for i in free if value and utterance.startswith(value, i) and all(i + len(value) <= a or i >= b for a, b in taken)), None)
-        if at is None:
-            return -1
-        taken.append((at, at + len(value)))
-    return len(taken)
-
-
-@F.pandas_udf(T.StructType().add("spans", T.IntegerType()).add("text", T.StringType()))
-def grounded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Places of slot values in a text, compared in their exact form (-1 if they don't fit without overlap), and the text in compatibility form."""
-    for texts, values in parts:
-        spans = [_taken(compared(t or ""), [] if v is None else [compared(x or "") for x in v]) for t, v in zip(texts, values, strict=True)]
-        yield pd.DataFrame({"spans": pd.Series(spans, dtype="int32"), "text": [None if t is None else compatible(t) for t in texts]})
+def grounded(text: Column, values: Column) -> Column:
+    """Whether all values get a place of their own in a text: longest first, each at its leftmost free place, all in exact comparison form."""
+    placed = F.transform(values, lambda v, i: F.struct(i.alias("i"), comparison_form(F.coalesce(v, F.lit("")), exact=True).alias("form")))
+    ordered = F.array_sort(F.transform(placed, lambda p: F.struct((-F.length(p["form"])).alias("length"), p["i"].alias("i"), p["form"].alias("form"))))
+    return covered(comparison_form(text, exact=True), F.transform(ordered, lambda o: o["form"])).isNotNull()
 
 
 def schema_reason(sample: Column) -> Column:
@@ -55,8 +38,8 @@ def label_reason(sample: Column, expected: Column, intents: list[str], kinds: li
     return (
         F.when(~F.coalesce(F.trim(sample["intent"]).isin(intents), F.lit(False)), "F2_LABEL_UNKNOWN_INTENT")
         .when(F.exists(sample["slots"], lambda s: ~F.trim(s["type"]).isin(kinds)), "F2_LABEL_UNKNOWN_SLOT")
-        .when(expected.isNotNull() & expected["slots"].isNull(), "F1_SCHEMA_INVALID_EXPECTED")
         .when(expected.isNotNull() & ~F.trim(sample["intent"]).eqNullSafe(expected["intent"]), "F2_LABEL_CONTRACT_INTENT")
+        .when(expected.isNotNull() & expected["slots"].isNull(), "F1_SCHEMA_INVALID_EXPECTED")
         .when(expected.isNotNull() & (pairs(sample["slots"]) != pairs(expected["slots"])), "F2_LABEL_CONTRACT_SLOTS")
     )
 
@@ -64,11 +47,10 @@ def label_reason(sample: Column, expected: Column, intents: list[str], kinds: li
 def generation_reason(sample: Column, expected: Column) -> Column:
     """The contract of a request when its answer comes in: its intent, its slots in any order, and each value in the text; null if kept."""
     pairs = lambda slots: F.array_sort(F.transform(slots, lambda s: F.struct(s["type"], s["value"])))
-    form = comparison_form(sample["utt"])
     return (
         F.when(~sample["intent"].eqNullSafe(expected["intent"]), "F2_INTENT_CONTRACT")
         .when(~pairs(sample["slots"]).eqNullSafe(pairs(expected["slots"])), "F2_SLOT_CONTRACT")
-        .when(F.exists(sample["slots"], lambda s: ~F.contains(form, comparison_form(s["value"])) | (comparison_form(s["value"]) == "")), "F3_UNGROUNDED_SLOT")
+        .when(F.exists(sample["slots"], lambda s: ~F.coalesce(holds(sample["utt"], s["value"]), F.lit(False))), "F3_UNGROUNDED_SLOT")
     )
 
 
@@ -86,22 +68,34 @@ def locale_reason(text: Column, recipe: Column) -> Column:
 
 
 def validated(records: DataFrame, intents: list[str], kinds: list[str]) -> DataFrame:
-    """records with passed_stage (null if none), reject_reason (null if none) and scores."""
+    """records with passed_stage (null if none), reject_reason (null if none) and scores.
+
+    Known labels pass F2 before the contract is looked at, so a row that breaks only the contract has passed F2.
+    Where records have raw_reason (what reading them found wrong, see operators/records.py), that comes first.
+    """
     sample, expected = F.col("sample"), F.col("expected")
-    cheap = records.withColumn("_f1", schema_reason(sample)).withColumn("_f2", F.when(F.col("_f1").isNull(), label_reason(sample, expected, intents, kinds)))
-    values = F.transform(sample["slots"], lambda s: s["value"])
+    raw = F.col("raw_reason") if "raw_reason" in records.columns else F.lit(None).cast("string")
+    cheap = records.withColumn("_f1", F.coalesce(raw, schema_reason(sample))).withColumn("_f2", F.when(F.col("_f1").isNull(), label_reason(sample, expected, intents, kinds)))
     asked = F.col("_f1").isNull() & F.col("_f2").isNull()
-    read = cheap.withColumn("_read", grounded(F.when(asked, sample["utt"]), F.when(asked, values)))
-    spans = read.withColumns({"_spans": F.when(asked, F.col("_read.spans")), "_text": F.col("_read.text")}).drop("_read")
-    f3 = F.when(F.col("_spans") < 0, "F3_UNGROUNDED_OR_OVERLAPPING_SLOT")
-    staged = spans.withColumn("_f3", f3).withColumn("_f4", F.when(F.col("_spans") >= 0, locale_reason(F.col("_text"), sample["recipe"])))
+    values = F.transform(sample["slots"], lambda s: s["value"])
+    read = cheap.withColumn("_placed", F.when(asked, grounded(sample["utt"], values))).withColumn("_text", F.when(F.col("_placed"), compatible(sample["utt"])))
+    staged = read.withColumn("_f3", F.when(~F.col("_placed"), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT")).withColumn("_f4", F.when(F.col("_placed"), locale_reason(F.col("_text"), sample["recipe"])))
     reason = F.coalesce("_f1", "_f2", "_f3", "_f4")
-    passed = F.when(reason.isNull(), "F4").when(F.col("_f4").isNotNull(), "F3").when(F.col("_f3").isNotNull(), "F2").when(F.col("_f2").startswith("F2"), "F1")
-    scores = F.map_filter(
-        F.create_map(F.lit("slot_span_count"), F.col("_spans").cast("double"), F.lit("latin_ratio"), F.when(F.col("_spans") >= 0, latin_share(F.col("_text"))), F.lit("han_ratio"), F.when(F.col("_spans") >= 0, han_share(F.col("_text")))),
-        lambda _, v: v.isNotNull() & (v >= 0),
+    passed = (
+        F.when(reason.isNull(), "F4")
+        .when(F.col("_f4").isNotNull(), "F3")
+        .when(F.col("_f3").isNotNull() | F.col("_f2").startswith("F2_LABEL_CONTRACT") | (reason == "F1_SCHEMA_INVALID_EXPECTED"), "F2")
+        .when(F.col("_f2").isNotNull(), "F1")
     )
-    return staged.withColumns({"passed_stage": passed, "reject_reason": reason, "scores": scores}).drop("_f1", "_f2", "_f3", "_f4", "_spans", "_text")
+    ratios = F.col("_placed") & (F.col("_f4").isNull() | (F.col("_f4") == "F4_LOCALE_LANGUAGE_RATIO"))
+    given = {
+        "slot_span_count": F.when(F.col("_placed"), F.size(values).cast("double")),
+        "simplified_char_count": F.when(F.col("_f4") == "F4_LOCALE_SIMPLIFIED", simplified_count(F.col("_text")).cast("double")),
+        "latin_ratio": F.when(ratios, latin_share(F.col("_text"))),
+        "han_ratio": F.when(ratios, han_share(F.col("_text"))),
+    }
+    scores = F.map_filter(F.create_map(*[c for name, score in given.items() for c in (F.lit(name), score)]), lambda _, v: v.isNotNull())
+    return staged.withColumns({"passed_stage": passed, "reject_reason": reason, "scores": scores}).drop("_f1", "_f2", "_f3", "_f4", "_placed", "_text")
 
 
 def counts(decided: DataFrame) -> DataFrame:

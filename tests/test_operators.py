@@ -34,12 +34,15 @@ def record(utt="明天早上七點叫醒我", intent="alarm_set", slots=(("time"
         (record(utt=" "), "F1_SCHEMA_INVALID", None),
         (record(intent="nope"), "F2_LABEL_UNKNOWN_INTENT", "F1"),
         (record(slots=(("nope", "早上七點"),)), "F2_LABEL_UNKNOWN_SLOT", "F1"),
-        (record(expected={"intent": "alarm_set", "slots": [{"type": "time", "value": "晚上九點"}]}), "F2_LABEL_CONTRACT_SLOTS", "F1"),
-        (record(expected={"intent": "other", "slots": []}), "F2_LABEL_CONTRACT_INTENT", "F1"),
+        (record(expected={"intent": "alarm_set", "slots": [{"type": "time", "value": "晚上九點"}]}), "F2_LABEL_CONTRACT_SLOTS", "F2"),
+        (record(expected={"intent": "other", "slots": []}), "F2_LABEL_CONTRACT_INTENT", "F2"),
         (record(slots=(("time", "晚上"),)), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT", "F2"),
         (record(utt="去台北", slots=(("place", "台北"), ("place", "北"))), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT", "F2"),
         (record(utt="請在播放清單裡加入ＷＸＹ的歌給我聽", slots=(("place", "wxy"),)), None, "F4"),
         (record(utt="把車燈關掉吧", slots=(("place", "车灯"),)), None, "F4"),
+        (record(utt="請開電視機看新聞", slots=(("place", "电视机"),)), None, "F4"),
+        (record(utt="我要看國語新聞和國語電影", slots=(("place", "国语"), ("place", "国语新闻"))), None, "F4"),
+        (record(utt="我要看國語新聞", slots=(("place", "国语"), ("place", "国语新闻"))), "F3_UNGROUNDED_OR_OVERLAPPING_SLOT", "F2"),
         (record(utt="设早上七點"), "F4_LOCALE_SIMPLIFIED", "F3"),
         (record(utt="早上七點打開視頻"), "F4_LOCALE_MAINLAND_TERM", "F3"),
         (record(utt="早上七點かな"), "F4_LOCALE_UNEXPECTED_SCRIPT", "F3"),
