@@ -9,8 +9,9 @@ Reading: archives are cut in ranges of any size, dealt to tasks. A task looks fo
 range and takes a place as a member if a WARC header is decoded there, the content has the header's
 length, the checksum holds, and the archive ends there or another member follows. It owns the records
 that start in its range, reads the last of them beyond it, and goes from member to member: the search
-is only for a range's first member, or after damage. Payloads that hold archives themselves aren't taken
-for members, as nothing follows them as a member.
+is only for a range's first member, or after damage. Payloads that hold archives themselves can't be taken
+for members: the writer breaks up every magic inside a record. In archives of others, a record that holds
+several members uncompressed may give them as records, too; without_nested() takes those out by their places.
 
 Damage: members that can't be read are one row with an error and the place, given by the task whose
 record they follow (the archive's first range if there is none); sound() makes it an error of the job.
@@ -32,7 +33,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.shared import scratch, small_batches, written
@@ -78,6 +79,15 @@ def rendered(page_id: int | None, url: str | None, payload: bytes, digest: str,
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
+def member(record: bytes, level: int = 6) -> bytes:
+    """A record as a gzip member of its own. Where the record has the magic, the stream is flushed within it, so it can't stand in the member as it is."""
+    pack, parts, done = zlib.compressobj(level, zlib.DEFLATED, 31), [], 0
+    while (at := record.find(MAGIC, done)) >= 0:
+        parts += [pack.compress(record[done : at + 1]), pack.flush(zlib.Z_SYNC_FLUSH)]
+        done = at + 1
+    return b"".join([*parts, pack.compress(record[done:]), pack.flush()])
+
+
 def _named(page_id: int | None) -> str:
     return f"<{_ID}{'' if page_id is None else page_id}>"
 
@@ -147,10 +157,9 @@ def archived(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z",
                 if out is None:
                     name, length, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{where}/{name}", compression=None)
-                pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = pack.compress(rendered(page_id, url, payload, digest, refers_to, revisit, date)) + pack.flush()
-                out.write(member)
-                length, n = length + len(member), n + 1
+                packed = member(rendered(page_id, url, payload, digest, refers_to, revisit, date), level)
+                out.write(packed)
+                length, n = length + len(packed), n + 1
         if out is not None:
             out.close()
             done.append((f"{folder}/{name}", length, n))
@@ -205,8 +214,8 @@ def member_at(window: _Window, place: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), end) if not following or following == MAGIC else None
 
 
-def owned(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, Record | None]]:
-    """(place, record) of the members that start in a range; a record of None is damage at that place."""
+def owned(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, int, Record | None]]:
+    """(place, end, record) of the members that start in a range; a record of None is damage at that place."""
     window = _Window(file, size, start)
     place, chained = start, start == 0
     while place < min(end, size) or (chained and place < size):
@@ -215,11 +224,11 @@ def owned(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tupl
         if record is not None:
             if place >= end:
                 return
-            yield place, record
+            yield place, found[1], record
             place, chained = found[1], True
             continue
         if chained:
-            yield place, None
+            yield place, place, None
         chained = False
         place = _next_magic(window, place + 1, min(end, size))
 
@@ -238,10 +247,10 @@ def _next_magic(window: _Window, place: int, end: int) -> int:
 
 
 def records(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE) -> DataFrame:
-    """The records of archives (path, length): path, place, what Record has (payload only where asked for) and error."""
+    """The records of archives (path, length): path, place, end, what Record has (payload only where asked for) and error."""
     parts = archives.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")).where("length > 0")
     n = archives.agg(F.sum(F.ceil(F.col("length") / range_bytes)).alias("n")).first().n or 1
-    fields = "path string, place long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, error string" + (", payload binary" if payloads else "")
+    fields = "path string, place long, end long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, error string" + (", payload binary" if payloads else "")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in fields.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +259,8 @@ def records(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, where = pyarrow.fs.FileSystem.from_uri(path)
                 with store.open_input_file(where) as file:
-                    for place, record in owned(file, size, start, start + range_bytes):
-                        row = {"path": path, "place": place, "error": None if record else f"damaged member in {path} at {place}", **(record._asdict() if record else {})}
+                    for place, stop, record in owned(file, size, start, start + range_bytes):
+                        row = {"path": path, "place": place, "end": stop, "error": None if record else f"damaged member in {path} at {place}", **(record._asdict() if record else {})}
                         held += len(row.get("payload") or b"") if payloads else 0
                         rows.append({k: row.get(k) for k in schema.names})
                         if len(rows) >= 1024 or held >= 8 << 20:
@@ -263,6 +272,12 @@ def records(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE
     return parts.repartition(min(int(n), 1 << 16), "path", "start").mapInArrow(run, fields)
 
 
+def without_nested(found: DataFrame) -> DataFrame:
+    """records() without those that lie within another one of their archive: only needed for archives that other writers made."""
+    before = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_end", F.max("end").over(before)).where(F.coalesce(F.col("place") >= F.col("_end"), F.lit(True))).drop("_end")
+
+
 def sound(found: DataFrame) -> DataFrame:
     """records() without error; damage is an error of the job that reads them."""
     return found.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True)).drop("error")

@@ -165,11 +165,17 @@ def archive(payloads, level=6):
     parts = []
     for k, payload in enumerate(payloads):
         text = warc.rendered(k, f"http://x/{k}", payload, hashlib.sha1(payload).hexdigest(), None, False, "2020-01-01T00:00:00Z")
-        pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-        parts.append(pack.compress(text) + pack.flush())
+        parts.append(warc.member(text, level))
     return parts
 
 
+def foreign(payload, k):
+    """A member by a writer that stores records as they are."""
+    text = warc.rendered(k, None, payload, hashlib.sha1(payload).hexdigest(), None, False, "2020-01-01T00:00:00Z")
+    pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return pack.compress(text) + pack.flush()
+
+
 class Source(io.BytesIO):
     pass
 
@@ -179,10 +185,19 @@ def test_every_record_has_one_owner(size):
     rng = random.Random(size)
     nested = b"".join(archive([b"inner one", b"inner two"]))
     payloads = [rng.randbytes(rng.choice([0, 5, 300, 3000])) for _ in range(30)] + [nested, warc.MAGIC * 50, b"", rng.randbytes(400_000) if size > 100 else b"y"]
-    # Stored blocks leave the nested archive readable inside its member.
     data = b"".join(archive(payloads, level=0))
     found = [x for start in range(0, len(data), size) for x in warc.owned(Source(data), len(data), start, start + size)]
-    assert [r.payload for _, r in found] == payloads and [r.page_id for _, r in found] == list(range(len(payloads)))
+    assert [r.payload for *_, r in found] == payloads and [r.page_id for *_, r in found] == list(range(len(payloads)))
+
+
+@pytest.mark.parametrize("size", [40, 300, 10**6])
+def test_members_inside_records_of_other_writers_go_by_their_places(spark, tmp_path, size):
+    inner = b"".join(foreign(b"inner %d" % k, 100 + k) for k in range(4))
+    data = foreign(b"first", 0) + foreign(inner, 1) + foreign(b"last", 2)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    table = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, length long")
+    got = warc.sound(warc.without_nested(warc.records(table, range_bytes=size)))
+    assert [bytes(r.payload) for r in got.orderBy("place").collect()] == [b"first", inner, b"last"]
 
 
 @pytest.mark.parametrize("size", [13, 200, 10**6])
@@ -192,7 +207,7 @@ def test_damage_is_told_once_and_costs_one_record(size):
     broken[len(broken) // 2] ^= 0xFF
     data = parts[0] + bytes(broken) + parts[2] + parts[3]
     found = [x for start in range(0, len(data), size) for x in warc.owned(Source(data), len(data), start, start + size)]
-    assert [r.page_id if r else None for _, r in found] == [0, None, 2, 3]
+    assert [r.page_id if r else None for *_, r in found] == [0, None, 2, 3]
     assert found[1][0] == len(parts[0])
 
 
