@@ -19,9 +19,3 @@ def content_id(prefix: str, *parts: Column) -> Column:
 
 def pair_id(*ids: Column) -> Column:
     return F.concat(F.lit("pair_"), F.left(F.sha2(F.concat_ws("\0", *ids), 256), F.lit(16)))
-
-
-def digest_of_rows(row: Column, order: Column) -> Column:
-    """An aggregate: digest of the rows' digests, in an order. Only digests are gathered, 64 characters a row."""
-    gathered = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.sha2(row, 256).alias("digest"))))
-    return F.sha2(F.array_join(F.transform(gathered, lambda r: r["digest"]), "\n"), 256)

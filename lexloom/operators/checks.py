@@ -32,5 +32,7 @@ def must_be_empty(df: DataFrame, message: str) -> DataFrame:
     return df.limit(1).select(F.raise_error(F.lit(message)).alias("error"))
 
 
-def close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
-    return F.abs(a - b) <= F.greatest(tolerance * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
+def close(a: Column, b: Column, relative: float | Column = 1e-12, absolute: float | Column | None = None) -> Column:
+    """Whether two numbers differ by no more than a share of the larger one or an absolute amount, whichever is more; the amount is `relative` where none is given."""
+    least = relative if absolute is None else absolute
+    return F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(least))

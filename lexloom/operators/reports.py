@@ -38,6 +38,22 @@ def positional(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
     return both.withColumn(index, checked).drop("_a", "_b")
 
 
+def paired(base: DataFrame, new: DataFrame, keys: list[str], same: str) -> DataFrame:
+    """Rows of two models side by side: keys, the column that must be the same, and the others as base_ and new_. A row that only one side has, or a difference in `same`, is an error when it runs."""
+    sides = []
+    for name, rows in (("base", base), ("new", new)):
+        sides.append(rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in keys], F.lit(True).alias(f"_{name}")))
+    both = sides[0].join(sides[1], keys, "full_outer")
+    where = F.concat_ws(",", *keys)
+    alone = F.col("_base").isNull() | F.col("_new").isNull()
+    checked = (
+        F.when(alone, F.raise_error(F.concat(F.lit("only one side has the row "), where)).cast(base.schema[same].dataType))
+        .when(~F.col(f"base_{same}").eqNullSafe(F.col(f"new_{same}")), F.raise_error(F.concat(F.lit(f"{same} differs at "), where)).cast(base.schema[same].dataType))
+        .otherwise(F.col(f"base_{same}"))
+    )
+    return both.withColumn(same, checked).drop("_base", "_new", f"base_{same}", f"new_{same}")
+
+
 def agreeing(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Inner join on key; a value that differs between the sides is an error when it runs."""
     joined = a.join(b.withColumnRenamed(value, "_value"), key)
@@ -133,6 +149,7 @@ def rebuilt(parts: Column, values: Column) -> Column:
 
 
 def set_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, change): keys that only one of two tables has."""
-    gone, come = before.select(key).exceptAll(after.select(key)).distinct(), after.select(key).exceptAll(before.select(key)).distinct()
-    return gone.withColumn("change", F.lit("gone")).unionByName(come.withColumn("change", F.lit("new")))
+    """(key, change): keys that only one of two tables has, however often. Null is a key."""
+    sides = before.select(key, F.lit(True).alias("_before")).unionByName(after.select(key, F.lit(False).alias("_before")))
+    seen = sides.groupBy(key).agg(F.bool_or("_before").alias("_was"), F.bool_and("_before").alias("_gone"))
+    return seen.where("_gone OR NOT _was").select(key, F.when(F.col("_gone"), "gone").otherwise("new").alias("change"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.hashing import rank_hash
+from lexloom.operators.ranks import ranked
 
 
 def per_stratum(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -24,22 +28,18 @@ def exactly(df: DataFrame, key: str, n: int, seed: int = 42, namespace: str = "s
 def audit(df: DataFrame, key: str, hard: Column, changed: Column, margin: Column, fraction: float, seed: int = 42) -> DataFrame:
     """Three disjoint strata: all hard rows; of the others, half of what is left by changed, margin and hash; the rest by hash.
 
-    Ranks are taken over the candidates of each stratum, in windows over the whole table; an audit is a small share of it.
+    Places are taken by ranges over many tasks, as an audit's share of a large table is large itself.
     """
     rows = df.withColumns({"_hard": hard, "_changed": changed, "boundary_margin": margin})
-    totals = rows.agg(F.count("*").alias("_n"), F.count_if("_hard").alias("_h"))
-    totals = totals.withColumn("_open", F.greatest(F.ceil(F.col("_n") * fraction), F.col("_h")) - F.col("_h"))
-    totals = totals.select("_open", F.ceil(F.col("_open") / 2).alias("_conflicts"))
-    hards = rows.where("_hard").withColumn("stratum", F.lit("hard_negative"))
-    rest = rows.where("NOT _hard").join(F.broadcast(totals))
-    by_conflict = Window.orderBy(~F.col("_changed"), "boundary_margin", rank_hash(seed, F.col(key), "conflict"), key)
-    ranked = rest.withColumn("_rank", F.row_number().over(by_conflict))
-    conflicts = ranked.where("_rank <= _conflicts").withColumn("stratum", F.lit("boundary_conflict"))
-    by_hash = Window.orderBy(rank_hash(seed, F.col(key), "random"), key)
-    others = ranked.where("_rank > _conflicts").withColumn("_rank", F.row_number().over(by_hash))
-    randoms = others.where("_rank <= _open - _conflicts").withColumn("stratum", F.lit("random"))
-    columns = [*df.columns, "boundary_margin", F.col("_changed").alias("slot_count_changed"), "stratum"]
-    return hards.select(*columns).unionByName(conflicts.select(*columns)).unionByName(randoms.select(*columns))
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if("_hard").alias("hard")).first()
+    left = max(math.ceil(sizes.n * fraction), sizes.hard) - sizes.hard
+    conflicts = -(-left // 2)
+    by_conflict = rows.where("NOT _hard").withColumn("_order", rank_hash(seed, F.col(key), "conflict"))
+    by_conflict = ranked(by_conflict, (~F.col("_changed")).asc(), F.asc_nulls_first("boundary_margin"), "_order", key, name="_rank")
+    by_hash = by_conflict.where(F.col("_rank") > conflicts).withColumn("_order", rank_hash(seed, F.col(key), "random")).orderBy("_order", key).limit(left - conflicts)
+    columns = [*df.columns, "boundary_margin", F.col("_changed").alias("slot_count_changed")]
+    strata = {"hard_negative": rows.where("_hard"), "boundary_conflict": by_conflict.where(F.col("_rank") <= conflicts), "random": by_hash}
+    return reduce(DataFrame.unionByName, [part.select(*columns, F.lit(name).alias("stratum")) for name, part in strata.items()])
 
 
 def equal_size(groups: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.hashing import content_id, digest_of_rows, rank_hash
+from lexloom.functions.hashing import content_id, rank_hash
 from lexloom.functions.text import annotated, comparison_form, filled, han_share, latin_share, substituted
 from lexloom.operators import checks, funnel, sampling, scoring
+from lexloom.operators.ranks import tree_digest
 from lexloom.sources.tables import kept, table
 
 #: The share of letters outside Latin script from which a document's script is unexpected, and languages that are in the catalogue.
@@ -215,8 +216,9 @@ def flattened_release(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_digests(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.groupBy("lang").agg(digest_of_rows(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("digest"))
+    """A digest of each language's texts in their order, as a tree of digests."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return tree_digest(docs, F.col("text"), "doc_id", group="lang")
 
 
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +278,12 @@ WITH p AS (SELECT p_partkey, 'find ' || p_name || ' of ' || p_brand AS prompt, p
 SELECT p_partkey, prompt, substr(prompt, 1, strpos(prompt, p_brand) - 1) || 'Brand#X' || substr(prompt, strpos(prompt, p_brand) + length(p_brand)) AS replaced, target, 'syn_' || left(sha256(p_partkey || ':' || target), 20) AS id FROM p
 """,
     "flattened_release": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",
-    "row_digests": "SELECT lang, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang",
+    "row_digests": """
+WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, sha256(coalesce(text, '')) AS h FROM documents),
+a AS (SELECT lang, n, i // 1024 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, chr(10) ORDER BY r.i)) ELSE any_value(h) END AS h FROM r GROUP BY lang, n, r.i // 1024),
+b AS (SELECT lang, n, i // 1024 AS i, CASE WHEN n > 1024 THEN sha256(string_agg(h, chr(10) ORDER BY a.i)) ELSE any_value(h) END AS h FROM a GROUP BY lang, n, a.i // 1024)
+SELECT lang, n, CASE WHEN n > 1024 * 1024 THEN sha256(string_agg(h, chr(10) ORDER BY i)) ELSE any_value(h) END AS digest FROM b GROUP BY lang, n
+""",
     "latest_event": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS hours, count(*) AS n FROM events GROUP BY user_id",
     "first_seed_per_label": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || vec_id), vec_id) AS n FROM embeddings) WHERE n = 1",
 }

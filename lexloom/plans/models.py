@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.intervals import Z_SIZING, gap_closed, holm, mcnemar_p, t_interval, wilson
 from lexloom.operators import augmentation, bootstrap, planning, scoring, similarity
+from lexloom.operators.ranks import ranked_within
 from lexloom.sources.tables import kept, table
 
 #: Stand-in limits for the embeddings at hand, off any ties.
@@ -172,12 +173,17 @@ def slot_micro_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Linear and nearest-rank percentiles of document lengths, by language."""
-    docs = table(spark, d, "documents")
-    w = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
-    ranked = docs.select("lang", "n_chars", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("lang")).alias("n"))
-    at = lambda f: F.bround(f * (F.col("n") - 1), 0)
-    return ranked.groupBy("lang").agg(F.round(F.percentile("n_chars", 0.95), 6).alias("p95"), F.max(F.when(F.col("i") == at(F.lit(0.95)), F.col("n_chars"))).alias("near95"), F.max(F.when(F.col("i") == at(F.lit(0.5)), F.col("n_chars"))).alias("near50"), F.max("n_chars").alias("longest"))
+    """Linear and nearest-rank percentiles of document lengths, the longest, and how many have its length, by language."""
+    docs = table(spark, d, "documents").select("lang", "n_chars", "doc_id")
+    rows = ranked_within(docs, "lang", "n_chars", "doc_id", name="i", start=0, size="n")
+    near = lambda f: F.max(F.when(F.col("i") == F.bround(F.lit(f) * (F.col("n") - 1), 0), F.col("n_chars")))
+    # A linear percentile lies between the rows on both sides of its place.
+    at = F.lit(0.95) * (F.col("n") - 1)
+    side = lambda place: F.max(F.when(F.col("i") == place, F.col("n_chars")))
+    low, high, part = side(F.floor(at)), side(F.ceil(at)), F.max(at - F.floor(at))
+    found = rows.groupBy("lang").agg(F.round(low + (high - low) * part, 6).alias("p95"), near(0.95).alias("near95"), near(0.5).alias("near50"), F.max("n_chars").alias("longest"))
+    limit = rows.groupBy("lang", "n_chars").agg(F.count("*").alias("n")).groupBy("lang").agg(F.max_by("n", "n_chars").alias("at_longest"))
+    return found.join(limit, "lang")
 
 
 def plan_allocation(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +280,7 @@ SELECT r.grp, r.seed, count(*) AS n, round(avg((predicted IS NOT NULL)::INT::DOU
     "gap_closed_by_label": _PREDICTIONS + f", {_ACC} SELECT expected, round(CASE WHEN abs(1 - base) >= 0.01 THEN 100.0 * (full_ - base) / (1 - base) END, 6) AS gap_closed FROM w",
     "label_movement": _PREDICTIONS + f", {_ACC}, x AS (SELECT expected, round(full_ - base, 9) AS delta FROM w), y AS (SELECT *, row_number() OVER (ORDER BY delta DESC, expected) AS up, row_number() OVER (ORDER BY delta, expected DESC) AS down FROM x) SELECT expected, delta, up <= 3 AS gains FROM y WHERE up <= 3 OR down <= 3",
     "slot_micro_f1": "WITH e AS (SELECT p_brand, p_partkey, unnest(string_split(lower(p_type), ' ')) AS word FROM part), g AS (SELECT p_brand, p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), b AS (SELECT *, 1 AS x FROM e UNION ALL SELECT *, 0 FROM g), c AS (SELECT p_brand, p_partkey, word, sum(x) AS e, sum(1 - x) AS p FROM b GROUP BY ALL), t AS (SELECT p_brand, CAST(sum(least(e, p)) AS BIGINT) AS tp, CAST(sum(greatest(p - e, 0)) AS BIGINT) AS fp, CAST(sum(greatest(e - p, 0)) AS BIGINT) AS fn FROM c GROUP BY p_brand) SELECT p_brand, tp, fp, fn, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 1), 9) AS f1 FROM t",
-    "token_percentiles": "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.95::DOUBLE), 6) AS p95, max(n_chars) FILTER (i = round_even(0.95 * (n - 1), 0)) AS near95, max(n_chars) FILTER (i = round_even(0.5 * (n - 1), 0)) AS near50, max(n_chars) AS longest FROM r GROUP BY lang",
+    "token_percentiles": "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.95::DOUBLE), 6) AS p95, max(n_chars) FILTER (i = round_even(0.95 * (n - 1), 0)) AS near95, max(n_chars) FILTER (i = round_even(0.5 * (n - 1), 0)) AS near50, max(n_chars) AS longest, count(*) FILTER (n_chars = (SELECT max(m.n_chars) FROM documents m WHERE m.lang = r.lang)) AS at_longest FROM r GROUP BY lang",
     "plan_allocation": "WITH s AS (SELECT recipe, 11263 * w::DOUBLE AS exact FROM (VALUES ('paraphrase', 0.35), ('slot_substitution', 0.30), ('noise_codeswitch', 0.20), ('hard_negative', 0.15)) AS t(recipe, w)), r AS (SELECT recipe, floor(exact)::BIGINT AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, recipe DESC) AS k FROM s) SELECT recipe, base + (k <= 11263 - (SELECT sum(base) FROM r))::BIGINT AS n FROM r",
     "slot_substitution_first_match": "WITH p AS (SELECT p_partkey AS row_id, p_name || ' ' || p_brand || ' ' || p_size AS text, p_brand, p_size::VARCHAR AS sz FROM part), s AS (SELECT row_id, text, 0 AS slot_pos, 'size' AS type, sz AS value FROM p UNION ALL SELECT row_id, text, 1, 'brand', p_brand FROM p), b AS (SELECT type, value AS replacement, min((row_id, slot_pos)) AS first_at FROM s GROUP BY ALL), m AS (SELECT s.*, b.replacement, row_number() OVER (PARTITION BY row_id ORDER BY slot_pos, first_at) AS k FROM s JOIN b USING (type) WHERE contains(text, value) AND replacement <> value AND NOT contains(text, replacement)) SELECT row_id, slot_pos, type, value, replacement FROM m WHERE k = 1",
     "cycled_plan": "SELECT idx, s_name, CASE WHEN idx % 2 = 0 THEN 'massive_like' ELSE 'tw_colloquial' END AS style FROM range(250) t(idx) JOIN supplier ON s_suppkey - 1 = (idx + 311) % (SELECT count(*) FROM supplier)",

@@ -299,7 +299,7 @@ def split_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customer_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with open orders only before or only after a day."""
+    """Customers with orders only before, or only from a day on."""
     orders = table(spark, d, "orders")
     cut = F.lit("1995-06-17").cast("date")
     day = F.col("o_orderdate").cast("date")
@@ -374,7 +374,14 @@ SELECT a.kind, n, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1
     "row_formats": r"SELECT '| ' || replace(o_orderpriority, '-', '\|') || ' | ' || printf('%.2f%%', round(avg((o_orderstatus = 'F')::INT::DOUBLE) * 100, 6)) || ' |' AS row FROM orders GROUP BY o_orderpriority",
     "seed_pool": "SELECT s_suppkey AS pos, c_custkey, c_mktsegment FROM supplier JOIN customer ON c_custkey = s_suppkey * 7 % 1000 + 1",
     "split_rows": "WITH b AS (SELECT ('0x' || left(sha256('42:split:' || c_custkey), 4))::INT % 10 AS k FROM customer) SELECT CASE WHEN k < 8 THEN 'train' WHEN k = 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM b GROUP BY 1",
-    "customer_changes": "WITH a AS (SELECT o_custkey FROM orders WHERE o_orderdate::DATE < DATE '1995-06-17'), b AS (SELECT o_custkey FROM orders WHERE o_orderdate::DATE >= DATE '1995-06-17'), c AS (SELECT DISTINCT o_custkey, 'gone' AS change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT DISTINCT o_custkey, 'new' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT change, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM c GROUP BY change",
+    "customer_changes": """
+WITH k AS (
+  SELECT o_custkey, 'gone' AS change FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate::DATE >= DATE '1995-06-17')
+  UNION
+  SELECT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate::DATE < DATE '1995-06-17')
+)
+SELECT change, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM k GROUP BY change
+""",
     "complete_groups": ANSWERS + "SELECT grp, kind, count(DISTINCT seed) = 3 AND count(DISTINCT predicted) = 5 AS complete FROM r WHERE predicted IS NOT NULL GROUP BY ALL",
     "unknown_references": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 <> 1) GROUP BY o_custkey",
     "exposure_estimate": "SELECT lang, round_even(500.0::DOUBLE * 16 * count(*) / (SELECT count(*) FROM documents), 0)::BIGINT AS seen FROM documents GROUP BY lang",

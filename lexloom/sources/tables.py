@@ -1,26 +1,55 @@
-"""Readers: Parquet splits, JSON lines with their place, dictionary-coded columns, delimited records."""
+"""Readers: Parquet splits, text and JSON lines with file and line, dictionary-coded columns, delimited records."""
 
 from __future__ import annotations
 
+import atexit
+import functools
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, which the session names in spark.checkpoint.dir; on one machine a folder is made where it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or _own_folder()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lexloom-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    where = f"{shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, where)
+    return where
+
+
+def _forget(spark: SparkSession, where: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone by then
+        return
+
+
 def kept(df: DataFrame, name: str = "") -> DataFrame:
-    """Written where all executors read it again: a reliable checkpoint in the folder the session names; on one machine a folder is made where it names none."""
+    """Written where all executors read it again: a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -33,25 +62,58 @@ def splits(spark: SparkSession, folder: str, names: list[str], schema: str) -> D
     return out
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, file, line) of text files: line counts from 1 in each file, blank lines too.
+
+    Files are read in splits by many tasks. Each split's lines are counted, and a line's number is its place in its
+    split after the lines of the splits before; only these counts are shuffled.
+    """
+    at = F.monotonically_increasing_id()  # rises within a split, by one a line
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), *block, at.alias("at"))
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    shifts = counts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(shifts, ["file", "block"]).select("raw", "file", (F.col("at") + F.col("shift")).alias("line"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parsed rows with raw, file and bad (text that isn't a JSON object of the schema); blank lines are left out, bad ones kept."""
-    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")).where(F.trim("raw") != "")
-    parsed = lines.withColumn("row", F.from_json("raw", f"STRUCT<{_as_struct(schema)}, _bad: STRING>", {"columnNameOfCorruptRecord": "_bad"}))
-    return parsed.select("row.*", "raw", "file").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
-
-
-def _as_struct(schema: str) -> str:
-    """DDL of columns as DDL of struct fields: a colon after each name at the top level."""
-    out, depth, name = [], 0, True
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            name = True
-        elif name and c == " " and out and out[-1] not in ", ":
-            out.append(":")
-            name = False
-        out.append(c)
-    return "".join(out)
+    """Parsed rows with raw, file, line and bad (text that isn't a JSON object of the schema); blank lines are left out, bad ones kept."""
+    lines = numbered(spark, path).where(F.trim("raw") != "")
+    typed = StructType.fromDDL(schema).add("_bad", "string")
+    parsed = lines.withColumn("row", F.from_json("raw", typed, {"columnNameOfCorruptRecord": "_bad"}))
+    return parsed.select("row.*", "raw", "file", "line").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """(id, utt, raw, file, line, problem) of JSON lines that each should hold a sample object with an id and a text; problem is null for good ones."""
+    lines = numbered(spark, path).where(F.trim("raw") != "")
+    record = lines.withColumn("_v", F.try_parse_json("raw"))
+    sample = F.try_variant_get("_v", "$.sample", "variant")
+    kind = lambda v: F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("none"))
+    text = lambda path: F.when(kind(F.try_variant_get("_v", path, "variant")) == "STRING", F.try_variant_get("_v", path, "string"))
+    out = record.select(text("$.sample.id").alias("id"), text("$.sample.utt").alias("utt"), "raw", "file", "line", F.col("_v").isNull().alias("_no"), kind(sample).alias("_kind"))
+    problem = (
+        F.when(F.col("_no"), "not JSON")
+        .when(F.col("_kind") != "OBJECT", "missing sample object")
+        .when(F.coalesce(F.col("id") == "", F.lit(True)), "missing sample id")
+        .when(F.coalesce(~F.col("utt").rlike(r"(?U)\S"), F.lit(True)), "missing utterance")
+    )
+    return out.withColumn("problem", problem).drop("_no", "_kind")
+
+
+def required(rows: DataFrame, *unique: str, told: int = 5) -> DataFrame:
+    """rows, all of which have no problem and, together, no repeated key: checked now, before any row is given out.
+
+    rows have problem, file and line, as samples() gives. The error has the first places of problems, or repeated keys."""
+    bad = rows.where("problem IS NOT NULL").select("problem", "file", "line").orderBy("file", "line").limit(told).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.problem} at {r.file}:{r.line}" for r in bad))
+    if unique:
+        twice = rows.groupBy(*unique).agg(F.count("*").alias("n")).where("n > 1").orderBy(*unique).limit(told).collect()
+        if twice:
+            raise ValueError("repeated keys: " + "; ".join(", ".join(str(r[u]) for u in unique) for r in twice))
+    return rows
 
 
 def decoded(df: DataFrame, code: str, names: list[str]) -> DataFrame:

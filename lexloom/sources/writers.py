@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexloom.sources.manifests import files
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
@@ -23,16 +25,34 @@ def outcomes(df: DataFrame, path: str) -> None:
 
 
 def append_once(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """A stream appended to a table; a key that is there already, or comes again, is left out."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        try:
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A stream appended to a table of its own; a key that came before, or comes again, is left out.
+
+    The keys seen are the stream's state: a batch costs what its rows and their keys' partitions of the state cost,
+    however large the table has grown (with the session's RocksDB state store, only the keys asked for are read).
+    State and table are committed by batch, so a restart from the checkpoint neither loses nor repeats a row.
+    """
+    first = stream.dropDuplicates([key])
+    return first.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ledger(sessions: DataFrame, path: str) -> DataFrame:
+    """Appends sessions (session, seconds) and gives the totals of all that were written: session, runs, seconds."""
+    sessions.select("session", F.col("seconds").cast("double").alias("seconds")).write.mode("append").parquet(path)
+    every = sessions.sparkSession.read.parquet(path)
+    return every.groupBy("session").agg(F.count("*").alias("runs"), F.sum("seconds").alias("seconds"))
+
+
+def release(rows: DataFrame, key: str, groups: str, expected: dict[str, int], path: str) -> DataFrame:
+    """Writes rows as a release if keys are unique and each group has its expected size, else an error before anything is written.
+
+    Gives (path, bytes, digest) of the written files.
+    """
+    sizes = {r[groups]: r.n for r in rows.groupBy(groups).agg(F.count("*").alias("n")).collect()}  # a catalogue
+    if sizes != expected:
+        wrong = sorted((k for k in {*sizes, *expected} if sizes.get(k) != expected.get(k)), key=str)
+        raise ValueError("group sizes differ: " + "; ".join(f"{k}: {sizes.get(k, 0)} rows for {expected.get(k, 0)}" for k in wrong))
+    twice = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(5).collect()
+    if twice:
+        raise ValueError("repeated keys: " + ", ".join(str(r[key]) for r in twice))
+    json_lines(rows.orderBy(key), path)
+    return files(rows.sparkSession, path, "part-*")
