@@ -84,8 +84,9 @@ def metric_deltas(pairs: DataFrame, labels: DataFrame, replicates: int, random_s
     seeds = sorted({r.seed for r in counts})
     catalogue = sorted(r.label for r in labels.select("label").distinct().collect())
     sizes = {s: np.array([r.n for r in counts if r.seed == s]) for s in seeds}
-    slices = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // SLICE))).alias("slice")
-    dealt = found.select("*", slices).drop("_at")
+    slices = -(-replicates // SLICE)
+    # Few bytes, much work: dealt to tasks by number.
+    dealt = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).drop("_at").repartition(min(len(counts) * slices, 2000), "seed", "block", "slice")
     sent = spark.sparkContext.broadcast((seeds, sizes, catalogue))
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Splits whose counts (about 150 bytes each) are sent to all tasks; more are joined by a shuffle.
+FEW_SPLITS = 100_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -66,7 +69,7 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(raw, file, line) of text files: line counts from 1 in each file, blank lines too.
 
     Files are read in splits by many tasks. Each split's lines are counted, and a line's number is its place in its
-    split after the lines of the splits before; only these counts are shuffled.
+    split after the lines of the splits before; only these counts are shuffled, or sent to all tasks where they are few.
     """
     at = F.monotonically_increasing_id()  # rises within a split, by one a line
     block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
@@ -74,6 +77,8 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
     shifts = counts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    shifts = kept(shifts)
+    shifts = F.broadcast(shifts) if shifts.count() <= FEW_SPLITS else shifts
     return lines.join(shifts, ["file", "block"]).select("raw", "file", (F.col("at") + F.col("shift")).alias("line"))
 
 
