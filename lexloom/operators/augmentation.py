@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.hashing import content_id, rank_hash
 from lexloom.functions.text import comparison_form, covered
+from lexloom.sources.tables import kept
 
 #: Word lists of the edits.
 SYNONYMS = [("幫我", "請"), ("請", "麻煩"), ("打開", "開啟"), ("關掉", "關閉"), ("告訴我", "跟我說"), ("查詢", "查一下"), ("搜尋", "找一下"), ("播放", "放"), ("設定", "設"), ("取消", "移除"), ("目前", "現在"), ("今天", "今日")]
@@ -72,28 +73,51 @@ def _order(seed: int) -> Column:
     return rank_hash(seed, F.concat_ws(":", "id", "_kind", "_old", "_new", F.col("_number").cast("string")), "edit")
 
 
+def _in_slice(position: Column, size: int, low: int, high: int) -> Column:
+    """Whether one of the attempts low .. high - 1 is that of a position: attempt modulo size is the position."""
+    if high - low >= size:
+        return F.lit(True)
+    a, b = low % size, high % size
+    return (position >= a) & (position < b) if a < b else (position >= a) | (position < b)
+
+
 def augmented(seeds: DataFrame, target: int, seed: int = 42, attempts: int | None = None) -> DataFrame:
-    """Exactly `target` new examples: id, utt, intent, slots, method, source_id, variant, attempt. Fewer in reach is an error when it runs.
+    """Exactly `target` new examples: id, utt, intent, slots, method, source_id, variant, attempt. Fewer in reach is an error.
 
     seeds: pos (0 .. n - 1), id, utt, intent, slots. A source's variant v of a method is its v-th edit in the
     order of a hash; attempts go over all sources, methods taking turns. A result counts once per
     intent and comparison form, and not at all where a seed has that form.
+
+    An attempt's number is known before its edit is made, so attempts are made in slices, from 2 * target on
+    twice as many each, until there are enough: only the sources of a slice are edited, however many there are.
     """
-    in_method = Window.partitionBy("id", "_method").orderBy(_order(seed), "_kind", "_old", "_new", "_number")
-    made = candidates(seeds, seed).withColumn("variant", F.row_number().over(in_method) - 1)
-    turn = 2 * F.col("variant") + F.when(F.col("_method") == "character_noise", 1).otherwise(0)
-    size = F.broadcast(seeds.agg(F.count("*").alias("_size")))
-    numbered = made.join(size).withColumn("attempt", turn.cast("long") * F.col("_size") + F.col("pos")).where(F.col("attempt") < (attempts or 2**62))
-    numbered = numbered.withColumn("form", comparison_form(F.col("made")))
-    known = seeds.select("intent", comparison_form(F.col("utt")).alias("form")).distinct()
-    firsts = numbered.join(known, ["intent", "form"], "left_anti").groupBy("intent", "form").agg(F.min(F.struct("attempt", "made", "slots", "_method", "id", "variant")).alias("m"))
-    chosen = firsts.select("intent", "m.*").orderBy("attempt").limit(target)
-    enough = chosen.agg(F.count("*").alias("_n")).select(F.assert_true(F.col("_n") >= target, F.lit(f"fewer than {target} examples in reach")).alias("_ok"))
-    chosen = chosen.join(F.broadcast(enough), how="left").where("_ok IS NULL")
+    size = seeds.count()
+    most = 2 * len(edits()) * size if attempts is None else attempts
+    known = seeds.select("intent", comparison_form(F.col("utt"), exact=True).alias("form"))
+    found, n, low, high = None, 0, 0, 2 * target
+    while n < target and low < most:
+        made = _attempts(seeds.where(_in_slice(F.col("pos"), size, low, high)), size, seed).where((F.col("attempt") >= low) & (F.col("attempt") < min(high, most)))
+        new = kept(made.withColumn("form", comparison_form(F.col("made"), exact=True)))
+        fresh = new.join(known.join(new.select("intent", "form").distinct(), ["intent", "form"], "left_semi").distinct(), ["intent", "form"], "left_anti")
+        rows = fresh.select("intent", "form", F.struct("attempt", "made", "slots", "_method", "id", "variant").alias("m"))
+        rows = rows if found is None else rows.unionByName(found)
+        found = kept(rows.groupBy("intent", "form").agg(F.min("m").alias("m")))
+        n, low, high = found.count(), high, 2 * high
+    if n < target:
+        raise ValueError(f"fewer than {target} examples in reach")
+    chosen = found.select("intent", "m.*").orderBy("attempt").limit(target)
     key = content_id("aug_", F.lit(str(seed)), "_method", "id", F.col("variant").cast("string"), "made")
     return chosen.select(key.alias("id"), F.col("made").alias("utt"), "intent", "slots", F.col("_method").alias("method"), F.col("id").alias("source_id"), "variant", "attempt")
 
 
+def _attempts(sources: DataFrame, size: int, seed: int) -> DataFrame:
+    """All results of some sources, with variant and the number of their attempt among all `size` sources."""
+    in_method = Window.partitionBy("id", "_method").orderBy(_order(seed), "_kind", "_old", "_new", "_number")
+    made = candidates(sources, seed).withColumn("variant", F.row_number().over(in_method) - 1)
+    turn = 2 * F.col("variant") + F.when(F.col("_method") == "character_noise", 1).otherwise(0)
+    return made.withColumn("attempt", turn.cast("long") * size + F.col("pos"))
+
+
 #: Kinds of probes, and the kinds of edits each takes, the first choice first.
 PROBES = {"colloquial": ("front", "back"), "lexical": ("lexical",), "asr_noise": ("misheard", "swap", "filler")}
 

@@ -14,27 +14,35 @@ from lexloom.sources.tables import kept, table
 #: The share of letters outside Latin script from which a document's script is unexpected, and languages that are in the catalogue.
 LANGUAGES = ["de", "en", "fr"]
 ANCHOR = 5
+#: Benchmark items whose hashes (about 50 bytes each) are sent to all tasks; more are joined by a shuffle.
+FEW_ITEMS = 500_000
 
 
 def _leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the item's words stand in the document, one after the other.
 
-    The item's first words (at most ANCHOR) are looked up among the document's runs of words by an
-    equi-join, and only hits are compared as texts, so no document meets every item.
+    The item's first words (at most ANCHOR) are looked up among the document's runs of words by their hash. The items'
+    hashes are sent to all tasks where they are few, so nothing of the documents is shuffled but the hits; only documents
+    with hits are then compared as texts.
     """
     words = lambda c: F.array_remove(F.split(F.lower(c), r"\s+"), "")
-    asked = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
-    asked = asked.select("item_id", F.least(F.size("iw"), F.lit(ANCHOR)).alias("k"), F.xxhash64(F.slice("iw", F.lit(1), F.least(F.size("iw"), F.lit(ANCHOR)))).alias("key"), F.array_join("iw", " ").alias("needle"))
-    sizes = sorted(r.k for r in asked.select("k").distinct().collect())  # at most ANCHOR values
-    split = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    asked = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0).withColumn("k", F.least(F.size("iw"), F.lit(ANCHOR)))
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    asked = asked.withColumn("w", hashed(F.col("iw")))
+    first = F.coalesce(*[F.when(F.col("k") == k, F.xxhash64(*[F.get("w", F.lit(j)) for j in range(k)])) for k in range(1, ANCHOR + 1)])
+    asked = asked.select("item_id", "k", first.alias("key"), F.array_join("iw", " ").alias("needle"))
+    sizes = {r.k: r["count"] for r in asked.groupBy("k").count().collect()}  # at most ANCHOR values
     if not sizes:
         return docs.select("doc_id").where("false").withColumn("item_id", F.lit(None).cast("long"))
+    keys = asked.select("k", "key", "item_id")
+    keys = F.broadcast(keys) if sum(sizes.values()) <= FEW_ITEMS else keys
+    split = docs.where("text IS NOT NULL").select("doc_id", hashed(words(F.col("text"))).alias("w"))
     none = F.array().cast("array<struct<k:int,key:bigint>>")
-    runs = F.concat(*[F.when(F.size("w") >= k, F.transform(F.array_distinct(_runs(k)), _keyed(k))).otherwise(none) for k in sizes])
-    hits = split.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*").join(asked, ["k", "key"]).select("doc_id", "item_id", "needle")
-    full = split.join(hits.distinct(), "doc_id")
+    runs = F.concat(*[F.when(F.size("w") >= k, F.transform(_runs(k), _keyed(k))).otherwise(none) for k in sorted(sizes)])
+    hits = split.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*").join(keys, ["k", "key"]).select("doc_id", "item_id").distinct()
+    met = docs.select("doc_id", "text").join(hits, "doc_id").join(asked.select("item_id", "needle"), "item_id")
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return full.where(F.contains(spaced(F.array_join("w", " ")), spaced(F.col("needle")))).select("doc_id", "item_id").distinct()
+    return met.where(F.contains(spaced(F.array_join(words(F.col("text")), " ")), spaced(F.col("needle")))).select("doc_id", "item_id").distinct()
 
 
 def _keyed(k: int):
@@ -42,8 +50,8 @@ def _keyed(k: int):
 
 
 def _runs(k: int):
-    """Hashes of the runs of k words."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(k))))
+    """Hashes of the runs of k words, of an array w of the words' hashes: taking elements costs the same at every place, slices of an array don't."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
 
 
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
