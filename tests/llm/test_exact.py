@@ -334,6 +334,12 @@ def test_chat_round_trip(spark):
     made = chat.formatted(df)
     assert made.where("NOT (turns <=> recovered)").count() == 0 and made.where(F.col("formatted").isNull()).count() == 0
     r = chat.digests(made.where("conv_id = 2")).first()
+    for row in made.collect():  # the mask is read from the rendered text alone
+        said = [x.start for x in row.loss_spans]
+        assert said == sorted(said) and len(said) == sum(t.role == "assistant" for t in row.turns)
+        assert all(row.formatted[x.start - 11 : x.start] == ">assistant\n" and row.formatted[x.start + x.length :].startswith("<|im_end|>") for x in row.loss_spans)
+    masked = made.select("conv_id", chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("learnt")).collect()
+    assert {m.conv_id: m.learnt for m in masked} == {i: [t or ""] for i, t in enumerate(texts)}
     assert r.loss_chars == len(texts[2]) and r.loss_sha256 == hashlib.sha256(texts[2].encode()).hexdigest() and r.escaped
     assert chat.formatted(df.where("false")).count() == 0
 
