@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import corpus, models, records, reports, requests
+from lexloom.plans import contracts, corpus, models, records, reports, requests
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus.QUERIES | models.QUERIES | records.QUERIES | reports.QUERIES | requests.QUERIES
+    return contracts.QUERIES | corpus.QUERIES | models.QUERIES | records.QUERIES | reports.QUERIES | requests.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | models.SQL | records.SQL | reports.SQL | requests.SQL
+    return contracts.SQL | corpus.SQL | models.SQL | records.SQL | reports.SQL | requests.SQL
