@@ -54,6 +54,13 @@ def paired(base: DataFrame, new: DataFrame, keys: list[str], same: str) -> DataF
     return both.withColumn(same, checked).drop("_base", "_new", f"base_{same}", f"new_{same}")
 
 
+def looked_up(names: DataFrame, rows: DataFrame, key: str, always: str) -> DataFrame:
+    """names with what rows (unique by key) say of their key; a key that rows lack is an error when it runs. always: a column of rows that is never null there."""
+    met = names.join(rows.withColumn("_there", F.lit(True)), key, "left")
+    checked = F.when(F.col("_there"), F.col(always)).otherwise(F.raise_error(F.concat(F.lit(f"no row has {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[always].dataType))
+    return met.withColumn(always, checked).drop("_there")
+
+
 def agreeing(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Inner join on key; a value that differs between the sides is an error when it runs."""
     joined = a.join(b.withColumnRenamed(value, "_value"), key)

@@ -7,6 +7,7 @@ are dealt to a grid of blocks, so memory per task stays the same at every size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,8 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.sources.tables import kept
+
 #: Vectors of one side in a block.
 BLOCK = 4096
+#: Pivots at most, a bounded sample; and how much an angle may be off by rounding.
+PIVOTS, SLACK = 256, 1e-6
+#: Repeated vectors up to so many bytes are sent to all tasks; more are joined by a shuffle, in SALTS parts.
+FEW_BYTES, SALTS = 16 << 20, 16
+#: Rounds of decisions that are planned together.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -51,9 +60,9 @@ def _blocks(vectors: DataFrame, n: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
 
-def _paired(queries: DataFrame, references: DataFrame, best, schema: str) -> DataFrame:
-    """best(query frame, reference frame) for each pair of blocks."""
-    q, r = (max(1, -(-df.count() // BLOCK)) for df in (queries, references))
+def _paired(queries: DataFrame, references: DataFrame, best, schema: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """best(query frame, reference frame) for each pair of blocks; sizes are the numbers of both sides, counted where they aren't given."""
+    q, r = (max(1, -(-n // BLOCK)) for n in sizes or (queries.count(), references.count()))
     left = queries.select("id", "ord", "vec", _blocks(queries, q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("rb"), F.lit(True).alias("query"))
     right = references.select("id", "ord", "vec", F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("qb"), _blocks(references, r).alias("rb"), F.lit(False).alias("query"))
 
@@ -67,8 +76,8 @@ def _paired(queries: DataFrame, references: DataFrame, best, schema: str) -> Dat
     return left.unionByName(right).groupBy("qb", "rb").applyInPandas(run, schema)
 
 
-def nearest(queries: DataFrame, references: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """(id, similarity, nearest_id) for each query; both sides have id, ord and vec (unit length). Ties go to the least ord; no reference gives -1."""
+def nearest(queries: DataFrame, references: DataFrame, exclude_self: bool = False, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """(id, similarity, nearest_id) for each query; both sides have id, ord and vec (unit length). Ties go to the least ord; no reference gives -1. sizes: see _paired()."""
     schema = "id long, similarity double, nearest_id long, nearest_ord long"
 
     def best(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
@@ -81,19 +90,78 @@ def nearest(queries: DataFrame, references: DataFrame, exclude_self: bool = Fals
         out = pd.DataFrame({"id": a["id"].to_numpy(), "similarity": s[np.arange(len(a)), at], "nearest_id": b["id"].to_numpy()[order][at], "nearest_ord": b["ord"].to_numpy()[order][at]})
         return out[out["similarity"] > -2.0]
 
-    found = _paired(queries, references, best, schema).groupBy("id").agg(F.max(F.struct("similarity", (-F.col("nearest_ord")).alias("o"), "nearest_id")).alias("m"))
+    found = _paired(queries, references, best, schema, sizes).groupBy("id").agg(F.max(F.struct("similarity", (-F.col("nearest_ord")).alias("o"), "nearest_id")).alias("m"))
     return queries.select("id").join(found, "id", "left").select("id", F.coalesce("m.similarity", F.lit(-1.0)).alias("similarity"), F.col("m.nearest_id").alias("nearest_id"))
 
 
-def links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(early, late, similarity) of the pairs at or above the threshold; early comes first by ord."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        s = np.round(s, 9)
-        x, y = np.nonzero((s >= threshold) & (a["ord"].to_numpy()[:, None] > b["ord"].to_numpy()[None, :]))
-        return pd.DataFrame({"early": b["id"].to_numpy()[y], "late": a["id"].to_numpy()[x], "similarity": s[x, y]})
+def links(vectors: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
+    """(early, late, similarity) of the pairs at or above the threshold; early comes first by ord.
 
-    return _paired(vectors, vectors, best, "early long, late long, similarity double")
+    Rows are dealt to their nearest pivot, and each pivot's rows to blocks. Two pivots' blocks meet only if their angle, less
+    both radii, leaves room for the threshold, so what is far apart is never compared; each pair of blocks meets once.
+    The pivots are a bounded sample and decide only who meets: no pair at the threshold is lost.
+    """
+    n = vectors.count() if size is None else size
+    pivots = vectors.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // BLOCK))).select("vec").collect()
+    if not pivots:
+        return vectors.select(F.col("id").alias("early"), F.col("id").alias("late"), F.lit(0.0).alias("similarity")).where("false")
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array([p.vec for p in pivots]))
+
+    def nearest_pivot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                dots = np.stack(frame["vec"].to_numpy()) @ sent.value.T
+                yield frame.assign(pivot=dots.argmax(1).astype("int32"), angle=np.arccos(np.clip(dots.max(1), -1, 1)))
+
+    dealt = vectors.select("id", "ord", "vec").mapInPandas(nearest_pivot, "id long, ord long, vec array<double>, pivot int, angle double")
+    stats = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    return _pruned(dealt, stats, sent.value, threshold)
+
+
+def _pruned(dealt: DataFrame, stats: dict[int, tuple[int, float]], pivots: np.ndarray, threshold: float) -> DataFrame:
+    """links() of rows with their pivot; stats: rows and radius of each pivot."""
+    spark, reach = dealt.sparkSession, math.acos(min(1.0, max(-1.0, threshold))) + SLACK
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    blocks = {p: -(-n // BLOCK) for p, (n, _) in stats.items()}
+    near = [(int(a), int(b), blocks[a], blocks[b]) for a in stats for b in stats if a <= b and angles[a, b] - stats[a][1] - stats[b][1] <= reach]
+    tasks = spark.createDataFrame(near, "a int, b int, na int, nb int")
+    tasks = tasks.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "nb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).where("a < b OR i <= j")
+    counts = spark.createDataFrame(list(blocks.items()), "pivot int, blocks int")
+    placed = dealt.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks", "angle")
+    # A block is sent to the tasks it takes part in, once to each: on the left, or on the right of another.
+    left = placed.join(tasks, (F.col("pivot") == F.col("a")) & (F.col("block") == F.col("i"))).withColumn("side", F.lit(0))
+    right = placed.join(tasks.where("a < b OR i < j"), (F.col("pivot") == F.col("b")) & (F.col("block") == F.col("j"))).withColumn("side", F.lit(1))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        one, other = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        other = other if len(other) else one
+        if not len(one):
+            return pd.DataFrame(columns=["early", "late", "similarity"])
+        s = np.round(np.stack(one["vec"].to_numpy()) @ np.stack(other["vec"].to_numpy()).T, 9)
+        a, b = one["ord"].to_numpy()[:, None], other["ord"].to_numpy()[None, :]
+        x, y = np.nonzero((s >= threshold) & ((a < b) if other is one else (a != b)))
+        first = one["ord"].to_numpy()[x] < other["ord"].to_numpy()[y]
+        p, q = one["id"].to_numpy()[x], other["id"].to_numpy()[y]
+        return pd.DataFrame({"early": np.where(first, p, q), "late": np.where(first, q, p), "similarity": s[x, y]})
+
+    both = left.unionByName(right).select("a", "b", "i", "j", "side", "id", "ord", "vec")
+    return both.groupBy("a", "b", "i", "j").applyInPandas(meet, "early long, late long, similarity double")
+
+
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, ord, vec) of the first row of each set of equal vectors, and (id, ord, first) of all rows: whose set they are in."""
+    sets = vectors.groupBy("vec").agg(F.min(F.struct("ord", "id")).alias("m"), F.count("*").alias("n"))
+    firsts = sets.select("m.id", "m.ord", "vec", "n")
+    repeated = kept(firsts.where("n > 1").select(F.col("id").alias("first"), "vec"))
+    bytes_ = repeated.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("n")).first().n * 8
+    if not bytes_:
+        return vectors.select("id", "ord", "vec"), vectors.select("id", "ord", F.col("id").alias("first"))
+    if bytes_ <= FEW_BYTES:
+        met = vectors.join(F.broadcast(repeated), "vec", "left")
+    else:  # a vector that very many rows have is in many parts
+        parts = repeated.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(parts, ["vec", "part"], "left")
+    return firsts.drop("n"), met.select("id", "ord", F.coalesce("first", "id").alias("first"))
 
 
 def decisions(candidates: DataFrame, seeds: DataFrame, evaluation: DataFrame, limits: Thresholds, keep) -> DataFrame:
@@ -105,24 +173,26 @@ def decisions(candidates: DataFrame, seeds: DataFrame, evaluation: DataFrame, li
     order would decide; the number of rounds is the longest chain of near duplicates that hangs
     together, and each round is a join over links only.
 
+    Of equal vectors only the first can pass, and all have the same neighbours, so only firsts are compared: however often a
+    vector is repeated, its rows only look up what is known of it.
+
     keep(df, name) writes a table where executors can read it again, and returns it.
     """
-    near_seed = nearest(candidates, seeds).select("id", F.col("similarity").alias("max_seed"))
-    near_eval = nearest(candidates, evaluation).select("id", F.col("similarity").alias("max_eval"), F.col("nearest_id").alias("nearest_eval_id"))
-    scored = keep(candidates.select("id", "ord").join(near_seed, "id").join(near_eval, "id"), "scored")
+    firsts, members = classes(candidates)
+    firsts, members = keep(firsts, "firsts"), keep(members, "members")
+    n, ns, ne = (df.count() for df in (firsts, seeds, evaluation))
+    near_seed = nearest(firsts, seeds, sizes=(n, ns)).select("id", F.col("similarity").alias("max_seed"))
+    near_eval = nearest(firsts, evaluation, sizes=(n, ne)).select("id", F.col("similarity").alias("max_eval"), F.col("nearest_id").alias("nearest_eval_id"))
+    scored = keep(firsts.select("id", "ord").join(near_seed, "id").join(near_eval, "id"), "scored")
     good = (F.col("max_seed") < limits.too_close) & (F.col("max_seed") > limits.outlier) & (F.col("max_eval") < limits.contamination)
-    near = keep(links(candidates, limits.duplicate), "near")
     eligible = scored.where(good).select("id")
-    edges = keep(near.join(eligible.select(F.col("id").alias("early")), "early").join(eligible.select(F.col("id").alias("late")), "late").select("early", "late"), "edges")
-    state = keep(eligible.withColumn("state", F.lit(None).cast("boolean")), "state")
-    while state.where("state IS NULL").limit(1).count():
-        before = edges.join(state.select(F.col("id").alias("early"), F.col("state").alias("early_state")), "early")
-        seen = before.groupBy(F.col("late").alias("id")).agg(F.bool_or("early_state").alias("hit"), F.count_if(F.col("early_state").isNull()).alias("open"))
-        settled = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = keep(state.join(seen, "id", "left").select("id", settled.alias("state")), "state")
-    accepted = state.where("state").select(F.col("id").alias("early"))
-    prior = _best_prior(candidates, accepted)
-    out = scored.join(prior, "id", "left").withColumn("max_prior", F.coalesce("max_prior", F.lit(-1.0)))
+    near = links(firsts.join(eligible, "id", "left_semi"), limits.duplicate, n)
+    edges = keep(near.select("early", "late"), "edges")
+    accepted = _accepted(eligible, edges, keep)
+    steps = _prior_steps(firsts, firsts.join(accepted, "id", "left_semi"), n)
+    known = scored.join(steps, "id", "left").withColumnRenamed("id", "first").drop("ord")
+    before = F.filter("steps", lambda s: s["ord"] < F.col("ord"))
+    out = members.join(known, "first").withColumn("max_prior", F.coalesce(F.array_max(F.transform(before, lambda s: s["similarity"])), F.lit(-1.0)))
     reason = (
         F.when(F.col("max_prior") >= limits.duplicate, "F5_DUP_SYNTHETIC")
         .when(F.col("max_seed") >= limits.too_close, "F5_DUP_SEED")
@@ -132,16 +202,33 @@ def decisions(candidates: DataFrame, seeds: DataFrame, evaluation: DataFrame, li
     return out.select("id", "max_prior", "max_seed", "max_eval", "nearest_eval_id", reason.alias("reject_reason")).withColumn("passed", F.col("reject_reason").isNull())
 
 
-def _best_prior(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The largest similarity of each row with an accepted row before it."""
-    rows = candidates.join(accepted.withColumnRenamed("early", "id"), "id", "left_semi")
+def _accepted(eligible: DataFrame, edges: DataFrame, keep) -> DataFrame:
+    """(id) of the rows that a pass in order takes: those none of whose earlier neighbours was taken. ROUNDS rounds are planned before one is written."""
+    state = eligible.withColumn("state", F.lit(None).cast("boolean"))
+    while True:
+        for _ in range(ROUNDS):
+            before = edges.join(state.select(F.col("id").alias("early"), F.col("state").alias("early_state")), "early")
+            seen = before.groupBy(F.col("late").alias("id")).agg(F.bool_or("early_state").alias("hit"), F.count_if(F.col("early_state").isNull()).alias("open"))
+            settled = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+            state = state.join(seen, "id", "left").select("id", settled.alias("state"))
+        state = keep(state, "state")
+        if not state.where("state IS NULL").limit(1).count():
+            return state.where("state").select("id")
+
+
+def _prior_steps(firsts: DataFrame, accepted: DataFrame, n: int) -> DataFrame:
+    """(id, steps) of each vector: the accepted rows (ord, similarity) that are nearer than all accepted before them in their block. What is
+    nearest before any place is the best of the steps before it."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        s = np.where(b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[:, None], np.round(s, 9), -2.0)
-        out = pd.DataFrame({"id": a["id"].to_numpy(), "max_prior": s.max(1)})
-        return out[out["max_prior"] > -2.0]
+        order = np.argsort(b["ord"].to_numpy(), kind="stable")
+        s = np.round(s[:, order], 9)
+        top = np.maximum.accumulate(s, axis=1)
+        x, y = np.nonzero(np.concatenate([np.ones((len(a), 1), dtype=bool), top[:, 1:] > top[:, :-1]], axis=1))
+        return pd.DataFrame({"id": a["id"].to_numpy()[x], "ord": b["ord"].to_numpy()[order][y], "similarity": s[x, y]})
 
-    return _paired(candidates, rows, best, "id long, max_prior double").groupBy("id").agg(F.max("max_prior").alias("max_prior"))
+    found = _paired(firsts, accepted, best, "id long, ord long, similarity double", (n, n))
+    return found.groupBy("id").agg(F.collect_list(F.struct("ord", "similarity")).alias("steps"))
 
 
 def exclusions(decided: DataFrame, split: Column) -> DataFrame:

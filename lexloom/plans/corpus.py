@@ -135,10 +135,15 @@ def normalized_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated texts made from parts, some without a bracket's end, without a value, or with a value more."""
     part = table(spark, d, "part")
-    text = F.concat(F.lit("[brand : "), "p_brand", F.lit("] size [size : "), F.col("p_size").cast("string"), F.lit("] "), "p_name")
+    brand = F.concat(F.lit("[brand : "), F.when(F.col("p_size") == 13, " ").otherwise(F.col("p_brand")), F.lit("]"))
+    size = F.concat(F.lit("[size:"), F.col("p_size").cast("string"), F.when(F.col("p_name").startswith("old"), "").otherwise("]"))
+    more = F.when(F.col("p_type") == "LARGE", F.concat(F.lit(" [ name :  "), "p_name", F.lit(" ]"))).otherwise("")
+    text = F.concat(brand, F.lit(" of "), size, more, F.lit(" "), F.col("p_type"))
     parsed = part.select("p_partkey", annotated(text).alias("a"))
-    return parsed.select("p_partkey", "a.utterance", F.size("a.slots").cast("long").alias("n_slots"), F.col("a.slots")[0]["value"].alias("brand"), F.col("a.slots")[1]["value"].alias("size"), F.col("a.error").isNull().alias("ok"))
+    slots = F.array_join(F.transform("a.slots", lambda s: F.concat_ws("=", s["type"], s["value"])), ";")
+    return parsed.select("p_partkey", "a.utterance", slots.alias("slots"), F.coalesce("a.error", F.lit("none")).alias("error"))
 
 
 def stratified_hash_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -178,16 +183,18 @@ def orders_contiguity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strict_json_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """What a strict parser makes of responses built from events, some of them damaged."""
+    """What a strict parser makes of responses built from events, damaged where their values say so."""
     events = table(spark, d, "events")
     good = F.concat(F.lit('{"intent": "'), "event_type", F.lit('", "slots": [{"type": "k", "value": "'), F.get_json_object("props", "$.k"), F.lit('"}]}'))
-    k = F.col("event_id") % 6
+    v = F.col("value")
     raw = (
-        F.when(k == 1, F.concat(good, F.lit(" thanks")))
-        .when(k == 2, F.concat(F.lit("```json"), good, F.lit("```")))
-        .when(k == 3, F.replace(good, F.lit('"slots"'), F.lit('"extra": 1, "slots"')))
-        .when(k == 4, F.replace(good, F.lit('"type": "k"'), F.lit('"type": "z"')))
-        .when(k == 5, F.replace(good, F.lit('{"intent": "'), F.lit('{"intent": "no_')))
+        F.when(v < 1, F.concat(good, F.lit(" thanks")))
+        .when(v < 2, F.concat(F.lit("```json"), good, F.lit("```")))
+        .when(v < 3, F.replace(good, F.lit('"slots"'), F.lit('"extra": 1, "slots"')))
+        .when(v < 4, F.replace(good, F.lit('"type": "k"'), F.lit('"type": "z"')))
+        .when(v < 5, F.replace(good, F.lit('{"intent": "'), F.lit('{"intent": "no_')))
+        .when(v < 6, F.replace(good, F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("5")))
+        .when(v < 7, F.concat(F.lit("["), good, F.lit("]")))
         .otherwise(F.concat(F.lit("  "), good, F.lit("\n")))
     )
     kinds = [r.event_type for r in events.select("event_type").distinct().collect()]  # the catalogue of labels
@@ -249,7 +256,20 @@ SQL = {
     "benchmark_contamination": BENCHMARK_CONTAMINATION,
     "script_shares": r"SELECT doc_id, round(coalesce(len(regexp_extract_all(text, '\p{Latin}'))::DOUBLE / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0), 9) AS latin, round(coalesce(len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]'))::DOUBLE / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0), 9) AS han FROM documents",
     "normalized_lengths": r"SELECT lang, CAST(sum(length(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', '', 'g'))) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY lang",
-    "annotation_parse": "SELECT p_partkey, p_brand || ' size ' || p_size || ' ' || p_name AS utterance, 2::BIGINT AS n_slots, p_brand AS brand, p_size::VARCHAR AS size, true AS ok FROM part",
+    "annotation_parse": r"""
+WITH t AS (
+  SELECT p_partkey, '[brand : ' || CASE WHEN p_size = 13 THEN ' ' ELSE p_brand END || '] of [size:' || p_size || CASE WHEN starts_with(p_name, 'old') THEN '' ELSE ']' END ||
+    CASE WHEN p_type = 'LARGE' THEN ' [ name :  ' || p_name || ' ]' ELSE '' END || ' ' || p_type AS text
+  FROM part
+), a AS (
+  SELECT *, regexp_replace(text, '\[\s*([^\[\]:]+?)\s*:\s*(.*?)\s*\]', '\2', 'g') AS utterance,
+    list_transform(regexp_extract_all(text, '\[\s*[^\[\]:]+?\s*:\s*.*?\s*\]'), lambda x: [trim(string_split(x[2:-2], ':')[1]), trim(array_to_string(string_split(x[2:-2], ':')[2:], ':'))]) AS found
+  FROM t
+)
+SELECT p_partkey, utterance, array_to_string(list_transform(found, lambda x: x[1] || '=' || x[2]), ';') AS slots,
+  CASE WHEN len(list_filter(found, lambda x: x[2] = '')) > 0 THEN 'empty slot' WHEN regexp_matches(utterance, '[\[\]]') THEN 'unread bracket' ELSE 'none' END AS error
+FROM a
+""",
     "stratified_hash_sample": "SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS rank FROM documents) WHERE rank <= 20",
     "hash_sample": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY sha256('42:sample:' || c_custkey), c_custkey LIMIT 100",
     "equal_size_groups": "WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42:equal:' || c_custkey), c_custkey) AS k FROM customer), m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM r, m WHERE k <= least GROUP BY c_mktsegment",
@@ -273,7 +293,12 @@ SELECT * FROM (
 """,
     "orders_contiguity": "SELECT count(*) AS n, coalesce(min(o_orderkey) = 1 AND max(o_orderkey) = count(*) AND count(DISTINCT o_orderkey) = count(*), true) AS contiguous FROM orders",
     "strict_json_outcomes": """
-WITH e AS (SELECT CASE event_id % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'json_decode_error' WHEN 2 THEN 'json_decode_error' WHEN 3 THEN 'schema_validation_error' WHEN 4 THEN 'unknown_slot_type' ELSE 'unknown_intent' END AS outcome FROM events)
+WITH g AS (SELECT event_type, value AS v, '{"intent": "' || event_type || '", "slots": [{"type": "k", "value": "' || (props->>'$.k') || '"}]}' AS good FROM events),
+r AS (SELECT CASE WHEN v < 1 THEN good || ' thanks' WHEN v < 2 THEN '```json' || good || '```' WHEN v < 3 THEN replace(good, '"slots"', '"extra": 1, "slots"') WHEN v < 4 THEN replace(good, '"type": "k"', '"type": "z"')
+  WHEN v < 5 THEN replace(good, '{"intent": "', '{"intent": "no_') WHEN v < 6 THEN replace(good, '"' || event_type || '"', '5') WHEN v < 7 THEN '[' || good || ']' ELSE '  ' || good || chr(10) END AS raw FROM g),
+j AS (SELECT CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r),
+e AS (SELECT CASE WHEN j IS NULL THEN 'json_decode_error' WHEN json_type(j) <> 'OBJECT' OR list_sort(json_keys(j)) <> ['intent', 'slots'] OR json_type(j, '$.intent') <> 'VARCHAR' OR json_type(j, '$.slots') <> 'ARRAY' THEN 'schema_validation_error'
+  WHEN j->>'$.intent' NOT IN (SELECT event_type FROM events) THEN 'unknown_intent' WHEN j->>'$.slots[0].type' <> 'k' THEN 'unknown_slot_type' ELSE 'valid' END AS outcome FROM j)
 SELECT o.outcome, count(e.outcome) AS n FROM (VALUES ('valid'), ('json_decode_error'), ('unknown_intent'), ('unknown_slot_type'), ('schema_validation_error')) AS o(outcome) LEFT JOIN e USING (outcome) GROUP BY o.outcome
 """,
     "record_funnel": """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.intervals import Z_SIZING, gap_closed, holm, mcnemar_p, t_interval, wilson
 from lexloom.operators import augmentation, bootstrap, planning, scoring, similarity
-from lexloom.operators.ranks import ranked_within
+from lexloom.operators.ranks import ranked, ranked_within
 from lexloom.sources.tables import kept, table
 
 #: Stand-in limits for the embeddings at hand, off any ties.
@@ -85,8 +85,10 @@ def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confusion_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The labels that the hardest label is taken for, at most six a model and seed."""
-    rows = _predictions(spark, d).where("expected = 3")
+    """The labels that the hardest label (least accuracy over all answers, ties by label) is taken for, at most six a model and seed."""
+    answers = _predictions(spark, d)
+    hardest = scoring.accuracy(answers, "expected").orderBy("accuracy", "expected").limit(1).select(F.col("expected").alias("hardest"))
+    rows = answers.join(F.broadcast(hardest), F.col("expected") == F.col("hardest"))
     flow = rows.groupBy("grp", "seed", F.coalesce(F.col("predicted").cast("string"), F.lit("<unparseable>")).alias("predicted")).agg(F.count("*").alias("n"), F.min("id").alias("first_seen"))
     w = Window.partitionBy("grp", "seed").orderBy(F.col("n").desc(), "first_seen")
     return flow.select("grp", "seed", "predicted", "n", F.row_number().over(w).cast("long").alias("place")).where("place <= 6")
@@ -187,7 +189,8 @@ def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return planning.allocation(spark, 11_263)
+    """As many requests as there are orders, by recipe."""
+    return planning.allocation(spark, table(spark, d, "orders").count())
 
 
 def slot_substitution_first_match(spark: SparkSession, d: str) -> DataFrame:
@@ -199,19 +202,21 @@ def slot_substitution_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cycled_plan(spark: SparkSession, d: str) -> DataFrame:
-    pool = table(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("pos"), "s_name")
-    return planning.cycled(pool, 250, 311).select("idx", "s_name", "style")
+    pool = ranked(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", name="pos", start=0).drop("s_suppkey")
+    return planning.cycled(pool, table(spark, d, "customer").count(), 311).select("idx", "s_name", "style")
 
 
 def resume_missing(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey")
-    return planning.missing_indices(spark, 20_000, orders, "o_orderkey")
+    """Of the places up to the last order's, those without a finished order."""
+    orders = table(spark, d, "orders")
+    n = orders.agg(F.coalesce(F.max("o_orderkey") + 1, F.lit(0)).alias("n")).first().n
+    return planning.missing_indices(spark, n, orders.where("o_orderstatus <> 'F'").select("o_orderkey"), "o_orderkey")
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
+    part = ranked(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", name="pos", start=0)
     text = F.concat(F.lit("請幫我查詢"), "p_brand", F.lit("的價格，今天要在開店時知道"))
-    return part.select((F.col("p_partkey") - 1).alias("pos"), F.col("p_partkey").cast("string").alias("id"), text.alias("utt"), F.lit("find").alias("intent"), F.array(F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value"))).alias("slots"))
+    return part.select("pos", F.col("p_partkey").cast("string").alias("id"), text.alias("utt"), F.lit("find").alias("intent"), F.array(F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value"))).alias("slots"))
 
 
 def augmented_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +273,7 @@ m AS (SELECT grp, seed, avg(coalesce(2.0 * t / nullif(e + p, 0), 0)) AS macro_f1
 SELECT r.grp, r.seed, count(*) AS n, round(avg((predicted IS NOT NULL)::INT::DOUBLE), 9) AS valid_rate, round(avg(coalesce(expected = predicted, false)::INT::DOUBLE), 9) AS accuracy, round(any_value(macro_f1), 9) AS macro_f1 FROM r JOIN m ON m.grp = r.grp AND m.seed = r.seed GROUP BY r.grp, r.seed
 """,
     "label_accuracy": _PREDICTIONS + "SELECT grp, expected, count(*) AS n, round(avg(coalesce(expected = predicted, false)::INT::DOUBLE), 9) AS accuracy FROM r GROUP BY grp, expected",
-    "confusion_topk": _PREDICTIONS + "SELECT grp, seed, predicted, n, place FROM (SELECT *, row_number() OVER (PARTITION BY grp, seed ORDER BY n DESC, first_seen) AS place FROM (SELECT grp, seed, coalesce(predicted::VARCHAR, '<unparseable>') AS predicted, count(*) AS n, min(id) AS first_seen FROM r WHERE expected = 3 GROUP BY ALL)) WHERE place <= 6",
+    "confusion_topk": _PREDICTIONS + "SELECT grp, seed, predicted, n, place FROM (SELECT *, row_number() OVER (PARTITION BY grp, seed ORDER BY n DESC, first_seen) AS place FROM (SELECT grp, seed, coalesce(predicted::VARCHAR, '<unparseable>') AS predicted, count(*) AS n, min(id) AS first_seen FROM r WHERE expected = (SELECT expected FROM r GROUP BY expected ORDER BY avg(coalesce(expected = predicted, false)::INT::DOUBLE), expected LIMIT 1) GROUP BY ALL)) WHERE place <= 6",
     "per_label_spread": _PREDICTIONS + ", a AS (SELECT grp, seed, expected, avg(coalesce(expected = predicted, false)::INT::DOUBLE) AS acc FROM r GROUP BY ALL), x AS (SELECT seed, expected, 100 * (max(acc) FILTER (grp = 'full') - max(acc) FILTER (grp = 'base')) AS delta FROM a GROUP BY ALL) SELECT expected, count(*) AS seeds, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(max(delta) - min(delta), 6) AS range FROM x GROUP BY expected",
     "kind_rollup": _PREDICTIONS + ", k AS (SELECT *, ['colloquial', 'lexical', 'asr_noise'][id % 3 + 1] AS kind FROM r) SELECT grp, coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(coalesce(expected = predicted, false)::INT::DOUBLE), 9) AS accuracy FROM k GROUP BY GROUPING SETS ((grp, kind), (grp))",
     "replicate_t_interval": _PREDICTIONS + ", a AS (SELECT grp, seed, avg(coalesce(expected = predicted, false)::INT::DOUBLE) AS acc FROM r GROUP BY ALL) SELECT grp, count(*) AS seeds, round(avg(acc), 9) AS mean, round(stddev_samp(acc), 9) AS sd, round(avg(acc) - 4.302652729696142 * stddev_samp(acc) / sqrt(3), 9) AS low, round(avg(acc) + 4.302652729696142 * stddev_samp(acc) / sqrt(3), 9) AS high FROM a GROUP BY grp",
@@ -281,8 +286,8 @@ SELECT r.grp, r.seed, count(*) AS n, round(avg((predicted IS NOT NULL)::INT::DOU
     "label_movement": _PREDICTIONS + f", {_ACC}, x AS (SELECT expected, round(full_ - base, 9) AS delta FROM w), y AS (SELECT *, row_number() OVER (ORDER BY delta DESC, expected) AS up, row_number() OVER (ORDER BY delta, expected DESC) AS down FROM x) SELECT expected, delta, up <= 3 AS gains FROM y WHERE up <= 3 OR down <= 3",
     "slot_micro_f1": "WITH e AS (SELECT p_brand, p_partkey, unnest(string_split(lower(p_type), ' ')) AS word FROM part), g AS (SELECT p_brand, p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), b AS (SELECT *, 1 AS x FROM e UNION ALL SELECT *, 0 FROM g), c AS (SELECT p_brand, p_partkey, word, sum(x) AS e, sum(1 - x) AS p FROM b GROUP BY ALL), t AS (SELECT p_brand, CAST(sum(least(e, p)) AS BIGINT) AS tp, CAST(sum(greatest(p - e, 0)) AS BIGINT) AS fp, CAST(sum(greatest(e - p, 0)) AS BIGINT) AS fn FROM c GROUP BY p_brand) SELECT p_brand, tp, fp, fn, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 1), 9) AS f1 FROM t",
     "token_percentiles": "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.95::DOUBLE), 6) AS p95, max(n_chars) FILTER (i = round_even(0.95 * (n - 1), 0)) AS near95, max(n_chars) FILTER (i = round_even(0.5 * (n - 1), 0)) AS near50, max(n_chars) AS longest, count(*) FILTER (n_chars = (SELECT max(m.n_chars) FROM documents m WHERE m.lang = r.lang)) AS at_longest FROM r GROUP BY lang",
-    "plan_allocation": "WITH s AS (SELECT recipe, 11263 * w::DOUBLE AS exact FROM (VALUES ('paraphrase', 0.35), ('slot_substitution', 0.30), ('noise_codeswitch', 0.20), ('hard_negative', 0.15)) AS t(recipe, w)), r AS (SELECT recipe, floor(exact)::BIGINT AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, recipe DESC) AS k FROM s) SELECT recipe, base + (k <= 11263 - (SELECT sum(base) FROM r))::BIGINT AS n FROM r",
+    "plan_allocation": "WITH s AS (SELECT recipe, (SELECT count(*) FROM orders) * w::DOUBLE AS exact FROM (VALUES ('paraphrase', 0.35), ('slot_substitution', 0.30), ('noise_codeswitch', 0.20), ('hard_negative', 0.15)) AS t(recipe, w)), r AS (SELECT recipe, floor(exact)::BIGINT AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, recipe DESC) AS k FROM s) SELECT recipe, base + (k <= (SELECT count(*) FROM orders) - (SELECT sum(base) FROM r))::BIGINT AS n FROM r",
     "slot_substitution_first_match": "WITH p AS (SELECT p_partkey AS row_id, p_name || ' ' || p_brand || ' ' || p_size AS text, p_brand, p_size::VARCHAR AS sz FROM part), s AS (SELECT row_id, text, 0 AS slot_pos, 'size' AS type, sz AS value FROM p UNION ALL SELECT row_id, text, 1, 'brand', p_brand FROM p), b AS (SELECT type, value AS replacement, min((row_id, slot_pos)) AS first_at FROM s GROUP BY ALL), m AS (SELECT s.*, b.replacement, row_number() OVER (PARTITION BY row_id ORDER BY slot_pos, first_at) AS k FROM s JOIN b USING (type) WHERE contains(text, value) AND replacement <> value AND NOT contains(text, replacement)) SELECT row_id, slot_pos, type, value, replacement FROM m WHERE k = 1",
-    "cycled_plan": "SELECT idx, s_name, CASE WHEN idx % 2 = 0 THEN 'massive_like' ELSE 'tw_colloquial' END AS style FROM range(250) t(idx) JOIN supplier ON s_suppkey - 1 = (idx + 311) % (SELECT count(*) FROM supplier)",
-    "resume_missing": "SELECT i AS o_orderkey FROM range(20000) t(i) WHERE i NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')",
+    "cycled_plan": "SELECT idx, s_name, CASE WHEN idx % 2 = 0 THEN 'massive_like' ELSE 'tw_colloquial' END AS style FROM range((SELECT count(*) FROM customer)) t(idx) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier) ON pos = (idx + 311) % (SELECT count(*) FROM supplier)",
+    "resume_missing": "SELECT i AS o_orderkey FROM range((SELECT max(o_orderkey) + 1 FROM orders)) t(i) WHERE i NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')",
 }

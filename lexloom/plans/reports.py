@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.hashing import content_id, rank_hash
 from lexloom.functions.text import compact_json
 from lexloom.operators import checks, reports, scoring, similarity
+from lexloom.operators.ranks import ranked
 from lexloom.plans.models import _vectors
 from lexloom.sources.tables import table
 
@@ -84,14 +85,14 @@ def stratum_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_match_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Label and slots (as a multiset) must be right: words of a part's type against those of its name and brand."""
+    """Label and slots (as a multiset) must be right: answers that give sizes up to 40 only, the type of small parts by their name, and nothing for the cheapest."""
     part = table(spark, d, "part")
     pair = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.lower(c).alias("value"))
     expected = F.array(pair("brand", F.col("p_brand")), pair("size", F.col("p_size").cast("string")))
-    other = F.when(F.col("p_partkey") % 6 == 0, "0").otherwise(F.col("p_size").cast("string"))
-    predicted = F.when(F.col("p_partkey") % 11 != 0, F.array(pair("size", other), pair("brand", F.upper("p_brand"))))
-    label = F.when(F.col("p_partkey") % 4 == 0, "find").otherwise(F.lower(F.element_at(F.split("p_brand", "#"), 1)))
-    rows = part.select("p_brand", (label != "find").alias("right"), F.coalesce(scoring.same_slots(expected, predicted), F.lit(False)).alias("slots"), predicted.isNotNull().alias("valid"))
+    predicted = F.when(F.col("p_retailprice") > 910, F.array(pair("size", F.least("p_size", F.lit(40)).cast("string")), pair("brand", F.upper("p_brand"))))
+    label = F.when(F.col("p_name").startswith("small"), "SMALL").otherwise(F.col("p_type"))
+    right = F.coalesce((label == F.col("p_type")) & predicted.isNotNull(), F.lit(False))
+    rows = part.select("p_brand", right.alias("right"), F.coalesce(scoring.same_slots(expected, predicted), F.lit(False)).alias("slots"), predicted.isNotNull().alias("valid"))
     exact = (F.col("right") & F.col("slots")).cast("double")
     return rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg(F.col("valid").cast("double")), 9).alias("valid_rate"), F.round(F.avg(F.col("right").cast("double")), 9).alias("accuracy"), F.round(F.avg(exact), 9).alias("exact_match"))
 
@@ -99,11 +100,11 @@ def exact_match_rate(spark: SparkSession, d: str) -> DataFrame:
 def structural_counters(spark: SparkSession, d: str) -> DataFrame:
     """How far responses get: JSON at all, an object, a label that is text, a list of slots, slots that are objects."""
     events = table(spark, d, "events")
-    k = F.col("event_id") % 6
-    raw = (
-        F.when(k == 0, '{"intent": "a", "slots": [{"type": "k", "value": "v"}]}').when(k == 1, "[1, 2]").when(k == 2, '{"intent": 5, "slots": []}')
-        .when(k == 3, '{"intent": "a", "slots": "none"}').when(k == 4, '{"intent": "a", "slots": [1]}').otherwise("not json {")
-    )
+    v = F.col("value")
+    label = F.when(v < 2, "5").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    slots = F.when(v < 4, '"none"').when(F.col("event_type") == "view", "[1]").when(v < 6, "[]").otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    whole = F.concat(F.lit('{"intent": '), label, F.lit(', "slots": '), slots, F.lit("}"))
+    raw = F.when(v > 30, F.concat(F.lit("so: "), whole)).when(v > 25, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
     return scoring.structure(events.select(raw.alias("raw")), "raw")
 
 
@@ -122,17 +123,18 @@ def metric_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positional_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Answers and expectations kept apart, together again by place."""
-    rows = _answers(spark, d)
-    both = reports.positional(rows.select("id", "expected"), rows.select("id", "predicted"), "id")
-    return both.agg(F.count("*").alias("n"), F.round(F.avg(_hit()), 9).alias("accuracy"))
+    """Orders by price beside orders by day, place by place: how often their status is the same."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    sides = {"o_totalprice": "expected", "o_orderdate": "predicted"}
+    a, b = (ranked(orders, order, "o_orderkey", name="place").select("place", F.col("o_orderstatus").alias(name)) for order, name in sides.items())
+    return reports.positional(a, b, "place").agg(F.count("*").alias("n"), F.round(F.avg(_hit()), 9).alias("accuracy"))
 
 
 def plan_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Line items with their order's status; the keys of both must agree."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    again = orders.select("o_orderkey", "o_custkey")
-    return reports.agreeing(orders, again, ["o_orderkey"], "o_custkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
+    """Lengths that documents are listed with, and those of their texts; both must agree."""
+    docs = table(spark, d, "documents")
+    listed, counted = docs.select("doc_id", "lang", F.col("n_chars").cast("long").alias("n")), docs.select("doc_id", F.length("text").cast("long").alias("n"))
+    return reports.agreeing(listed, counted, ["doc_id"], "n").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
 
 
 def fingerprint_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -178,11 +180,14 @@ def elapsed_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Per seed: rows, whether ids are unique, and a digest of the labels' counts that doesn't depend on order."""
-    rows = _answers(spark, d)
-    counts = rows.groupBy("seed", "expected").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
-    entry = F.concat_ws("=", "expected", F.col("n").cast("string"))
-    return counts.groupBy("seed").agg(F.sum("n").alias("n"), (F.sum("n") == F.sum("ids")).alias("unique_ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ";"), 256).alias("digest"))
+    """Per month of shipping: line items, whether order and line name one, a digest of the flags' counts, and whether all months have the same."""
+    rows = table(spark, d, "lineitem").select(F.month("l_shipdate").alias("seed"), "l_returnflag", "l_orderkey", "l_linenumber")
+    keys = rows.groupBy("seed", "l_orderkey", "l_linenumber").agg(F.count("*").alias("k")).groupBy("seed").agg((F.max("k") == 1).alias("unique_ids"))
+    counts = rows.groupBy("seed", "l_returnflag").agg(F.count("*").alias("n"))
+    entry = F.concat_ws("=", "l_returnflag", F.col("n").cast("string"))
+    digests = counts.groupBy("seed").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ";"), 256).alias("digest"))
+    same = digests.agg((F.countDistinct("digest") == 1).alias("same_digest"))
+    return digests.join(keys, "seed").join(F.broadcast(same)).select("seed", "n", "unique_ids", "digest", "same_digest")
 
 
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -239,30 +244,34 @@ def public_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_update(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier scores with later ones put over them, the stage reached and the result."""
-    before = F.create_map(F.lit("latin"), F.lit(1.0), F.lit("prior"), (F.col("p_size") / 10).cast("double"))
-    after = F.create_map(F.lit("prior"), (F.col("p_size") / 5).cast("double"), F.lit("seed"), F.lit(0.5))
+    """Earlier scores with later ones put over them, the stage reached and the result; which scores there are follows from the part."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    before = F.map_filter(F.create_map(F.lit("latin"), price / 100, F.lit("prior"), size / 10, F.lit("seed"), size / 7), lambda k, _: (k != "seed") | (F.col("p_type") == "LARGE"))
+    after = F.map_filter(F.create_map(F.lit("prior"), size / 5, F.lit("seed"), price / 300), lambda k, _: (k != "prior") | (size < 25))
     kept = F.map_filter(before, lambda k, _: ~F.map_contains_key(after, k))
     merged = F.map_concat(kept, after)
-    reason = F.when(F.col("p_size") > 40, "F5_DUP_SEED")
-    return table(spark, d, "part").select("p_partkey", F.round(F.aggregate(F.map_values(merged), F.lit(0.0), lambda a, b: a + b), 6).alias("total"), F.size(merged).cast("long").alias("n_scores"), F.when(reason.isNull(), "F6").otherwise("F4").alias("stage"), F.when(reason.isNull(), "accepted").otherwise("rejected").alias("filter_result"))
+    reason = F.when(size > 40, "F5_DUP_SEED").when(price > 990, "F6_CONTAM_EVAL")
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat_ws("=", e["key"], F.format_string("%.4f", e["value"])))), ";")
+    stage = F.when(reason.isNull(), "F6").when(reason.startswith("F6"), "F5").otherwise("F4")
+    return table(spark, d, "part").select("p_partkey", text.alias("scores"), F.size(merged).cast("long").alias("n_scores"), stage.alias("stage"), F.when(reason.isNull(), "accepted").otherwise("rejected").alias("filter_result"))
 
 
 def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     """What a judge is shown, as compact JSON, and a decision that is null where the verdict is no object."""
     part = table(spark, d, "part")
-    verdict = F.when(F.col("p_partkey") % 5 != 0, F.struct((F.col("p_size") < 25).alias("accepted"), F.col("p_brand").alias("reason")))
+    verdict = F.when(F.col("p_retailprice") > 905, F.struct((F.col("p_size") < 25).alias("accepted"), F.col("p_brand").alias("reason")))
     prompt = compact_json(F.struct(F.col("p_name").alias("utterance"), F.struct(F.col("p_type").alias("intent")).alias("expected")))
     return part.select("p_partkey", prompt.alias("prompt"), F.when(verdict.isNotNull(), F.concat_ws(":", verdict["accepted"].cast("string"), verdict["reason"])).alias("decision"))
 
 
 def segments_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut at their values and put together with other values."""
+    """Texts cut at their values and put together with other values; a value that isn't there, in its turn, leaves nothing."""
     part = table(spark, d, "part")
-    text = F.concat(F.lit("find "), "p_brand", F.lit(" in size "), F.col("p_size").cast("string"), F.lit(" now"))
-    values = F.array(F.col("p_brand"), F.concat(F.lit(" "), F.col("p_size").cast("string")))
+    text = F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" in "), F.col("p_size").cast("string"), F.lit(" "), "p_type")
+    size = F.when(F.col("p_size") == 17, 16).otherwise(F.col("p_size")).cast("string")
+    values = F.when(F.col("p_type") == "SMALL", F.array(size, F.col("p_brand"))).otherwise(F.array(F.col("p_brand"), size))
     parts = reports.segments(text, values)
-    return part.select("p_partkey", F.size(parts).cast("long").alias("n_parts"), reports.rebuilt(parts, F.array(F.lit("X"), F.lit(" 9"))).alias("rebuilt"), (reports.rebuilt(parts, values) == text).alias("same"))
+    return part.select("p_partkey", F.array_join(parts, "|").alias("parts"), reports.rebuilt(parts, F.array(F.upper("p_name"), F.col("p_type"))).alias("rebuilt"), reports.rebuilt(parts, values).eqNullSafe(text).alias("same"))
 
 
 def checkpoint_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -286,9 +295,10 @@ def row_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that a manifest names, in its order."""
-    manifest = table(spark, d, "supplier").select((F.col("s_suppkey") * 7 % 1000 + 1).alias("c_custkey"), F.col("s_suppkey").alias("pos"))
-    return manifest.join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("pos", "c_custkey", "c_mktsegment")
+    """Rows that a manifest names, in its order: the customer of each order of the last year. A name that nobody has is an error."""
+    orders = table(spark, d, "orders").where("o_orderdate >= DATE '2001-01-01'")
+    manifest = orders.select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("c_custkey"))
+    return reports.looked_up(manifest, table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment").select("pos", "c_custkey", "c_mktsegment")
 
 
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -346,19 +356,36 @@ a AS (SELECT kind, count(*) AS n, avg({_HIT}) AS accuracy FROM b GROUP BY kind)
 SELECT a.kind, n, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(accuracy - (SELECT accuracy FROM a WHERE kind = 'all'), 9) AS delta FROM a JOIN m USING (kind)
 """,
     "stratum_verdicts": ANSWERS + f"SELECT coalesce(kind, 'all') AS kind, count(*) AS samples, sum({_HIT})::BIGINT AS accepted, count(*) - sum({_HIT})::BIGINT AS rejected, round(avg({_HIT}), 9) AS rate FROM r GROUP BY GROUPING SETS ((kind), ())",
-    "exact_match_rate": "WITH x AS (SELECT p_brand, p_partkey % 4 <> 0 AS good, p_partkey % 11 <> 0 AND (p_partkey % 6 <> 0) AS slots, p_partkey % 11 <> 0 AS valid FROM part) SELECT p_brand, count(*) AS n, round(avg(valid::INT::DOUBLE), 9) AS valid_rate, round(avg(good::INT::DOUBLE), 9) AS accuracy, round(avg((good AND slots)::INT::DOUBLE), 9) AS exact_match FROM x GROUP BY p_brand",
-    "structural_counters": "SELECT count(*) AS n_rows, count(*) FILTER (event_id % 6 < 5) AS json_syntax_valid, count(*) FILTER (event_id % 6 IN (0, 2, 3, 4)) AS json_object, count(*) FILTER (event_id % 6 IN (0, 3, 4)) AS intent_is_string, count(*) FILTER (event_id % 6 IN (0, 2, 4)) AS slots_is_list, count(*) FILTER (event_id % 6 IN (0, 2)) AS slot_object_list FROM events",
+    "exact_match_rate": """
+WITH x AS (SELECT p_brand, p_retailprice > 910 AS valid, p_retailprice > 910 AND (NOT starts_with(p_name, 'small') OR p_type = 'SMALL') AS good, p_size <= 40 AS slots FROM part)
+SELECT p_brand, count(*) AS n, round(avg(valid::INT::DOUBLE), 9) AS valid_rate, round(avg(good::INT::DOUBLE), 9) AS accuracy, round(avg((good AND slots)::INT::DOUBLE), 9) AS exact_match FROM x GROUP BY p_brand
+""",
+    "structural_counters": """
+WITH w AS (SELECT value AS v, '{"intent": ' || CASE WHEN value < 2 THEN '5' ELSE '"' || event_type || '"' END || ', "slots": ' || CASE WHEN value < 4 THEN '"none"' WHEN event_type = 'view' THEN '[1]' WHEN value < 6 THEN '[]' ELSE '[' || props || ']' END || '}' AS whole FROM events),
+j AS (SELECT CASE WHEN v > 30 THEN 'so: ' || whole WHEN v > 25 THEN '[' || whole || ']' ELSE whole END AS raw FROM w),
+k AS (SELECT json_valid(raw) AS ok, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw::JSON END AS o FROM j)
+SELECT count(*) AS n_rows, count(*) FILTER (ok) AS json_syntax_valid, count(o) AS json_object, count(*) FILTER (json_type(o, '$.intent') = 'VARCHAR') AS intent_is_string, count(*) FILTER (json_type(o, '$.slots') = 'ARRAY') AS slots_is_list,
+  count(*) FILTER (json_type(o, '$.slots') = 'ARRAY' AND coalesce(json_type(o, '$.slots[0]'), 'OBJECT') = 'OBJECT') AS slot_object_list
+FROM k
+""",
     "run_plan_missing": ANSWERS + "SELECT g.grp, s.seed, EXISTS (SELECT 1 FROM r WHERE r.grp = g.grp AND r.seed = s.seed) AS available FROM (VALUES ('base'), ('full'), ('extra')) AS g(grp), (VALUES (0), (1), (2)) AS s(seed)",
     "metric_union": ANSWERS + ", c AS (SELECT grp, predicted AS label, count(*) AS n FROM r WHERE predicted IS NOT NULL GROUP BY ALL) SELECT coalesce(a.label, b.label) AS label, coalesce(a.n, -1) AS left, coalesce(b.n, -1) AS right FROM (SELECT * FROM c WHERE grp = 'base' AND label <> '5-LOW') a FULL JOIN (SELECT * FROM c WHERE grp = 'full' AND label <> '2-HIGH') b ON a.label = b.label",
-    "positional_accuracy": ANSWERS + f"SELECT count(*) AS n, round(avg({_HIT}), 9) AS accuracy FROM r",
-    "plan_agreement": "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY o_orderstatus",
+    "positional_accuracy": """
+WITH a AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place, o_orderstatus AS expected FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, o_orderstatus AS predicted FROM orders)
+SELECT count(*) AS n, round(avg((expected = predicted)::INT::DOUBLE), 9) AS accuracy FROM a JOIN b ON a.place = b.place
+""",
+    "plan_agreement": "SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang",
     "fingerprint_drift": "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 'outside the plan' ELSE 'drift' END AS problem FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 40 = 3",
     "pass_agreement": ANSWERS + "SELECT count(*) AS pairs, round(avg((expected = predicted)::INT::DOUBLE), 9) AS agreement FROM r WHERE predicted IS NOT NULL",
     "paired_metrics": ANSWERS + f", s AS (SELECT grp, seed, avg({_HIT}) AS accuracy, avg((predicted IS NOT NULL)::INT::DOUBLE) AS valid_rate FROM r GROUP BY ALL), d AS (SELECT 'accuracy' AS metric, f.accuracy - b.accuracy AS delta FROM s f JOIN s b ON f.seed = b.seed AND f.grp = 'full' AND b.grp = 'base' UNION ALL SELECT 'valid_rate', f.valid_rate - b.valid_rate FROM s f JOIN s b ON f.seed = b.seed AND f.grp = 'full' AND b.grp = 'base') SELECT metric, count(*) AS seeds, round(avg(delta) * 100, 6) AS mean_delta, bool_and(delta > 0) AS all_gain FROM d GROUP BY metric",
     "detectable_changes": ANSWERS + f", s AS (SELECT kind AS grp, avg({_HIT}) AS x FROM r GROUP BY kind), d AS (SELECT grp, (x - (SELECT x FROM s WHERE grp = 'lexical')) * 100 AS delta FROM s) SELECT grp, round(delta, 6) AS delta, grp <> 'lexical' AND abs(delta) >= 2.5 AS detectable FROM d",
     "throughput_by_type": "WITH x AS (SELECT event_type, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS s FROM events GROUP BY event_type) SELECT event_type, n, round(n / s, 9) AS per_second, round(s / n, 6) AS seconds_each, floor(18000.0::DOUBLE / (s / n))::BIGINT AS in_five_hours FROM x",
     "elapsed_ledger": "WITH x AS (SELECT user_id, ts::DATE AS day, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, sum(micros)::BIGINT AS micros FROM x GROUP BY user_id",
-    "seed_contract": ANSWERS + ", c AS (SELECT seed, expected, count(*) AS n FROM r GROUP BY ALL) SELECT seed, sum(n)::BIGINT AS n, true AS unique_ids, sha256(string_agg(expected || '=' || n, ';' ORDER BY expected || '=' || n)) AS digest FROM c GROUP BY seed",
+    "seed_contract": """
+WITH r AS (SELECT month(l_shipdate)::INT AS seed, * FROM lineitem), c AS (SELECT seed, l_returnflag || '=' || count(*) AS e, count(*) AS n FROM r GROUP BY seed, l_returnflag),
+x AS (SELECT seed, sum(n)::BIGINT AS n, sha256(string_agg(e, ';' ORDER BY e)) AS digest FROM c GROUP BY seed)
+SELECT seed, n, (SELECT count(*) = count(DISTINCT l_orderkey || ':' || l_linenumber) FROM r WHERE r.seed = x.seed) AS unique_ids, digest, (SELECT count(DISTINCT digest) = 1 FROM x) AS same_digest FROM x
+""",
     "line_counts": "SELECT lang, count(*) AS lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ') <> '' GROUP BY lang",
     "boundary_margins": "WITH i AS (SELECT l_orderkey, count(*) <> max(l_linenumber) AS changed FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, round(least(0.35::DOUBLE - (o_orderkey % 37) / 100, 0.65::DOUBLE - ((o_orderkey % 41) / 100 + 0.3::DOUBLE), (o_orderkey % 41) / 100 + 0.3::DOUBLE - 0.25::DOUBLE, 0.45::DOUBLE - (o_orderkey % 43) / 100), 9) AS margin, changed AS slot_count_changed FROM orders JOIN i ON l_orderkey = o_orderkey",
     "pilot_audit": "WITH k AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42:pilot:' || c_custkey), c_custkey) AS j FROM customer), t AS (SELECT *, c_mktsegment = 'MACHINERY' AND j <= 25 AS head, CASE WHEN c_mktsegment = 'MACHINERY' THEN j - 25 ELSE j END AS turn FROM k) SELECT c_custkey, c_mktsegment FROM t ORDER BY NOT head, CASE WHEN head THEN 0 ELSE turn END, c_mktsegment, j LIMIT 50",
@@ -366,13 +393,27 @@ SELECT a.kind, n, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1
     "finalized_release": "WITH v AS (SELECT DISTINCT doc_id FROM labels WHERE quality <> 1) SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v) GROUP BY lang",
     "unsafe_texts": r"SELECT CASE WHEN regexp_matches(text, '[a-z]:[\\/](?:users|documents and settings)[\\/]|hf_[a-z0-9]{20,}|github_pat_[a-z0-9_]{20,}|sk-[a-z0-9_-]{20,}', 'i') THEN 'secret or local path' WHEN contains(text, '[More Information Needed]') OR contains(text, '<!-- FILL') THEN 'placeholder' ELSE 'none' END AS problem, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
     "public_rows": """SELECT p_partkey, p_name AS utt, p_type AS intent, '[{"type":"brand","value":"' || p_brand || '"}]' AS slots_json, 'syn_' || left(sha256('{"intent":"' || p_type || '","slots":[{"type":"brand","value":"' || p_brand || '"}],"utt":"' || p_name || '"}'), 20) AS id FROM part WHERE trim(p_name) <> '' AND trim(p_type) <> ''""",
-    "trace_update": "SELECT p_partkey, round(1.0::DOUBLE + p_size / 5::DOUBLE + 0.5::DOUBLE, 6) AS total, 3::BIGINT AS n_scores, CASE WHEN p_size > 40 THEN 'F4' ELSE 'F6' END AS stage, CASE WHEN p_size > 40 THEN 'rejected' ELSE 'accepted' END AS filter_result FROM part",
-    "judge_prompts": """SELECT p_partkey, '{"utterance":"' || p_name || '","expected":{"intent":"' || p_type || '"}}' AS prompt, CASE WHEN p_partkey % 5 <> 0 THEN (p_size < 25)::VARCHAR || ':' || p_brand END AS decision FROM part""",
-    "segments_rebuilt": "SELECT p_partkey, 3::BIGINT AS n_parts, 'find X in size 9 now' AS rebuilt, true AS same FROM part",
+    "trace_update": """
+WITH b AS (SELECT p_partkey, p_size, p_retailprice, map_from_entries(list_concat([('latin', p_retailprice / 100), ('prior', p_size / 10::DOUBLE)], CASE WHEN p_type = 'LARGE' THEN [('seed', p_size / 7::DOUBLE)] ELSE [] END)) AS before,
+  map_from_entries(list_concat([('seed', p_retailprice / 300)], CASE WHEN p_size < 25 THEN [('prior', p_size / 5::DOUBLE)] ELSE [] END)) AS after FROM part),
+m AS (SELECT *, list_sort(list_distinct(list_concat(map_keys(before), map_keys(after)))) AS ks FROM b)
+SELECT p_partkey, array_to_string(list_transform(ks, lambda k: k || '=' || printf('%.4f', coalesce(after[k], before[k]))), ';') AS scores, len(ks) AS n_scores,
+  CASE WHEN p_size > 40 THEN 'F4' WHEN p_retailprice > 990 THEN 'F5' ELSE 'F6' END AS stage, CASE WHEN p_size > 40 OR p_retailprice > 990 THEN 'rejected' ELSE 'accepted' END AS filter_result
+FROM m
+""",
+    "judge_prompts": """SELECT p_partkey, '{"utterance":"' || p_name || '","expected":{"intent":"' || p_type || '"}}' AS prompt, CASE WHEN p_retailprice > 905 THEN (p_size < 25)::VARCHAR || ':' || p_brand END AS decision FROM part""",
+    "segments_rebuilt": """
+WITH t AS (SELECT p_partkey, p_name, p_type, p_name || ' by ' || p_brand || ' in ' || p_size || ' ' || p_type AS text, p_brand AS b, (CASE WHEN p_size = 17 THEN 16 ELSE p_size END)::VARCHAR AS z FROM part),
+v AS (SELECT *, CASE WHEN p_type = 'SMALL' THEN z ELSE b END AS v1, CASE WHEN p_type = 'SMALL' THEN b ELSE z END AS v2 FROM t),
+a AS (SELECT *, strpos(text, v1) AS i FROM v), c AS (SELECT *, substr(text, i + length(v1)) AS rest FROM a), e AS (SELECT *, CASE WHEN i > 0 THEN strpos(rest, v2) ELSE 0 END AS k FROM c)
+SELECT p_partkey, CASE WHEN k > 0 THEN substr(text, 1, i - 1) || '|' || substr(rest, 1, k - 1) || '|' || substr(rest, k + length(v2)) END AS parts,
+  CASE WHEN k > 0 THEN substr(text, 1, i - 1) || upper(p_name) || substr(rest, 1, k - 1) || p_type || substr(rest, k + length(v2)) END AS rebuilt, k > 0 AS same
+FROM e
+""",
     "checkpoint_steps": "SELECT o_orderstatus, max(o_orderkey) FILTER (o_orderkey % 10 <> 0) AS step, count(*) FILTER (o_orderkey % 10 = 0) AS without FROM orders GROUP BY o_orderstatus",
     "references_of": """WITH x AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS d, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages) SELECT page_id, len(d) AS n_links, array_to_string(list_sort(d, 'ASC'), ' ') AS links FROM x""",
     "row_formats": r"SELECT '| ' || replace(o_orderpriority, '-', '\|') || ' | ' || printf('%.2f%%', round(avg((o_orderstatus = 'F')::INT::DOUBLE) * 100, 6)) || ' |' AS row FROM orders GROUP BY o_orderpriority",
-    "seed_pool": "SELECT s_suppkey AS pos, c_custkey, c_mktsegment FROM supplier JOIN customer ON c_custkey = s_suppkey * 7 % 1000 + 1",
+    "seed_pool": "SELECT o_orderkey AS pos, c_custkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= DATE '2001-01-01'",
     "split_rows": "WITH b AS (SELECT ('0x' || left(sha256('42:split:' || c_custkey), 4))::INT % 10 AS k FROM customer) SELECT CASE WHEN k < 8 THEN 'train' WHEN k = 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM b GROUP BY 1",
     "customer_changes": """
 WITH k AS (

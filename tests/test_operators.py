@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import intervals, text
 from lexloom.operators import augmentation, bootstrap, checks, funnel, planning, sampling, scoring, similarity
 from lexloom.sources import schemas, tables, writers
+from lexloom.sources.tables import kept
 from lexloom.streaming import funnel as streaming
 
 SLOTS = "array<struct<type:string,value:string>>"
@@ -154,6 +155,44 @@ def greedy(c, s, e, t):
     return out
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_links_are_those_of_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(block)
+    centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in rng.choice(centres)]) for i in range(90)]
+    unit = {i: [x / math.hypot(*v) for x in v] for i, v in rows}
+    want = {(i, j) for i, a in unit.items() for j, b in unit.items() if i < j and round(sum(x * y for x, y in zip(a, b)), 9) >= 0.9}
+    got = [(r.early, r.late) for r in similarity.links(vectors(spark, rows), 0.9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert similarity.links(vectors(spark, rows).limit(0), 0.9).count() == 0
+
+
+def test_far_blocks_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    rows = [(i, (1 if i % 2 else -1, 0.001 * i)) for i in range(80)]
+    met = []
+    monkeypatch.setattr(similarity, "_pruned", lambda dealt, stats, pivots, threshold, f=similarity._pruned: met.append(stats) or f(dealt, stats, pivots, threshold))
+    assert similarity.links(vectors(spark, rows), 0.99).count() == 2 * (40 * 39 // 2)
+    assert len(met[0]) > 1 and max(radius for _, radius in met[0].values()) < 0.1
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_repeated_vectors_are_decided_as_rows_are(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW_BYTES", broadcast)
+    rng = random.Random(6)
+    some = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(12)]
+    c = [(i, rng.choice(some)) for i in range(70)]
+    s, e = [(100 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(5)], [(200 + i, some[i]) for i in range(2)]
+    limits = similarity.Thresholds(0.9, 0.97, 0.1, 0.98)
+    got = similarity.decisions(vectors(spark, c), vectors(spark, s), vectors(spark, e), limits, lambda df, name: kept(df)).collect()
+    assert {r.id: r.reject_reason for r in got} == greedy(c, s, e, limits)
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), 9)
+    taken = [(i, v) for i, v in c if {r.id: r.passed for r in got}[i]]
+    for r in got:
+        assert r.max_prior == pytest.approx(max((dot(dict(c)[r.id], v) for i, v in taken if i < r.id), default=-1.0), abs=2e-9)
+
+
 def test_decisions_are_those_of_a_pass_in_order(spark):
     rng = random.Random(4)
     draw = lambda a, n: [(a + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(n)]
