@@ -13,6 +13,11 @@ its slots are consistent: each value of the item always became the same value in
 different values stayed different. So an exact copy counts, and a copy with other numbers and names
 put in consistently does; a text that only has the same phrases doesn't.
 
+Items that every text matches alike, as they are one template with one pattern of equal values (and the same words
+where windows are taken with them), are one class and are matched once, by the item with the least id. Of a class's windows those
+that the fewest classes have come first: as at least COVER percent have to match, one of the first ones does, so only
+documents with one of these meet the class. A phrase that very many items and documents share brings nothing together.
+
 A window of fewer than MIN_LITERAL words other than slots is hashed with the values in its slots, so
 it only matches the same words. It counts where all of an item's windows are taken together; windows
 with more literals are also judged by themselves.
@@ -25,6 +30,7 @@ null doc_id or item_id is not judged; empty tables give no matches. Further colu
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import BLANKS, small_batches, text_or_empty, written
+from lexloom.llm.shared import BLANKS, forget, small_batches, text_or_empty, written
 
 WINDOW = 8
 #: Literal tokens a window needs.
@@ -42,11 +48,13 @@ COVER = 50
 #: Words by which the distances of neighbours in an alignment may differ, as words come in or go.
 SHIFT = 4
 BITMAP_BITS = 1 << 25
+#: Windows of the benchmark that are sent to all tasks; more are joined by a shuffle, in SALTS parts.
+FEW, SALTS = 50_000, 16
 CACHED = 300_000
 #: Units of measure, fixed values.
-UNITS = frozenset("km m cm mm mi mile miles ft feet inch inches yd kg g mg lb lbs oz ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh % percent $ usd eur gbp dollar dollars cent cents euro euros pound pounds °c °f degrees w kw kwh j kj cal kcal v a hz khz mhz ghz b kb mb gb tb".split())
-#: Words for numbers, fixed values.
-NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
+UNITS = frozenset("kilometer meter zentimeter meile meilen gramm kilo kilogramm pfund tonnen stunde stunden minuten sekunde sekunden tag tage woche wochen monat monate jahr jahre prozent kilomètres mètres heure heures jour jours semaine semaines mois ans kilómetros metros hora horas minutos segundos día días semanas meses años km m cm mm mi mile miles ft feet inch inches yd kg g mg lb lbs oz ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh % percent $ usd eur gbp dollar dollars cent cents euro euros pound pounds °c °f degrees w kw kwh j kj cal kcal v a hz khz mhz ghz b kb mb gb tb".split())
+#: Words for numbers in English, German, French and Spanish, fixed values; words that are articles or others in one of these are left out.
+NUMBER_WORDS = frozenset("zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn zwanzig dreißig vierzig fünfzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante cent mille dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta cien ciento mil one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?(?:[a-z%°]{0,3})?")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%") + "“”‘’«»¿¡…–—"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -273,21 +281,78 @@ def _alignments(hits: DataFrame) -> DataFrame:
     return own.unionByName(wide.withColumn("alignment", F.concat_ws(":", F.lit("chain"), "chain")).drop("chain"))
 
 
+def _class_keys(items: DataFrame) -> DataFrame:
+    """(item_id, key) of rows of items: a digest of all that decides what a text's windows make of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            keys = []
+            for words, hashes, kinds, plain, firsts in tokens.of_all(batch.column(1).to_pylist()):
+                until, seen = np.append(firsts, len(words)), {}
+                pattern = [seen.setdefault((int(kinds[a]), words.value(a, b)), len(seen)) for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True) if kinds[a]]
+                short = len(words) < WINDOW
+                exact = short or bool((literals(kinds, WINDOW) < MIN_LITERAL).any())
+                digest = hashlib.sha256(hashes[firsts].tobytes() + b"|" + np.array(pattern, np.int64).tobytes())
+                digest.update(b"|" + (plain.tobytes() if exact else b""))
+                keys.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], names=["item_id", "key"])
+
+    return items.mapInArrow(run, "item_id long, key string")
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_id) of a benchmark: class_id is the least item_id of the class."""
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    keys = _class_keys(items).groupBy("item_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), "|"), 256).alias("key"))  # a row, where ids don't repeat
+    firsts = keys.groupBy("key").agg(F.min("item_id").alias("class_id"))
+    return keys.join(firsts, "key").select("item_id", "class_id")
+
+
+def _first_windows(asked: DataFrame) -> DataFrame:
+    """(item_id, hash, size, exact) of the windows of which a leak must have one: so many of the rarest that the others are fewer than COVER percent."""
+    spread = asked.groupBy("hash", "size", "exact").agg(F.countDistinct("item_id").alias("spread"))
+    rows = asked.join(spread, ["hash", "size", "exact"])
+    out = []
+    for some in (rows, rows.where("NOT exact")):
+        places = some.groupBy("item_id", "item_at").agg(F.max("spread").alias("spread"))
+        item = Window.partitionBy("item_id")  # an item's windows are as many as its words at most
+        ranked = places.withColumn("rank", F.row_number().over(item.orderBy("spread", "item_at"))).withColumn("n", F.count("*").over(item))
+        first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * COVER / 100) + 1).select("item_id", "item_at")
+        out.append(some.join(first, ["item_id", "item_at"]).select("item_id", "hash", "size", "exact"))
+    return out[0].unionByName(out[1]).distinct()
+
+
+def _met(many: DataFrame, few: DataFrame, on: list[str], n: int) -> DataFrame:
+    """many with the rows of few: sent to all tasks if there are few (n, of about 200 bytes), else joined in SALTS parts, as one key may have very many rows."""
+    if n <= FEW:
+        return many.join(F.broadcast(few), on)
+    parts = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, [*on, "_part"]).drop("_part")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_matched, n_slots and n_changed (of the best alignment) for each leak found."""
+    """doc_id, item_id (the least of its class), n_items (of the class), n_windows (of the item), n_matched, n_slots and n_changed (of the best alignment) for each leak found."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    members = written(item_classes(benchmark), "classes")
+    classes = members.groupBy(F.col("class_id").alias("item_id")).agg(F.count("*").alias("n_items"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).join(classes.select("item_id"), "item_id").select(F.col("item_id").alias("doc_id"), "text")
     asked = template_windows(items).select(F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), "size", "exact", "hash", F.col("slots").alias("item_slots"))
     asked = written(asked, "benchmark")
+    n = asked.count()
     sent = spark.sparkContext.broadcast(_bitmap(asked))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     forms = [(r.size, r.exact) for r in asked.select("size", "exact").distinct().collect()]  # at most two a length
-    hits = template_windows(texts, sent, forms).join(asked, ["hash", "size", "exact"])
+    window = ["hash", "size", "exact"]
+    found = written(template_windows(texts, sent, forms), "windows")
+    pairs_of = _met(found.select("doc_id", *window), _first_windows(asked), window, n).select("doc_id", "item_id").distinct()
+    hits = _met(pairs_of, asked, ["item_id"], n).join(found, ["doc_id", *window])
     same = F.transform("item_slots", lambda a: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), a["value"].alias("given")))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), b["value"].alias("given")))
     aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "exact", F.when(F.col("exact"), same).otherwise(pairs).alias("pairs"))
     aligned = _alignments(written(aligned, "hits"))
+    forget(found)
     per = ["doc_id", "item_id", "alignment"]
     template = F.when(~F.col("exact"), F.col("item_at"))
     matched = aligned.groupBy(*per).agg(F.countDistinct("item_at").alias("n_matched"), F.countDistinct(template).alias("n_alike"))
@@ -295,20 +360,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     consistent = slots.groupBy(*per).agg(
         F.countDistinct("kind", "asked").alias("n_asked"), F.countDistinct("kind", "given").alias("n_given"), F.count("*").alias("n_slots"), F.count_if(F.col("asked") != F.col("given")).alias("n_changed")
     )
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(template).alias("n_templates"))
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(template).alias("n_templates")).join(classes, "item_id")
     judged = matched.join(consistent, per, "left").join(sizes, "item_id")
     fine = F.coalesce((F.col("n_asked") == F.col("n_slots")) & (F.col("n_given") == F.col("n_slots")), F.lit(True))
     alike = (F.col("n_alike") > 0) & (100 * F.col("n_alike") >= COVER * F.col("n_templates"))
     leaks = judged.where(fine & (alike | (100 * F.col("n_matched") >= COVER * F.col("n_windows"))))
     best = F.max(F.struct("n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))).alias("best")
-    return leaks.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), best).select("doc_id", "item_id", "n_windows", "best.*")
+    return leaks.groupBy("doc_id", "item_id").agg(F.first("n_items").alias("n_items"), F.first("n_windows").alias("n_windows"), best).select("doc_id", "item_id", "n_items", "n_windows", "best.*")
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_items (leaked), item_ids (sorted) and kept per row of docs."""
-    leaks = contaminated(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    """doc_id, n_items (leaked), item_ids (sorted: the least of each class of items; item_classes() has the others) and kept per row of docs."""
+    leaks = contaminated(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("n_items").alias("n_items"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(leaks, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.col("item_ids").isNull().alias("kept"))
+    return out.select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.col("item_ids").isNull().alias("kept"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
