@@ -125,15 +125,18 @@ class FMIndex:
         self._tree = WaveletTree(symbols[self.order - 1])
         self._before = np.concatenate([[0], np.cumsum(np.bincount(symbols))])
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(low, high) in the suffix order of each row of patterns."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), len(self.order), np.int64)
+    def search(self, patterns: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, low, high) in the suffix order of the rows of patterns whose interval has at least so many places. An
+        interval only gets narrower as a pattern is extended, so a row goes as soon as its interval is below that."""
+        row = np.arange(len(patterns))
+        bounds = np.stack([np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.order), np.int64)])
         for k in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, k]
-            low = self._before[symbol] + self._tree.rank(symbol, low)
-            high = self._before[symbol] + self._tree.rank(symbol, high)
-        return low, high
+            symbol = patterns[row, k]
+            bounds = self._before[symbol] + self._tree.rank(np.tile(symbol, 2), bounds.ravel()).reshape(2, -1)
+            wide = bounds[1] - bounds[0] >= least
+            if not wide.all():
+                row, bounds = row[wide], bounds[:, wide]
+        return row, bounds[0], bounds[1]
 
 
 def resolve(units: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -151,7 +154,11 @@ def resolve(units: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarra
     windows = np.lib.stride_tricks.sliding_window_view(symbols, WINDOW)
     for k in range(0, len(starts), QUERIES):
         some = starts[k : k + QUERIES]
-        low, high = index.search(windows[some])
+        # A window in one place is nobody else's.
+        row, low, high = index.search(windows[some], 2)
+        if not len(row):
+            continue
+        some = some[row]
         first, where = np.unique(low, return_index=True)
         ends = high[where]
         # The intervals are disjoint: their minima by one reduction over begin, end, begin, end, ...

@@ -88,8 +88,11 @@ def test_wavelet_ranks_and_backward_search():
     tree = substring_dedup.WaveletTree(symbols)
     s, at = rng.integers(0, 9, 200), rng.integers(0, 502, 200)
     assert tree.rank(s, at).tolist() == [int((symbols[:a] == c).sum()) for c, a in zip(s, at)]
-    low, high = substring_dedup.FMIndex(symbols, 4).search(np.array([symbols[k : k + 3] for k in range(400)]))
-    assert (high - low).tolist() == [sum(symbols[j : j + 3].tolist() == symbols[k : k + 3].tolist() for j in range(499)) for k in range(400)]
+    index, asked = substring_dedup.FMIndex(symbols, 4), np.array([symbols[k : k + 3] for k in range(400)])
+    want = [sum(symbols[j : j + 3].tolist() == symbols[k : k + 3].tolist() for j in range(499)) for k in range(400)]
+    for least in (0, 2, 4, 500):
+        row, low, high = index.search(asked, least)
+        assert row.tolist() == [k for k, n in enumerate(want) if n >= least] and (high - low).tolist() == [n for n in want if n >= least]
 
 
 def test_anchor_is_a_function_of_the_window():
