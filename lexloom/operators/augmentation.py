@@ -54,23 +54,40 @@ def _swapped(text: Column, cover: Column, key: Column, number: Column, seed: int
     return F.when(good, F.concat(F.substring(text, F.lit(1), at - 1), F.right(two, F.lit(1)), F.left(two, F.lit(1)), F.substring(text, at + 2, F.length(text))))
 
 
+def _results(rows: list[tuple], seed: int) -> Column:
+    """What the edits make of a row with id, utt and its cover _cover: an array of structs (method, kind, old, new, number, made), without those that do nothing."""
+    utt, cover = F.col("utt"), F.col("_cover")
+
+    def made(e: Column) -> Column:
+        return (
+            F.when(e["kind"] == "front", F.concat(e["new"], utt))
+            .when(e["kind"] == "back", F.concat(utt, e["new"]))
+            .when(e["kind"] == "swap", _swapped(utt, cover, F.col("id"), e["number"], seed))
+            .otherwise(_replaced(utt, cover, e["old"], e["new"]))
+        )
+
+    every = F.transform(_literal(rows), lambda e: F.struct(*[e[c].alias(c) for c in ("method", "kind", "old", "new", "number")], F.trim(made(e)).alias("made")))
+    return F.filter(every, lambda r: (r["made"] != "") & (r["made"] != utt))
+
+
+def _covered(examples: DataFrame) -> DataFrame:
+    """examples with their cover, without those whose values aren't all in the text."""
+    return examples.withColumn("_cover", covered(F.col("utt"), F.transform("slots", lambda s: s["value"]))).where("_cover IS NOT NULL")
+
+
 def candidates(examples: DataFrame, seed: int, rows: list[tuple] | None = None) -> DataFrame:
     """examples with the edit (method, kind, old, new, number) and its result `made`, for each edit that does something."""
-    cover = covered(F.col("utt"), F.transform("slots", lambda s: s["value"]))
-    given = examples.withColumn("_cover", cover).where("_cover IS NOT NULL").select("*", F.explode(_literal(rows or edits())).alias("_edit"))
-    e = {c: F.col(f"_edit.{c}") for c in ("method", "kind", "old", "new", "number")}
-    made = (
-        F.when(e["kind"] == "front", F.concat(e["new"], "utt"))
-        .when(e["kind"] == "back", F.concat("utt", e["new"]))
-        .when(e["kind"] == "swap", _swapped(F.col("utt"), F.col("_cover"), F.col("id"), e["number"], seed))
-        .otherwise(_replaced(F.col("utt"), F.col("_cover"), e["old"], e["new"]))
-    )
-    out = given.select(*examples.columns, *[e[c].alias(f"_{c}") for c in e], F.trim(made).alias("made"))
-    return out.where((F.col("made") != "") & (F.col("made") != F.col("utt")))
+    given = _covered(examples).select("*", F.explode(_results(rows or edits(), seed)).alias("_edit"))
+    return given.select(*examples.columns, *[F.col(f"_edit.{c}").alias(f"_{c}") for c in ("method", "kind", "old", "new", "number")], F.col("_edit.made").alias("made"))
+
+
+def _edit_order(seed: int, e: dict[str, Column] | Column) -> Column:
+    """The order of a source's edits: that of a hash."""
+    return rank_hash(seed, F.concat_ws(":", F.col("id"), e["kind"], e["old"], e["new"], e["number"].cast("string")), "edit")
 
 
 def _order(seed: int) -> Column:
-    return rank_hash(seed, F.concat_ws(":", "id", "_kind", "_old", "_new", F.col("_number").cast("string")), "edit")
+    return _edit_order(seed, {c: F.col(f"_{c}") for c in ("kind", "old", "new", "number")})
 
 
 def _in_slice(position: Column, size: int, low: int, high: int) -> Column:
@@ -122,28 +139,31 @@ def _attempts(sources: DataFrame, size: int, seed: int) -> DataFrame:
 PROBES = {"colloquial": ("front", "back"), "lexical": ("lexical",), "asr_noise": ("misheard", "swap", "filler")}
 
 
+def _first_probe(name: str, known: Column, seed: int) -> tuple[Column, Column]:
+    """The first result in _made of a kind that isn't known, null if there is none; and known with all results of the kind."""
+    kinds = F.array(*map(F.lit, PROBES[name]))
+    of_kind = F.filter("_made", lambda r: F.array_contains(kinds, r["kind"]))
+    fresh = F.filter(of_kind, lambda r: ~F.array_contains(known, r["made"]))
+    choice = (lambda r: F.lit(0)) if name == "colloquial" else (lambda r: F.array_position(kinds, r["kind"]))
+    ranked = F.transform(fresh, lambda r: F.struct(choice(r).alias("choice"), _edit_order(seed, r).alias("order"), r["made"].alias("made")))
+    return F.array_min(ranked)["made"], F.concat(known, F.transform(of_kind, lambda r: r["made"]))
+
+
 def probes(examples: DataFrame, seed: int = 42, strict: bool = False) -> DataFrame:
-    """One robustness variant of each kind per example, all different; strict: a kind without one is an error when it runs."""
+    """One robustness variant of each kind per example, all different; strict: a kind without one is an error when it runs.
+
+    Of a kind's results the first counts, by the choice of edits and the order of a hash; a result that several kinds make
+    is that of the first kind by name. All of it is done within the example's row, so nothing is shuffled.
+    """
     fillers = [("probe", "filler", "", f"{w}，", 0) for w in FILLERS]
     fronts = [("probe", "front", *e[2:]) for e in fillers]
-    plain = candidates(examples, seed).withColumn("_filler", F.lit(False))
-    filled = candidates(examples, seed, fronts).withColumn("_filler", F.lit(True))
-    made = plain.unionByName(filled).withColumn("_kind", F.when(F.col("_filler"), "filler").otherwise(F.col("_kind")))
-    kind, choice = F.lit(None).cast("string"), F.lit(0)
-    for name, kinds in PROBES.items():
-        for k, of in enumerate(kinds):
-            kind = F.when(F.col("_kind") == of, name).otherwise(kind)
-            choice = F.when(F.col("_kind") == of, k).otherwise(choice)
-    ranked = made.withColumns({"probe_kind": kind, "_choice": F.when(kind == "colloquial", 0).otherwise(choice)}).where("probe_kind IS NOT NULL")
-    # A result that several kinds make is the first kind's.
-    by_text = Window.partitionBy("id", "made").orderBy("probe_kind", "_choice", _order(seed))
-    single = ranked.withColumn("_k", F.row_number().over(by_text)).where("_k = 1")
-    by_kind = Window.partitionBy("id", "probe_kind").orderBy("_choice", _order(seed), "made")
-    first = single.withColumn("_k", F.row_number().over(by_kind)).where("_k = 1")
-    if strict:
-        kinds = examples.select("id").distinct().join(first.groupBy("id").agg(F.count("*").alias("_n")), "id", "left")
-        wrong = kinds.where(F.coalesce("_n", F.lit(0)) < len(PROBES)).agg(F.min("id").alias("_missing"))
-        check = wrong.select(F.when(F.col("_missing").isNotNull(), F.raise_error(F.concat(F.lit("no probe of some kind for "), F.col("_missing")))).alias("_ok"))
-        first = first.join(F.broadcast(check), how="left").where("_ok IS NULL")
+    made = _covered(examples).withColumn("_own", _results(edits(), seed)).withColumn("_filled", F.transform(_results(fronts, seed), lambda r: r.withField("kind", F.lit("filler"))))
+    everything = made.withColumn("_made", F.concat("_own", "_filled"))
+    columns, known = [], F.array().cast("array<string>")
+    for name in sorted(PROBES):
+        first, known = _first_probe(name, known, seed)
+        missing = F.raise_error(F.concat(F.lit("no probe of some kind for "), F.col("id"))).cast("string")
+        columns.append(F.struct(F.lit(name).alias("probe_kind"), (F.coalesce(first, missing) if strict else first).alias("made")))
+    rows = everything.select("id", "intent", "slots", F.explode(F.array(*columns)).alias("p")).select("id", "intent", "slots", "p.*").where("made IS NOT NULL")
     key = content_id("probe_", F.lit(str(seed)), "probe_kind", "id", "made")
-    return first.select(key.alias("id"), F.col("id").alias("source_test_id"), "probe_kind", F.col("made").alias("utt"), "intent", "slots", F.lit(seed).alias("seed"), F.lit(True).alias("evaluation_only"))
+    return rows.select(key.alias("id"), F.col("id").alias("source_test_id"), "probe_kind", F.col("made").alias("utt"), "intent", "slots", F.lit(seed).alias("seed"), F.lit(True).alias("evaluation_only"))

@@ -126,6 +126,14 @@ def finalized(rows: DataFrame, verdicts: DataFrame, key: str) -> tuple[DataFrame
     return rows.join(bad, key, "left_anti"), verdicts.join(rows.select(key), key, "left_anti").select(key)
 
 
+def released(rows: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """finalized() rows; a verdict that names no row is an error when it runs, so nothing goes out on it."""
+    kept, unknown = finalized(rows, verdicts, key)
+    told = F.concat(F.lit("verdicts on unknown rows, the first on "), F.coalesce(F.col("_first").cast("string"), F.lit("null")))
+    check = unknown.agg(F.count("*").alias("_n"), F.min(key).alias("_first")).select(F.when(F.col("_n") > 0, F.raise_error(told)).alias("_ok"))
+    return kept.join(F.broadcast(check), how="left").where("_ok IS NULL").drop("_ok")
+
+
 def margin(prior: Column, seed: Column, evaluation: Column, duplicate: float, too_close: float, outlier: float, contamination: float) -> Column:
     """The least distance to a limit of the semantic decisions."""
     return F.least(F.lit(duplicate) - prior, F.lit(too_close) - seed, seed - F.lit(outlier), F.lit(contamination) - evaluation)

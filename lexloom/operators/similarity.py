@@ -94,6 +94,32 @@ def nearest(queries: DataFrame, references: DataFrame, exclude_self: bool = Fals
     return queries.select("id").join(found, "id", "left").select("id", F.coalesce("m.similarity", F.lit(-1.0)).alias("similarity"), F.col("m.nearest_id").alias("nearest_id"))
 
 
+def nearest_by_width(queries: DataFrame, references: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(width, id, similarity, nearest_id): nearest() by the first so many dimensions of vectors, for several widths in one pass."""
+    schema = "width int, id long, similarity double, nearest_id long, nearest_ord long"
+
+    def best(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        b = b.sort_values("ord", kind="stable")
+        left, right, out = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy()), []
+        for width in widths:
+            x, y = (v[:, :width] / np.linalg.norm(v[:, :width], axis=1, keepdims=True) for v in (left, right))
+            s = np.round(x @ y.T, 9)
+            at = s.argmax(1)
+            out.append(pd.DataFrame({"width": width, "id": a["id"].to_numpy(), "similarity": s[np.arange(len(a)), at], "nearest_id": b["id"].to_numpy()[at], "nearest_ord": b["ord"].to_numpy()[at]}))
+        return pd.concat(out)
+
+    found = _paired(queries, references, best, schema).groupBy("width", "id").agg(F.max(F.struct("similarity", (-F.col("nearest_ord")).alias("o"), "nearest_id")).alias("m"))
+    return found.select("width", "id", "m.similarity", "m.nearest_id")
+
+
+def nearest_other(vectors: DataFrame) -> DataFrame:
+    """nearest() of each row among the others; fewer than two rows is an error."""
+    n = vectors.count()
+    if n < 2:
+        raise ValueError("a row needs another one to be near to")
+    return nearest(vectors, vectors, exclude_self=True, sizes=(n, n))
+
+
 def links(vectors: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
     """(early, late, similarity) of the pairs at or above the threshold; early comes first by ord.
 

@@ -28,7 +28,7 @@ def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_nonself_quantiles(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    found = similarity.nearest(v, v, exclude_self=True)
+    found = similarity.nearest_other(v)
     q = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
     row = found.agg(F.percentile("similarity", F.array(*map(F.lit, q))).alias("q"))
     return row.select(F.posexplode("q").alias("at", "value")).select(F.element_at(F.array(*map(F.lit, q)), F.col("at") + 1).alias("quantile"), F.round("value", 6).alias("value"))
@@ -52,14 +52,13 @@ def exclusion_log(spark: SparkSession, d: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """Two models, base and full: a vector's label is that of its nearest seed, by half of the dimensions or by all. seed = id % 3; some predictions are missing."""
-    parts = []
-    for name, dims in (("base", 32), ("full", 64)):
-        q = _vectors(spark, d, list(range(1, 10)), dims)
-        found = similarity.nearest(q, _vectors(spark, d, [0], dims))
-        seeds = _vectors(spark, d, [0]).select(F.col("id").alias("nearest_id"), F.col("label").alias("predicted"))
-        rows = q.select("id", F.col("label").alias("expected")).join(found, "id").join(seeds, "nearest_id")
-        parts.append(rows.select(F.lit(name).alias("grp"), (F.col("id") % 3).alias("seed"), "id", "expected", F.when(F.col("id") % 17 != 5, F.col("predicted")).alias("predicted")))
-    return parts[0].unionByName(parts[1])
+    v = _vectors(spark, d)
+    asked, seeds = v.where("id % 10 > 0"), v.where("id % 10 = 0")
+    found = similarity.nearest_by_width(asked, seeds, (32, 64))
+    labels = seeds.select(F.col("id").alias("nearest_id"), F.col("label").alias("predicted"))
+    rows = found.join(asked.select("id", F.col("label").alias("expected")), "id").join(labels, "nearest_id")
+    grp = F.when(F.col("width") == 32, "base").otherwise("full")
+    return rows.select(grp.alias("grp"), (F.col("id") % 3).alias("seed"), "id", "expected", F.when(F.col("id") % 17 != 5, F.col("predicted")).alias("predicted"))
 
 
 _PREDICTIONS = """

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Splits whose counts (about 150 bytes each) are sent to all tasks; more are joined by a shuffle.
 FEW_SPLITS = 100_000
+#: Lines of a file that are put in order together.
+PART_LINES = 1 << 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -121,6 +123,28 @@ def required(rows: DataFrame, *unique: str, told: int = 5) -> DataFrame:
     return rows
 
 
+def checkpointed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Rows of an append-only checkpoint of JSON lines: a line that can't be read, a missing key or one that comes twice is an error, before any row is given out."""
+    rows = json_lines(spark, path, schema)
+    problem = F.when(F.col("bad"), "a line that can't be read").when(F.col(key).isNull(), f"no {key}")
+    return required(rows.withColumn("problem", problem), key).drop("problem", "bad", "raw", "file", "line")
+
+
+def predictions(spark: SparkSession, path: str, schema: str, index: str) -> DataFrame:
+    """Rows of JSON lines whose index counts from 0 in the order of each file's lines; anything else is an error, before any row is given out."""
+    rows = json_lines(spark, path, schema)
+    at = Window.partitionBy("file", "_part").orderBy("line")
+    parts = rows.withColumn("_part", F.floor(F.col("line") / PART_LINES))
+    # Lines before a part, counted by part; a blank line has no index.
+    sizes = parts.groupBy("file", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    shifts = sizes.select("file", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    placed = parts.withColumn("_at", F.row_number().over(at) - 1).join(shifts, ["file", "_part"])
+    off = F.coalesce(F.col(index) != F.col("_at") + F.col("_shift"), F.lit(True))
+    problem = F.when(F.col("bad"), "a line that can't be read").when(off, F.concat(F.lit("index "), F.coalesce(F.col(index).cast("string"), F.lit("null")), F.lit(" out of order")))
+    return required(placed.withColumn("problem", problem)).drop("problem", "bad", "raw", "file", "line", "_part", "_at", "_shift")
+
+
 def decoded(df: DataFrame, code: str, names: list[str]) -> DataFrame:
     """A column of codes replaced by their names."""
     return df.withColumn(code, F.try_element_at(F.array(*map(F.lit, names)), F.col(code) + 1))

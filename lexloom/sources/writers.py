@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +23,30 @@ def compacted(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def replace(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """df in place of what is at path: written beside it and moved there when it is whole, so readers find the old or the new table and a job that fails changes nothing."""
+    spark = df.sparkSession
+    beside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.format(format).save(beside)
+    there, new, gone = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, old))
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(there) and not store.rename(there, gone):
+        raise OSError(f"{path} can't be moved")
+    if not store.rename(new, there):
+        raise OSError(f"{beside} can't be moved to {path}")
+    store.delete(gone, True)
+
+
+def document(spark: SparkSession, value: Any, path: str) -> None:
+    """A small report as a JSON document, in place of what is at path; manifests.document() reads it."""
+    replace(spark.createDataFrame([(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True),)], "value string").coalesce(1), path, "text")
+
+
+def compact(df: DataFrame, key: str, order: str, path: str) -> None:
+    """The last row of each key, sorted by key over all files, in place of what is at path (which df may read)."""
+    replace(compacted(df, key, order).orderBy(key), path)
+
+
 def outcomes(df: DataFrame, path: str) -> None:
     """Accepted and rejected rows in folders of their own, in one pass."""
     df.withColumn("outcome", F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")).write.mode("overwrite").partitionBy("outcome").parquet(path)

@@ -138,6 +138,8 @@ def vectors(spark, rows):
 def test_nearest(spark):
     v = vectors(spark, [(0, (1, 0)), (1, (0.8, 0.6)), (2, (0, 1))])
     assert [round(r.similarity, 6) for r in similarity.nearest(v, v, exclude_self=True).orderBy("id").collect()] == [0.8, 0.8, 0.6]
+    with pytest.raises(ValueError, match="another one"):
+        similarity.nearest_other(v.where("id = 1"))
     none = similarity.nearest(v, v.where("false"))
     assert {r.similarity for r in none.collect()} == {-1.0}
     with pytest.raises(Exception, match="no length"):
@@ -225,6 +227,38 @@ def test_augmented_examples_keep_slots(spark):
     assert len(made) == 6 and all(len({r.utt for r in g}) == 3 for _, g in itertools.groupby(sorted(made, key=lambda r: r.source_test_id), lambda r: r.source_test_id))
 
 
+def test_probes_are_the_first_of_each_kind_and_all_different(spark):
+    rows = [(k, f"s{k}", u, "i", [("t", v)]) for k, (u, v) in enumerate([("請打開客廳的燈", "客廳"), ("今天在台北要帶傘嗎", "台北"), ("設定設定", "設定"), ("abc", "c"), ("在在在", "nothing"), ("請請", "請")])]
+    seeds = spark.createDataFrame(rows, f"pos long, id string, utt string, intent string, slots {SLOTS}")
+    fronts = [("probe", "front", "", f"{w}，", 0) for w in augmentation.FILLERS]
+    order = augmentation._order(42).alias("order")
+    found = [(r.id, r._kind, r.order, r.made) for r in augmentation.candidates(seeds, 42).select("id", "_kind", order, "made").collect()]
+    filled = augmentation.candidates(seeds, 42, fronts).withColumn("_kind", F.lit("filler"))
+    found += [(r.id, "filler", r.order, r.made) for r in filled.select("id", order, "made").collect()]
+    want, first = {}, {}
+    kinds = [(name, k, of) for name, ofs in augmentation.PROBES.items() for k, of in enumerate(ofs)]
+    for i, of, o, made in found:
+        for name, k, kind in kinds:
+            if kind == of:
+                choice = (name, 0 if name == "colloquial" else k, o)
+                first[i, made] = min(first.get((i, made), choice), choice)
+    for (i, made), (name, k, o) in first.items():
+        want[i, name] = min(want.get((i, name), (k, o, made)), (k, o, made))
+    got = {(r.source_test_id, r.probe_kind): r.utt for r in augmentation.probes(seeds).collect()}
+    assert got == {key: made for key, (_, _, made) in want.items()} and "s4" not in {i for i, _ in got}
+    with pytest.raises(Exception, match="no probe of some kind for s3"):
+        augmentation.probes(seeds.where("id = 's3'"), strict=True).collect()
+
+
+def test_nearest_by_width_is_nearest_of_each_width(spark):
+    rng = random.Random(9)
+    a, b = ([(k + at, [rng.gauss(0, 1) for _ in range(6)]) for k in range(n)] for at, n in ((0, 30), (100, 8)))
+    got = {(r.width, r.id): (r.nearest_id, round(r.similarity, 6)) for r in similarity.nearest_by_width(vectors(spark, a), vectors(spark, b), (3, 6)).collect()}
+    for width in (3, 6):
+        found = similarity.nearest(*(vectors(spark, [(i, v[:width]) for i, v in x]) for x in (a, b)))
+        assert {(width, r.id): (r.nearest_id, round(r.similarity, 6)) for r in found.collect()} == {k: v for k, v in got.items() if k[0] == width}
+
+
 def test_bootstrap_draws_from_any_number_of_rows(spark):
     rows = spark.range(2_400_000).selectExpr("id % 2 AS seed", "cast(id % 8 < 4 AS int) AS base_hit", "cast(id % 8 < 6 AS int) AS new_hit")
     out = bootstrap.interval(bootstrap.deltas(rows, 100)).first()

@@ -179,6 +179,18 @@ def test_pairs_must_be_of_the_same_rows(spark):
         reports.paired(a, a.withColumn("expected", F.lit("x")), ["k"], "expected").collect()
 
 
+def test_releases_and_look_ups_refuse_unknown_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    verdicts = lambda *ks: spark.createDataFrame([(k, ok) for k, ok in ks], "k long, accepted boolean")
+    assert sorted(r.k for r in reports.released(rows, verdicts((1, False), (2, True)), "k").collect()) == [2, 3]
+    with pytest.raises(Exception, match="unknown rows, the first on 9"):
+        reports.released(rows, verdicts((1, False), (9, True)), "k").collect()
+    names = spark.createDataFrame([(0, 2), (1, 1)], "pos int, k long")
+    assert [tuple(r) for r in reports.looked_up(names, rows, "k", "v").orderBy("pos").select("pos", "v").collect()] == [(0, "b"), (1, "a")]
+    with pytest.raises(Exception, match="no row has k 7"):
+        reports.looked_up(names.union(spark.createDataFrame([(2, 7)], names.schema)), rows, "k", "v").collect()
+
+
 # --- Sets
 
 

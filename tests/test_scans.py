@@ -207,3 +207,37 @@ def test_unions_refuse_repeated_ids(spark):
     assert similarity.unioned([a, b]).count() == 5
     with pytest.raises(Exception, match="an id occurs twice"):
         similarity.unioned([a, b, spark.range(1)]).collect()
+
+
+def test_checkpoints_and_predictions_are_whole_and_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PART_LINES", 3)
+    schema, path = "k BIGINT, v STRING", tmp_path / "c.jsonl"
+
+    def write(*lines):
+        path.write_text("\n".join(x if isinstance(x, str) else json.dumps({"k": x, "v": "v"}) for x in lines) + "\n")
+        return str(path)
+
+    assert sorted(r.k for r in tables.checkpointed(spark, write(5, "", 3), schema, "k").collect()) == [3, 5]
+    for lines, message in (((5, 3, 5), "repeated keys: 5"), ((5, "no"), r"can't be read at .*c\.jsonl:2"), ((5, '{"v": "x"}'), "no k at")):
+        with pytest.raises(ValueError, match=message):
+            tables.checkpointed(spark, write(*lines), schema, "k")
+    assert sorted(r.k for r in tables.predictions(spark, write(0, 1, "", "", "", 2, 3, 4, "", 5, 6, 7, 8), schema, "k").collect()) == list(range(9))
+    for lines, message in (((0, 2, 1), r"index 2 out of order at .*:2"), ((0, 1, 1), "index 1 out of order"), ((1, 2), "index 1 out of order at .*:1"), ((0, "x"), "can't be read")):
+        with pytest.raises(ValueError, match=message):
+            tables.predictions(spark, write(*lines), schema, "k")
+
+
+def test_tables_are_replaced_when_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(k % 5, k, f"v{k}") for k in range(40)], "key int, at int, v string")
+    rows.write.parquet(path)
+    writers.compact(spark.read.parquet(path), "key", "at", path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(k, 35 + k, f"v{35 + k}") for k in range(5)]
+    with pytest.raises(Exception, match="stop"):
+        writers.replace(rows.withColumn("v", F.raise_error(F.lit("stop")).cast("string")), path)
+    assert spark.read.parquet(path).count() == 5
+    for value in ({"b": [1, None], "a": "ü"}, {"other": 2}):
+        writers.document(spark, value, str(tmp_path / "doc"))
+        assert manifests.document(spark, str(tmp_path / "doc")) == value
+    writers.replace(rows, str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 40 and not [p for p in tmp_path.iterdir() if ".old-" in p.name]
