@@ -42,6 +42,11 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value bound to a name, so it is evaluated once however often then() uses it."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
 def _at(path: Column, name: str) -> Column:
     return F.concat(path, F.lit(f".{name}")) if path is not None else F.lit(name)
 
@@ -73,8 +78,7 @@ def _number(v: Column) -> Column:
 def text(least: int = 0, pattern: str | None = None, among: tuple[str, ...] | None = None, known: list[str] | None = None, null: bool = False) -> Rule:
     """A text of a length, form or choice; known: labels, others are an error of their own kind."""
 
-    def rule(v: Column, path: Column) -> Column:
-        t = _text(v)
+    def judged(t: Column, v: Column, path: Column) -> Column:
         out = F.when(t.isNull(), F.when(_kind(v) == "VOID", _none()).otherwise(_error(path, "not a text")) if null else _error(path, "not a text"))
         out = out.when(F.length(t) < least, _error(path, "too short"))
         if pattern is not None:
@@ -85,12 +89,11 @@ def text(least: int = 0, pattern: str | None = None, among: tuple[str, ...] | No
             out = out.when(~t.isin(*known), _error(path, UNKNOWN))
         return out.otherwise(_none())
 
-    return rule
+    return lambda v, path: _let(_text(v), lambda t: judged(t, v, path))
 
 
 def number(low: float | None = None, high: float | None = None, above: float | None = None, whole: bool = False) -> Rule:
-    def rule(v: Column, path: Column) -> Column:
-        n = _number(v)
+    def judged(n: Column, path: Column) -> Column:
         out = F.when(n.isNull(), _error(path, "not a number"))
         if whole:
             out = out.when(n != F.floor(n), _error(path, "not whole"))
@@ -99,7 +102,7 @@ def number(low: float | None = None, high: float | None = None, above: float | N
                 out = out.when(wrong, _error(path, "out of range"))
         return out.otherwise(_none())
 
-    return rule
+    return lambda v, path: _let(_number(v), lambda n: judged(n, path))
 
 
 def moment(v: Column, path: Column) -> Column:
@@ -137,21 +140,24 @@ def either(first: Rule, second: Rule) -> Rule:
     return rule
 
 
+def _if_there(of: Rule, absent: Column, path: Column) -> Callable[[Column], Column]:
+    return lambda v: F.when(v.isNull(), absent).otherwise(of(v, path))
+
+
 def fields(optional: tuple[str, ...] = (), whole: Rule | None = None, **rules: Rule) -> Rule:
     """An object with these keys and no others; whole is a rule on an object without errors."""
 
     def rule(v: Column, path: Column) -> Column:
         parts = []
         for name, of in rules.items():
-            value = F.try_variant_get(v, f"$.{name}", "variant")
             absent = _none() if name in optional else _error(_at(path, name), MISSING)
-            parts.append(F.when(value.isNull(), absent).otherwise(of(value, _at(path, name))))
+            parts.append(_let(F.try_variant_get(v, f"$.{name}", "variant"), _if_there(of, absent, _at(path, name))))
         keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
         extra = F.array_sort(F.filter(keys, lambda k: ~k.isin(*rules)))
         beyond = F.transform(extra, lambda k: F.struct((F.concat(path, F.lit("."), k) if path is not None else k).alias("path"), F.lit(EXTRA).alias("problem")))
         found = F.concat(*parts, beyond)
         if whole is not None:
-            found = F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, whole(v, path)).otherwise(f))[0]
+            found = _let(found, lambda f: F.when(F.size(f) == 0, whole(v, path)).otherwise(f))
         return F.when(_kind(v) == "OBJECT", found).otherwise(_error(path, "not an object") if path is not None else _error(F.lit(""), "not an object"))
 
     return rule

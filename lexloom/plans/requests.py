@@ -148,7 +148,7 @@ def session_ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = days.select(F.col("user_id").alias("session"), (F.col("micros") / 1e6).alias("seconds"), _early().alias("early"))
     out = scratch(spark, "ledger")
     writers.ledger(rows.where("early"), out)
-    return writers.ledger(rows.where("NOT early"), out).withColumn("seconds", F.round("seconds", 3))
+    return writers.ledger(rows.where("NOT early"), out).withColumn("seconds", F.round("seconds", 3).cast("double"))
 
 
 def _early() -> Column:
@@ -161,5 +161,5 @@ SQL = {
     "request_plan": REQUEST_PLAN,
     "plan_schedule": "SELECT o_orderkey, row_number() OVER (ORDER BY sha256('42:' || o_orderkey), o_orderkey) - 1 AS turn FROM orders",
     "paired_metric_points": PAIRED_METRIC_POINTS,
-    "session_ledger": "WITH x AS (SELECT user_id, ts::DATE AS day, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS s FROM events GROUP BY ALL) SELECT user_id AS session, count(*) AS runs, round(sum(s), 3) AS seconds FROM x GROUP BY user_id",
+    "session_ledger": "WITH x AS (SELECT user_id, ts::DATE AS day, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS s FROM events GROUP BY ALL) SELECT user_id AS session, count(*) AS runs, round(sum(s::DECIMAL(24, 6)), 3)::DOUBLE AS seconds FROM x GROUP BY user_id",
 }

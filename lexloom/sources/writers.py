@@ -65,7 +65,8 @@ def append_once(stream: DataFrame, key: str, path: str, checkpoint: str) -> Stre
 
 def ledger(sessions: DataFrame, path: str) -> DataFrame:
     """Appends sessions (session, seconds) and gives the totals of all that were written: session, runs, seconds."""
-    sessions.select("session", F.col("seconds").cast("double").alias("seconds")).write.mode("append").parquet(path)
+    # Microseconds as decimals, so that the sum doesn't depend on the order.
+    sessions.select("session", F.col("seconds").cast("decimal(24,6)").alias("seconds")).write.mode("append").parquet(path)
     every = sessions.sparkSession.read.parquet(path)
     return every.groupBy("session").agg(F.count("*").alias("runs"), F.sum("seconds").alias("seconds"))
 
