@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import bootstrap, planning, reports, requests
+from lexloom.plans.reports import finalized_release
 from lexloom.sources.tables import kept
 
 POOL = "pos long, id string, utt string, intent string, slots array<struct<type:string,value:string>>"
@@ -191,6 +192,13 @@ def test_releases_and_look_ups_refuse_unknown_keys(spark):
         reports.looked_up(names.union(spark.createDataFrame([(2, 7)], names.schema)), rows, "k", "v").collect()
 
 
+def test_finalized_release_counts_unknown_verdicts(spark, tmp_path):
+    spark.createDataFrame([(1, "de"), (2, "de"), (3, "en")], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (8, 0), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = finalized_release(spark, str(tmp_path)).orderBy("lang").collect()
+    assert [(r.lang, r.n, r.ids, r.unknown) for r in got] == [("de", 1, 2, 2), ("en", 1, 3, 2)]
+
+
 # --- Sets
 
 
