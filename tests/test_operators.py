@@ -4,7 +4,9 @@ import itertools
 import json
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,28 @@ def test_nearest_by_width_is_nearest_of_each_width(spark):
         assert {(width, r.id): (r.nearest_id, round(r.similarity, 6)) for r in found.collect()} == {k: v for k, v in got.items() if k[0] == width}
 
 
+def test_nearest_in_many_blocks_shuffles_no_pairs(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("TILE", 20), ("SHARES", 2), ("SHARE_BLOCKS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(11)
+    some = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(20)]
+    rows = [(i, rng.choice(some) if i % 3 else [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    dot = lambda i, j: round(float(unit[i] @ unit[j]), 9)
+    found = similarity.nearest_other(vectors(spark, rows))
+    assert {r.id: r.nearest_id for r in found.collect()} == {i: min((-dot(i, j), j) for j in unit if j != i)[1] for i in unit}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # blocks are read where they are kept, not repeated for each pair
+
+
+def test_similarities_are_held_by_tiles(spark):
+    a, b = np.ones((3000, 2)), np.ones((2000, 2))
+    tracemalloc.start()
+    assert sum(s.sum() for _, s in similarity._tiles(a, b)) == 2 * 3000 * 2000
+    assert tracemalloc.get_traced_memory()[1] < 3 * 8 * similarity.TILE  # all at once take 48 MB
+    tracemalloc.stop()
+
+
 def test_bootstrap_draws_from_any_number_of_rows(spark):
     rows = spark.range(2_400_000).selectExpr("id % 2 AS seed", "cast(id % 8 < 4 AS int) AS base_hit", "cast(id % 8 < 6 AS int) AS new_hit")
     out = bootstrap.interval(bootstrap.deltas(rows, 100)).first()
