@@ -13,6 +13,7 @@ setting for variants), is not a record.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,31 @@ PROMPT_VERSION = r"^[a-z_]+\.v[1-9][0-9]*$"
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MISSING, EXTRA, UNKNOWN = "missing", "extra key", "unknown label"
 
-#: A rule: (value, path) to the errors of that value. The value is a variant that is there.
-Rule = Callable[[Column, Column], Column]
+
+@dataclass(frozen=True)
+class At:
+    """A place in a variant, read from the whole of it: a part taken out of it as a variant is a copy with all that is in it."""
+
+    whole: Column
+    place: str = "$"
+
+    def field(self, name: str) -> At:
+        return At(self.whole, f"{self.place}.{name}")
+
+    def get(self, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.whole, self.place, kind)
+
+    def keys(self) -> Column:
+        """The keys of an object, else null."""
+        return F.map_keys(self.get("map<string,variant>"))
+
+    def list(self) -> Column:
+        """The elements of a list, else null."""
+        return self.get("array<variant>")
+
+
+#: A rule: (place, path) to the errors of the value there. There is a value.
+Rule = Callable[[At, Column], Column]
 
 
 def is_json(raw: Column) -> Column:
@@ -39,7 +63,8 @@ def is_json(raw: Column) -> Column:
 
 
 def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """The kind of a variant that is a single value; of a list or an object its whole schema."""
+    return F.schema_of_variant(v)
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -71,7 +96,7 @@ def _text(v: Column) -> Column:
 def _number(v: Column) -> Column:
     """The number a variant stands for, else null."""
     kind, text = _kind(v), F.trim(F.try_variant_get(v, "$", "string"))
-    number = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "double"))
+    number = F.when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "double"))
     return number.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when((kind == "STRING") & text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -89,7 +114,7 @@ def text(least: int = 0, pattern: str | None = None, among: tuple[str, ...] | No
             out = out.when(~t.isin(*known), _error(path, UNKNOWN))
         return out.otherwise(_none())
 
-    return lambda v, path: _let(_text(v), lambda t: judged(t, v, path))
+    return lambda at, path: _let(at.get(), lambda v: _let(_text(v), lambda t: judged(t, v, path)))
 
 
 def number(low: float | None = None, high: float | None = None, above: float | None = None, whole: bool = False) -> Rule:
@@ -102,20 +127,20 @@ def number(low: float | None = None, high: float | None = None, above: float | N
                 out = out.when(wrong, _error(path, "out of range"))
         return out.otherwise(_none())
 
-    return lambda v, path: _let(_number(v), lambda n: judged(n, path))
+    return lambda at, path: _let(at.get(), lambda v: _let(_number(v), lambda n: judged(n, path)))
 
 
-def moment(v: Column, path: Column) -> Column:
+def moment(at: At, path: Column) -> Column:
     """A date and time, as text or as seconds."""
-    return _bad(_number(v).isNull() & F.try_to_timestamp(_text(v)).isNull(), path, "not a time")
+    return _let(at.get(), lambda v: _bad(_number(v).isNull() & F.try_to_timestamp(_text(v)).isNull(), path, "not a time"))
 
 
 def items(of: Rule) -> Rule:
     """A list, all of whose elements keep a rule; their paths have their place."""
 
-    def rule(v: Column, path: Column) -> Column:
-        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e, i: of(e, F.concat(path, F.lit("."), i.cast("string"))))
-        return F.when(_kind(v) == "ARRAY", F.flatten(each)).otherwise(_error(path, "not a list"))
+    def rule(at: At, path: Column) -> Column:
+        each = F.transform(at.list(), lambda e, i: of(At(e), F.concat(path, F.lit("."), i.cast("string"))))
+        return F.coalesce(F.flatten(each), _error(path, "not a list"))
 
     return rule
 
@@ -123,10 +148,10 @@ def items(of: Rule) -> Rule:
 def values(of: Rule) -> Rule:
     """An object of any keys, all of whose values keep a rule."""
 
-    def rule(v: Column, path: Column) -> Column:
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        each = F.transform(entries, lambda e: of(e["value"], F.concat(path, F.lit("."), e["key"])))
-        return F.when(_kind(v) == "OBJECT", F.flatten(each)).otherwise(_error(path, "not an object"))
+    def rule(at: At, path: Column) -> Column:
+        entries = F.map_entries(at.get("map<string,variant>"))
+        each = F.transform(entries, lambda e: of(At(e["value"]), F.concat(path, F.lit("."), e["key"])))
+        return F.coalesce(F.flatten(each), _error(path, "not an object"))
 
     return rule
 
@@ -134,40 +159,34 @@ def values(of: Rule) -> Rule:
 def either(first: Rule, second: Rule) -> Rule:
     """What keeps one of two rules; else the errors by the first that comes near: the second for lists."""
 
-    def rule(v: Column, path: Column) -> Column:
-        return F.when(_kind(v) == "ARRAY", second(v, path)).otherwise(first(v, path))
+    def rule(at: At, path: Column) -> Column:
+        return F.when(at.list().isNotNull(), second(at, path)).otherwise(first(at, path))
 
     return rule
 
 
-def _if_there(of: Rule, absent: Column, path: Column) -> Callable[[Column], Column]:
-    return lambda v: F.when(v.isNull(), absent).otherwise(of(v, path))
-
-
 def fields(optional: tuple[str, ...] = (), whole: Rule | None = None, **rules: Rule) -> Rule:
     """An object with these keys and no others; whole is a rule on an object without errors."""
 
-    def rule(v: Column, path: Column) -> Column:
+    def judged(keys: Column, at: At, path: Column) -> Column:
         parts = []
         for name, of in rules.items():
             absent = _none() if name in optional else _error(_at(path, name), MISSING)
-            parts.append(_let(F.try_variant_get(v, f"$.{name}", "variant"), _if_there(of, absent, _at(path, name))))
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+            parts.append(F.when(F.array_contains(keys, name), of(at.field(name), _at(path, name))).otherwise(absent))
         extra = F.array_sort(F.filter(keys, lambda k: ~k.isin(*rules)))
         beyond = F.transform(extra, lambda k: F.struct((F.concat(path, F.lit("."), k) if path is not None else k).alias("path"), F.lit(EXTRA).alias("problem")))
         found = F.concat(*parts, beyond)
         if whole is not None:
-            found = _let(found, lambda f: F.when(F.size(f) == 0, whole(v, path)).otherwise(f))
-        return F.when(_kind(v) == "OBJECT", found).otherwise(_error(path, "not an object") if path is not None else _error(F.lit(""), "not an object"))
+            found = _let(found, lambda f: F.when(F.size(f) == 0, whole(at, path)).otherwise(f))
+        return F.when(keys.isNotNull(), found).otherwise(_error(path if path is not None else F.lit(""), "not an object"))
 
-    return rule
+    return lambda at, path: _let(at.keys(), lambda keys: judged(keys, at, path))
 
 
-def _pair(v: Column, path: Column) -> Column:
+def _pair(at: At, path: Column) -> Column:
     """A hard negative has two seeds and a pair."""
-    hard = _text(F.try_variant_get(v, "$.recipe", "variant")) == "hard_negative"
-    seeds = F.try_variant_get(v, "$.seed_sample_id", "array<variant>")
-    pair = _text(F.try_variant_get(v, "$.pair_id", "variant"))
+    hard = _text(at.field("recipe").get()) == "hard_negative"
+    seeds, pair = at.field("seed_sample_id").list(), _text(at.field("pair_id").get())
     return F.when(hard & (F.coalesce(F.size(seeds), F.lit(-1)) != 2), _error(path, "needs two seeds")).when(hard & (F.coalesce(F.length(pair), F.lit(0)) == 0), _error(path, "needs a pair")).otherwise(_none())
 
 
@@ -201,9 +220,9 @@ def read(lines: DataFrame, raw: str, intents: list[str], kinds: list[str]) -> Da
     whole = lines.withColumn("_record", F.when(is_json(F.col(raw)), F.try_parse_json(F.col(raw))))
     sample = F.try_variant_get("_record", "$.sample", "variant")
     expected = F.try_variant_get("_record", "$.expected", "variant")
-    parts = whole.withColumn("_sample", F.when(_kind(sample) == "OBJECT", sample)).withColumn("_expected", F.when(_kind(expected) != "VOID", expected))
+    parts = whole.withColumn("_sample", F.when(At(F.col("_record")).field("sample").keys().isNotNull(), sample)).withColumn("_expected", F.when(_kind(expected) != "VOID", expected))
     missing = F.when(F.col("_record").isNull(), _error(F.lit(""), "not one JSON value")).otherwise(_error(F.lit("sample"), MISSING))
-    found = parts.withColumn("errors", F.when(F.col("_sample").isNull(), missing).otherwise(sample_rules(intents, kinds)(F.col("_sample"), None)))
+    found = parts.withColumn("errors", F.when(F.col("_sample").isNull(), missing).otherwise(sample_rules(intents, kinds)(At(F.col("_sample")), None)))
     errors = F.col("errors")
     labels = F.forall(errors, lambda e: e["problem"] == UNKNOWN)
     by_intent = F.exists(errors, lambda e: e["path"] == "intent")
@@ -212,7 +231,7 @@ def read(lines: DataFrame, raw: str, intents: list[str], kinds: list[str]) -> Da
         .when((F.size(errors) > 0) & ~labels, "F1_SCHEMA_INVALID")
         .when((F.size(errors) > 0) & by_intent, "F2_LABEL_UNKNOWN_INTENT")
         .when(F.size(errors) > 0, "F2_LABEL_UNKNOWN_SLOT")
-        .when(F.col("_expected").isNotNull() & (_kind(F.col("_expected")) != "OBJECT"), "F1_SCHEMA_INVALID_EXPECTED")
+        .when(F.col("_expected").isNotNull() & At(F.col("_expected")).keys().isNull(), "F1_SCHEMA_INVALID_EXPECTED")
     )
     return found.withColumn("raw_reason", reason).withColumns({"sample": typed_sample(F.col("_sample"), errors), "expected": typed_expected(F.col("_expected"))}).drop("_record", "_sample", "_expected")
 
@@ -229,4 +248,4 @@ def typed_expected(v: Column) -> Column:
     text = lambda of, path: F.try_variant_get(of, path, "string")
     listed = F.try_variant_get(v, "$.slots", "variant")
     slots = F.transform(F.try_variant_get(v, "$.slots", "array<variant>"), lambda s: F.struct(text(s, "$.type").alias("type"), text(s, "$.value").alias("value")))
-    return F.when(_kind(v) == "OBJECT", F.struct(text(v, "$.intent").alias("intent"), F.when(_kind(listed) == "ARRAY", slots).alias("slots")))
+    return F.when(At(v).keys().isNotNull(), F.struct(text(v, "$.intent").alias("intent"), F.when(At(listed).list().isNotNull(), slots).alias("slots")))

@@ -63,7 +63,8 @@ WITH p AS (
 
 def _json(spark: SparkSession, d: str) -> DataFrame:
     """Parts as the text of a record, with flaws that follow from their columns."""
-    part = table(spark, d, "part")
+    # A record costs far more to judge than to read, and the table's few columns are few splits.
+    part = tables.spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
     size, number = F.col("p_size"), F.substring("p_brand", 7, 2).cast("int")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     intent = F.when(size > 46, '"resize"').when(size == 7, "5").otherwise('"find"')

@@ -16,12 +16,19 @@ from pyspark.sql.types import StructType
 FEW_SPLITS = 100_000
 #: Lines of a file that are put in order together.
 PART_LINES = 1 << 16
+#: Tasks a core, where rows are dealt to all of them.
+SPREAD = 3
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to SPREAD tasks a core: for small rows that much work is done on, as few files would leave most cores idle. One shuffle."""
+    return df.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, which the session names in spark.checkpoint.dir; on one machine a folder is made where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

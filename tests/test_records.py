@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text
 from lexloom.operators import funnel, records
+from lexloom.plans.records import raw_record_errors
 
 INTENTS, KINDS = ["alarm_set", "play"], ["time", "place"]
 
@@ -140,3 +141,10 @@ def test_streamed_records_meet_the_same_rules(spark, tmp_path):
     stream = funnel.validated(records.read(spark.readStream.text(str(tmp_path / "in")), "value", INTENTS, KINDS), INTENTS, KINDS)
     stream.select("reject_reason").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(str(r.reject_reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(str(c[2]) for c in CASES if c[0])
+
+
+def test_records_of_one_split_are_judged_by_many_tasks(spark, tmp_path):
+    rows = [(k, f"red {k}", "Brand#12", "SMALL", k % 40) for k in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = raw_record_errors(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 50
