@@ -467,3 +467,30 @@ def test_line_dedup_of_wide_buckets(spark, monkeypatch):
         corpus.append((i, " ".join(mine)))
     rows = {(r.doc_id, r.line_no) for r in line_dedup.removals(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
     assert rows == lines_by_force(corpus)
+
+
+def test_line_dedup_is_native(spark, monkeypatch):
+    plans, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), write(df, name))[1])
+    docs = spark.createDataFrame([(1, "some line here\nanother one"), (2, "some line here.")], "doc_id long, text string")
+    out = line_dedup.without_repeats(docs)
+    plans.append(out._jdf.queryExecution().toString())
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "some line here\nanother one", 2: ""}
+    assert len(plans) > 5 and not [p for p in plans if "MapIn" in p or "Python" in p or "Pandas" in p]
+
+
+def test_line_dedup_signatures_have_high_recall(spark):
+    """Pairs that are just similar enough share a band, also long lines that repeat themselves."""
+    rng = random.Random(9)
+    rows = []
+    for n in (8, 14, 30, 60, 90, 200, 700):
+        for _ in range(60):
+            a = "".join(chr(97 + rng.randrange(26)) for _ in range(n))
+            b = a
+            while len(line_dedup.shingle_set(a) & (s := line_dedup.shingle_set(c := b[: (i := rng.randrange(n))] + "X" + b[i + 1 :]))) >= 0.8 * len(line_dedup.shingle_set(a) | s):
+                b = c
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    rows += [(len(rows), "long words " * 700), (len(rows) + 1, "long words " * 90)]
+    keys = {r.id: set(r["keys"]) for r in line_dedup.signatures(spark.createDataFrame(rows, "id long, line string")).collect()}
+    met = [bool(keys[i] & keys[i + 1]) for i in range(0, len(rows), 2)]
+    assert met[-1] and sum(met) > 0.97 * len(met)
