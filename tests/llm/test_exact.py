@@ -494,3 +494,28 @@ def test_line_dedup_signatures_have_high_recall(spark):
     keys = {r.id: set(r["keys"]) for r in line_dedup.signatures(spark.createDataFrame(rows, "id long, line string")).collect()}
     met = [bool(keys[i] & keys[i + 1]) for i in range(0, len(rows), 2)]
     assert met[-1] and sum(met) > 0.97 * len(met)
+
+
+def test_line_dedup_of_short_lines_with_one_shingle_more_has_full_recall(spark):
+    rng = random.Random(3)
+    pairs = [(a, a + rng.choice("abcdefghij")) for n in (8, 9, 10, 11) for a in ("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n)) for _ in range(60))]
+    rows = [(i, x) for i, x in enumerate(x for pair in pairs for x in pair)]
+    keys = {r.id: set(r["keys"]) for r in line_dedup.signatures(spark.createDataFrame(rows, "id long, line string")).collect()}
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_line_dedup_verifies_few_pairs_of_lines_that_are_only_near(spark, monkeypatch):
+    """Lines made from one by many changes, none similar enough: they share buckets, but their bitmaps show them apart."""
+    pairs, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda met, lines: (pairs.append(met.count()), verified(met, lines))[1])
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    corpus = [(0, " ".join(words))]
+    for i in range(1, 90):
+        mine = list(words)
+        for k in rng.sample(range(60), 7):
+            mine[k] = "".join(rng.choice("qrstuvwxyz") for _ in range(6))
+        corpus.append((i, " ".join(mine)))
+    rows = {(r.doc_id, r.line_no) for r in line_dedup.removals(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert rows == lines_by_force(corpus)
+    assert pairs[1] < 10
